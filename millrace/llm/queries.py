@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from millrace.llm import mixing
+from millrace.llm import bpe, fingerprints, mixing, pii
 
 QUERIES = {
+    "op4_byte_bpe": bpe.op4_byte_bpe,
+    "op6_fingerprints": fingerprints.op6_fingerprints,
+    "op8_pii": pii.op8_pii,
     "op10_mix_sources": mixing.op10_mix_sources,
 }
 
