@@ -113,6 +113,9 @@ def _glyphs() -> dict[int, str | None]:
 
 _GLYPH = _glyphs()
 _ODD = re.compile("[" + "".join(map(chr, sorted(_GLYPH))).replace("-", "\\-") + "]")
+_ODD_SET = frozenset(map(chr, _GLYPH))
+#: Bytes that occur in no character of _GLYPH but as ASCII, continuation or the lead byte of Latin-1 letters.
+_USUAL = bytes(b for b in range(256) if b < 0xC2 or b == 0xC3)
 
 #: The digits 0 to 9 as words.
 _DIGIT = {
@@ -137,13 +140,15 @@ _ANY = "|".join(sorted(_DIGIT, key=len, reverse=True))
 _DOT = r"dot|punkt|point|punto"
 _GAP = r"[\x20,\-]{1,3}"
 _WORDS = re.compile(rf"(?:\bplus{_GAP})?\b(?:{_ANY})(?:(?:{_GAP}|\x20?\.\x20?)(?:{_ANY}|{_DOT})){{3,}}\b", re.I)
+#: Two digits in words: what every match of _WORDS has, and few other texts; on lower-case text.
+_TWO = re.compile(rf"\b(?:{_ANY}){_GAP}(?:{_ANY}|{_DOT})\b|\b(?:{_ANY})\x20?\.")
 _WORD = re.compile(rf"\bplus\b|\b(?:{_ANY})\b|\b(?:{_DOT})\b|\.", re.I)
 _OPEN, _CLOSE = r"[\[({<]\x20?", r"\x20?[\])}>]"
 _MARKED = re.compile(rf"\x20?(?:{_OPEN}(?:(at)|{_DOT}){_CLOSE})\x20?", re.I)
 #: Bare words only where a whole address is spelled: name at host dot tld.
 _BARE = re.compile(r"(?<![A-Za-z0-9])[A-Za-z0-9._%+-]{1,64}(\x20at\x20)[A-Za-z0-9-]{1,63}((?:(?:\x20(?:dot)\x20)[A-Za-z0-9-]{1,63}){1,4})", re.I)
 _BARE_DOT = re.compile(r"\x20dot\x20", re.I)
-_HINT = re.compile(r"dot|punkt|point|punto|[\[({<]\x20?at\x20?[\])}>]", re.I)
+_HINT = re.compile(r"\x20dot\x20|[\[({<]\x20?(?:at|dot|punkt|point|punto)\x20?[\])}>]")
 
 
 class Traced:
@@ -187,10 +192,9 @@ def _marks(text: str) -> list[tuple[int, int, str]]:
 
 def hidden(text: str) -> list[Span]:
     """Identifiers that only the rewritten text shows, as source spans; [] for texts without a disguise."""
-    odd = _ODD.search(text) is not None
-    hint = _HINT.search(text) is not None
-    words = _WORDS.search(text) is not None
-    if not (odd or hint or words):
+    odd = not text.isascii() and bool(text.encode("utf-8", "replace").translate(None, _USUAL)) and not _ODD_SET.isdisjoint(text)
+    low = text.lower()
+    if not odd and _HINT.search(low) is None and (_TWO.search(low) is None or _WORDS.search(text) is None):
         return []
     traced, touched = Traced(text), False
     if odd:
