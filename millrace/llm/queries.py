@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from millrace.llm import ann, bpe, fingerprints, mixing, pii, quality
+from millrace.llm import ann, bpe, fingerprints, mixing, passages, pii, quality, substrings
 
 QUERIES = {
     "op1_ann_collisions": ann.op1_ann_collisions,
+    "op3_suffix_dedup": substrings.op3_suffix_dedup,
     "op4_byte_bpe": bpe.op4_byte_bpe,
     "op6_fingerprints": fingerprints.op6_fingerprints,
+    "op7_substring_dedup": passages.op7_substring_dedup,
     "op8_pii": pii.op8_pii,
     "op9_quality": quality.op9_quality,
     "op10_mix_sources": mixing.op10_mix_sources,
