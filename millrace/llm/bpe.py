@@ -19,6 +19,8 @@ from __future__ import annotations
 import base64
 import heapq
 import re
+import sys
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +32,9 @@ from millrace.llm import common
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Bytes of text taken at once by one worker.
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 #: Entries in each of a worker's two cache generations.
-CACHE = 250_000
+CACHE = 400_000
 #: Pieces longer than this many bytes take the heap.
 LONG = 64
 #: A rank file beyond this is refused, as it is broadcast.
@@ -42,24 +44,26 @@ MOST_BYTES = 64 << 20
 _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _CUT = re.compile(f" (?=[^{_SPACE}])")
 
-_MERGE = """
+#: A pair's rank and place are one number, the rank above PLACE_BITS bits, so that the least is one minimum.
+PLACE_BITS = 8
+
+_MERGE = f"""
 WITH RECURSIVE state(piece, ids, open) AS (
   SELECT piece, ids, true FROM todo
   UNION ALL
   SELECT state.piece,
-    CASE WHEN found.best IS NULL THEN state.ids
-         ELSE state.ids[:found.best.place - 1] || [found.best.rank] || state.ids[found.best.place + 2:] END,
-    found.best IS NOT NULL
+    CASE WHEN best IS NULL THEN state.ids
+         ELSE state.ids[:(best & {(1 << PLACE_BITS) - 1}) - 1] || [(best >> {PLACE_BITS})::INTEGER] || state.ids[(best & {(1 << PLACE_BITS) - 1}) + 2:] END,
+    best IS NOT NULL
   FROM state LEFT JOIN (
-    SELECT piece, min({'rank': merges.rank, 'place': place}) AS best
-    FROM (SELECT piece, unnest(range(1, len(ids))) AS place,
-                 (unnest(ids[:-2])::BIGINT << 32) | unnest(ids[2:])::BIGINT AS pair
+    SELECT piece, min(merges.rank << {PLACE_BITS} | place) AS best
+    FROM (SELECT piece, generate_subscripts(ids, 1) AS place, unnest(ids)::BIGINT AS id, unnest(ids[2:])::BIGINT AS next
           FROM state WHERE open) AS tokens
-    JOIN merges ON merges.pair = tokens.pair
+    JOIN merges ON merges.pair = (id << 32 | next)
     GROUP BY piece) AS found ON found.piece = state.piece
   WHERE state.open
 )
-SELECT piece, ids FROM state WHERE NOT open ORDER BY piece
+SELECT piece, ids FROM state WHERE NOT open
 """
 
 _DECODE = """
@@ -92,7 +96,7 @@ class Codec:
         spelled = pattern.replace("[^\\s", f"[^{_SPACE}").replace("\\S", f"[^{_SPACE}]").replace("\\s", f"[{_SPACE}]")
         self.pattern = regex.compile(spelled)
         self.byte = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB"})
         self.db.execute("SET preserve_insertion_order = false")
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -105,7 +109,7 @@ class Codec:
         ranks = self.ranks
         if name == "merges":
             pairs = [(ranks[k[:i]] << 32 | ranks[k[i:]], v) for k, v in ranks.items() for i in range(1, len(k)) if k[:i] in ranks and k[i:] in ranks]
-            rows = pa.table({"pair": pa.array([p for p, _ in pairs], pa.int64()), "rank": pa.array([v for _, v in pairs], pa.int32())})
+            rows = pa.table({"pair": pa.array([p for p, _ in pairs], pa.int64()), "rank": pa.array([v for _, v in pairs], pa.int64())})
         else:
             rows = pa.table({"id": pa.array(list(ranks.values()), pa.int32()), "bytes": [k.decode("latin-1") for k in ranks]})
         self.db.register("made", rows)
@@ -113,8 +117,8 @@ class Codec:
         self.db.unregister("made")
         self.ready[name] = True
 
-    def _contract(self, pieces: list[bytes]) -> list[list[int]]:
-        """The ids of pieces that are no tokens themselves."""
+    def _contract(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of pieces that are no tokens themselves, packed as int32."""
         if not pieces:
             return []
         self._table("merges")
@@ -123,7 +127,14 @@ class Codec:
         self.db.register("todo", pa.table({"piece": np.arange(len(pieces), dtype=np.int32), "ids": ids}))
         done = self.db.sql(_MERGE).to_arrow_table()
         self.db.unregister("todo")
-        return done.column("ids").to_pylist()
+        piece = done.column("piece").to_numpy()
+        ids = done.column("ids").combine_chunks()
+        flat, ends = ids.flatten().to_numpy().tobytes(), ids.offsets.to_numpy() * 4
+        ends = (ends - ends[0]).tolist()
+        out: list = [None] * len(pieces)
+        for k, a, b in zip(piece.tolist(), ends, ends[1:], strict=False):
+            out[k] = flat[a:b]
+        return out
 
     def _contract_long(self, piece: bytes) -> list[int]:
         """The same merges for one long piece: a heap of pairs by rank and place, over a linked list."""
@@ -155,44 +166,44 @@ class Codec:
 
     def _learn(self, units: list[str]) -> None:
         """Put the ids of units, packed as int32, into the cache."""
-        cut = [self.pattern.findall(u) for u in units]
+        cut = [self.pattern.findall(u[1:] if u[0] == " " else " " + u) for u in units]
         short, known = {}, {}
         for piece in {p for pieces in cut for p in pieces}:
             raw = piece.encode("utf-8", "replace")
             rank = self.ranks.get(raw)
             if rank is not None:
-                known[piece] = [rank]
+                known[piece] = rank.to_bytes(4, sys.byteorder)
             elif len(raw) <= LONG:
                 short[piece] = raw
             else:
-                known[piece] = self._contract_long(raw)
+                known[piece] = array("i", self._contract_long(raw)).tobytes()
         known.update(zip(short, self._contract(list(short.values())), strict=True))
         for unit, pieces in zip(units, cut, strict=True):
-            self.young[unit] = np.fromiter((i for p in pieces for i in known[p]), np.int32).tobytes()
+            self.young[unit] = known[pieces[0]] if len(pieces) == 1 else b"".join([known[p] for p in pieces])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids, packed as int32.
 
         A space before anything but white space always begins a match of the
-        pattern, so texts are first cut there: the units repeat, and are cached.
+        pattern, so texts are first cut there: the units repeat, and are cached,
+        without that space. A text's first unit has none; it is told from the
+        others, which begin with no white space, by a space before it.
         """
-        cut = [[] if not t else _CUT.split(t) for t in texts]
+        cut = [_CUT.split(t) if t else [] for t in texts]
         for units in cut:
-            units[1:] = [" " + u for u in units[1:]]
-        need = {u for units in cut for u in units}
+            if units:
+                units[0] = " " + units[0]
+        if len(self.young) > CACHE:
+            self.old, self.young = self.young, {}
         young, old = self.young, self.old
-        if len(young) > CACHE:
-            self.old, self.young = young, {}
-            young, old = self.young, self.old
         missing = []
-        for u in need:
-            if u not in young:
-                if (ids := old.get(u)) is not None:
-                    young[u] = ids
-                else:
-                    missing.append(u)
-        for i in range(0, len(missing), 100_000):
-            self._learn(missing[i : i + 100_000])
+        for u in set().union(*cut).difference(young):
+            if (ids := old.get(u)) is not None:
+                young[u] = ids
+            else:
+                missing.append(u)
+        for i in range(0, len(missing), 50_000):
+            self._learn(missing[i : i + 50_000])
         return [b"".join([young[u] for u in units]) for units in cut]
 
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
@@ -250,6 +261,7 @@ def encode(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), ranks: str | No
             ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(packed), np.int32)))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), ids], [*keep, "ids"])
 
+    common.small_batches(docs.sparkSession)
     return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, schema)
 
 
@@ -260,6 +272,7 @@ def decode(tokens: DataFrame, keep: tuple[str, ...] = ("doc_id",), ranks: str |
     schema = T.StructType([tokens.schema[c] for c in keep] + [T.StructField("decoded", T.BinaryType())])
 
     def run(batches):
+        pa.set_memory_pool(pa.system_memory_pool())
         codec = _codec(content.value, pattern)
         for batch in batches:
             at, n = 0, batch.num_rows
@@ -273,6 +286,7 @@ def decode(tokens: DataFrame, keep: tuple[str, ...] = ("doc_id",), ranks: str |
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(out, pa.binary())], [*keep, "decoded"])
                 at = end
 
+    common.small_batches(tokens.sparkSession)
     return tokens.select(*keep, "ids").mapInArrow(run, schema)
 
 

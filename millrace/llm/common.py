@@ -58,6 +58,17 @@ def tasks(docs: DataFrame) -> int:
     return max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Send at most 1,000 rows to Python at once in this session, where its setting is more.
+
+    Texts vary in length; the default of 10,000 rows fills an executor's memory
+    with batches on both sides of the pipe.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= 1000:
+        spark.conf.set(name, 1000)
+
+
 def doc_rows(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id and text, a null text as the empty one; other columns only if named."""
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *more)
@@ -65,6 +76,7 @@ def doc_rows(docs: DataFrame, *more: str) -> DataFrame:
 
 def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches cut into runs of rows of at most `limit` bytes of text each (one row at least)."""
+    pa.set_memory_pool(pa.system_memory_pool())
     for batch in batches:
         if not batch.num_rows:
             continue

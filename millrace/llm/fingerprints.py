@@ -176,6 +176,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             texts = [x or b"" for x in batch.column("text").cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([told(d) for d in digests(texts)], pa.string())], schema.names)
 
+    common.small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
@@ -259,6 +260,7 @@ def against_edits(docs: DataFrame) -> DataFrame:
             ranges += zip(batch.column("_range").to_pylist(), batch.column("_tail").to_pylist(), strict=True)
             yield from rows()
 
+    common.small_batches(docs.sparkSession)
     return with_next(docs).select("doc_id", "text", "_range", "_tail").mapInArrow(run, schema)
 
 

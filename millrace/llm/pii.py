@@ -247,6 +247,7 @@ def find(docs: DataFrame) -> DataFrame:
                 told.append(_told(every))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(n, pa.int64()) for n in counts), pa.array(digest), pa.array(told)], schema.names)
 
+    common.small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
@@ -273,6 +274,7 @@ def redact(docs: DataFrame) -> DataFrame:
             columns[place] = pa.array(out, pa.string())
             yield pa.RecordBatch.from_arrays(columns, schema.names)
 
+    common.small_batches(docs.sparkSession)
     return docs.mapInArrow(run, schema)
 
 

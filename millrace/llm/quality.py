@@ -15,10 +15,13 @@ is a few tens of kilobytes and travels with the task.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.llm import common
 
@@ -202,6 +205,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             blobs = [passages[e - n : e].astype(np.float16).tobytes() for e, n in zip(ends, counts, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_label"), pa.array(blobs, pa.binary())], ["doc_id", "label", "passages"])
 
+    common.small_batches(docs.sparkSession)
     found = rows.mapInArrow(run, "doc_id long, label int, passages binary").toArrow().sort_by([("doc_id", "ascending"), ("passages", "ascending")])
     bags = [np.frombuffer(b, np.float16).reshape(-1, WIDTH) for b in found.column("passages").to_pylist()]
     counts = np.array([len(b) for b in bags], np.int64)
@@ -209,33 +213,32 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     return learn(stacked, counts, found.column("label").to_numpy().astype(np.float32))
 
 
-def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with _score, the model's probability of label 1 for each whole text.
+def scored(docs: DataFrame, model: Model, keep: Sequence[str] | None = None) -> DataFrame:
+    """The columns named in keep (all of docs, if None) with _score: the model's
+    probability of label 1 for each whole text.
 
     Null and empty texts are one empty passage. Only the text is read for the
-    score; all columns of docs pass through.
+    score; a column of docs must not be called _score or _text.
     """
-    schema = docs.schema
-    names = [*schema.names, "_score"]
-    place = schema.names.index("text")
+    keep = list(docs.columns if keep is None else keep)
+    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("_score", T.DoubleType())])
 
     def run(batches):
-        for batch in common.pieces(batches):
-            passages, counts = encode(batch.column(place))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.score(passages, counts), pa.float64())], names)
-
-    from pyspark.sql import types as T
+        for batch in common.pieces(batches, "_text"):
+            passages, counts = encode(batch.column("_text"))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(model.score(passages, counts), pa.float64())], schema.names)
 
-    return docs.mapInArrow(run, T.StructType([*schema.fields, T.StructField("_score", T.DoubleType())]))
+    common.small_batches(docs.sparkSession)
+    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, schema)
 
 
-def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """docs with _score, learnt from labels."""
-    return scored(docs, fit(docs, labels, sample))
+def classify(docs: DataFrame, labels: DataFrame, keep: Sequence[str] | None = None, sample: int = SAMPLE) -> DataFrame:
+    """docs (or its columns in keep) with _score, learnt from labels."""
+    return scored(docs, fit(docs, labels, sample), keep)
 
 
 def op9_quality(spark, sf_dir: str) -> DataFrame:
     """Every document's quality: doc_id, held_out, score, predicted."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    found = classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    found = classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), ["doc_id"])
     return found.select("doc_id", held_out().alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= THRESHOLD).cast("int").alias("predicted"))
