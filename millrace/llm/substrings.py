@@ -22,15 +22,18 @@ from millrace.llm import common, repeats
 
 LENGTH = 100
 GRAM = 32
-PERIOD = 64
 #: Bytes of contexts sorted at once.
 BLOCK = 1 << 20
 
 
-def cover(period: int) -> np.ndarray:
-    """Residues such that every difference modulo the period is one of two of them: all below a root, and its multiples."""
-    root = int(np.ceil(np.sqrt(period)))
-    return np.array(sorted({*range(root), *range(0, period, root)}))
+def cover(r: int) -> tuple[int, np.ndarray]:
+    """(period, residues) such that every difference modulo the period is one of two residues.
+
+    Colbourn and Ling's rule: steps of 1 (r times), r + 1, 2r + 1 (r times),
+    4r + 3 (2r + 1 times), 2r + 2 (r + 1 times) and 1 (r times).
+    """
+    steps = [1] * r + [r + 1] + [2 * r + 1] * r + [4 * r + 3] * (2 * r + 1) + [2 * r + 2] * (r + 1) + [1] * r
+    return 24 * r * r + 36 * r + 13, np.concatenate(([0], np.cumsum(steps)))
 
 
 def shifts(period: int, residues: np.ndarray) -> np.ndarray:
@@ -45,9 +48,10 @@ def shifts(period: int, residues: np.ndarray) -> np.ndarray:
     return out
 
 
-_COVER = cover(PERIOD)
+PERIOD, _COVER = cover(1)
+#: Bytes that suffixes are first sorted by: whole words of 8, as many as the period has at least.
+PREFIX = -(-PERIOD // 8) * 8
 _SHIFT = shifts(PERIOD, _COVER)
-assert (_SHIFT >= 0).all()
 
 
 def _eights(text: np.ndarray) -> np.ndarray:
@@ -59,11 +63,11 @@ def _eights(text: np.ndarray) -> np.ndarray:
 
 
 def _by_prefix(eights: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(order of at by PERIOD bytes, whether each differs from the one before)."""
+    """(order of at by PREFIX bytes, whether each differs from the one before)."""
     order = np.argsort(eights[at], kind="stable")
     word = eights[at[order]]
     new = np.concatenate(([True], word[1:] != word[:-1]))
-    for k in range(8, PERIOD, 8):
+    for k in range(8, PREFIX, 8):
         # Only groups of several need the next word.
         group = np.cumsum(new)
         alone = new & np.concatenate((new[1:], [True]))
@@ -81,10 +85,10 @@ def _by_prefix(eights: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def sample_ranks(text: np.ndarray, eights: np.ndarray) -> np.ndarray:
     """Rank among the sample's suffixes, at the sample's positions (others: 0).
 
-    Sorted by PERIOD bytes, then by ranks PERIOD, twice PERIOD, ... further on,
+    Sorted by PREFIX bytes, then by ranks PERIOD, twice PERIOD, ... further on,
     which are the sample's again, until all differ.
     """
-    n = len(eights) - PERIOD
+    n = len(eights) - PREFIX
     at = np.flatnonzero(np.isin(np.arange(n) % PERIOD, _COVER))
     order, new = _by_prefix(eights, at)
     rank = np.zeros(n + 1, np.int64)
@@ -103,7 +107,7 @@ def sample_ranks(text: np.ndarray, eights: np.ndarray) -> np.ndarray:
 
 
 def _resolve(at: np.ndarray, new: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """at, with each group that agrees in PERIOD bytes put in order by the sample's ranks.
+    """at, with each group that agrees in PREFIX bytes put in order by the sample's ranks.
 
     A merge network sorts all groups side by side; a comparison takes both
     suffixes to the sample by their residues' shift.
@@ -134,23 +138,41 @@ def _resolve(at: np.ndarray, new: np.ndarray, rank: np.ndarray) -> np.ndarray:
     return at
 
 
-def equal_windows(contexts: list[bytes], counts: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The first counts[i] windows of each context, sorted as suffixes: (context, offset, class of equal windows)."""
+def _block(contexts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(where each context begins, the text with zeros after it, its words of 8)."""
     size = np.fromiter((len(c) for c in contexts), np.int64, len(contexts))
-    base = np.cumsum(size) - size
     n = int(size.sum())
-    padded = np.zeros(n + 2 * PERIOD + max(length, PERIOD) + 16, np.uint8)
+    padded = np.zeros(n + 2 * PREFIX + length + 16, np.uint8)
     padded[:n] = np.frombuffer(b"".join(contexts), np.uint8)
-    eights = _eights(padded)
+    return np.cumsum(size) - size, padded, _eights(padded)
+
+
+def equal_windows(contexts: list[bytes], counts: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows among the first counts[i] of each context that may have an equal one, sorted as suffixes.
+
+    Returns (context, offset, class): equal windows, and only they, have one
+    class. Windows that differ from all others in PREFIX bytes are left out, and
+    so are contexts without a tie when the sample is ranked.
+    """
+    base, _, eights = _block(contexts, length)
     at = common.ranges(base, counts)
     order, new = _by_prefix(eights, at)
-    rank = sample_ranks(padded, eights[: n + 2 * PERIOD])
-    at = _resolve(at[order], new, rank)
-    differ = np.zeros(max(0, len(at) - 1), bool)
+    alone = new & np.concatenate((new[1:], [True])) if len(new) else new
+    at, new = at[order][~alone], new[~alone]
+    if not len(at):
+        return at, at, at
+    context = np.searchsorted(base, at, "right") - 1
+    offset = at - base[context]
+    tied, inverse = np.unique(context, return_inverse=True)
+    base, padded, eights = _block([contexts[c] for c in tied.tolist()], length)
+    at = base[inverse] + offset
+    end = len(padded) - length - 16 - PREFIX
+    at = _resolve(at, new, sample_ranks(padded, eights[: end + PREFIX]))
+    differ = np.zeros(len(at) - 1, bool)
     for k in (*range(0, length - 8, 8), length - 8):
         differ |= eights[at[1:] + k] != eights[at[:-1] + k]
-    context = np.searchsorted(base, at, "right") - 1
-    return context, at - base[context], np.cumsum(np.concatenate(([True], differ))) - 1 if len(at) else at
+    place = np.searchsorted(base, at, "right") - 1
+    return tied[place], at - base[place], np.cumsum(np.concatenate(([True], differ))) - 1
 
 
 def resolve(key, mark, start, count, many, contexts, bucket):
@@ -159,6 +181,8 @@ def resolve(key, mark, start, count, many, contexts, bucket):
     out = []
     for a, b in repeats.blocks_of(bucket, size, BLOCK):
         context, offset, group = equal_windows(contexts[a:b], count[a:b])
+        if not len(context):
+            continue
         row = context + a
         place = start[row] + offset
         order = np.lexsort((place, mark[row], key[row], group))
