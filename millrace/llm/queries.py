@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from millrace.llm import ann, bpe, fingerprints, mixing, neardup, passages, pii, quality, substrings
+from millrace.llm import ann, bpe, fingerprints, lm, mixing, neardup, passages, pii, quality, substrings
 
 QUERIES = {
     "op1_ann_collisions": ann.op1_ann_collisions,
     "op2_minhash_odd_sketch": neardup.op2_minhash_odd_sketch,
     "op3_suffix_dedup": substrings.op3_suffix_dedup,
     "op4_byte_bpe": bpe.op4_byte_bpe,
+    "op5_lm_scores": lm.op5_lm_scores,
     "op6_fingerprints": fingerprints.op6_fingerprints,
     "op7_substring_dedup": passages.op7_substring_dedup,
     "op8_pii": pii.op8_pii,
