@@ -26,7 +26,6 @@ def components(links: DataFrame) -> DataFrame:
     A node with very many links is one skewed join key of 16-byte rows.
     """
     edges = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
-    edges = common.written(edges, "links")
     before = None
     for _ in range(MOST_ROUNDS):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))

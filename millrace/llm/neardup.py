@@ -6,13 +6,14 @@ twice: in bands of ROWS they give candidates (at similarity 0.8 all bands miss
 with probability 5e-8), and folded into a parity bitmap, the odd sketch, they
 give an estimate: the population count of two sketches' exclusive or tells how
 many samples differ, most precisely where few do. Candidates whose sketches
-differ too much for the threshold (by over six standard deviations) are dropped,
+differ too much for the threshold (by five standard deviations) are dropped,
 the others are confirmed on the full sets.
 
 Equal sets are one class, so copies cost one row. Links are needed for
 components only, so no bucket emits all its pairs: first every member is
-compared with the bucket's least; then, in buckets that still hold several
-components, members of different components. No link between components is left.
+compared with a few of them; then, in buckets that still hold several
+components, members outside the commonest one with those of other components,
+by finer sketches first. No link between components is left.
 
 Scale: texts are read twice and never shuffled whole. Sets are sent only for
 classes in some candidate pair, told by a bitmap of fixed size (a false hit
@@ -33,14 +34,24 @@ from millrace.llm import common, graph
 
 WORDS = 5
 PERCENT = 80
+#: Samples that make the bands, and rows of a band.
 HASHES, ROWS = 128, 4
-SKETCH = 512
+#: Samples folded into a sketch, and its bits.
+FOLDED, SKETCH = 256, 1024
+#: The same of the finer sketches that members of buckets with several components get.
+FINE, FINE_SKETCH = 1024, 4096
+#: Members of each bucket that may be its centres, and how many of those it meets
+#: in all its buckets (bands times CENTRES at most) a class is compared with at
+#: first: the LEAST least and DEALT by a hash. The rest is for the second step.
+CENTRES, LEAST, DEALT = 3, 2, 4
+#: Standard deviations allowed for when a sketch rules a pair out.
+DEVIATIONS = 5
 #: Bits of the broadcast bitmap (1 MB).
 BITMAP = 1 << 23
 
 _random = np.random.default_rng(20)
-_XOR = _random.integers(0, 1 << 32, HASHES, dtype=np.uint32)
-_TIMES = _random.integers(0, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_XOR = _random.integers(0, 1 << 32, FINE, dtype=np.uint32)
+_TIMES = _random.integers(0, 1 << 31, FINE, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
 
 def shingles(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -72,13 +83,13 @@ def classes(codes: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.where(count > 0, name, 0).astype(np.uint64).view(np.int64)
 
 
-def samples(codes: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """HASHES MinHash samples of each nonempty set, a row each."""
+def samples(codes: np.ndarray, first: np.ndarray, hashes: int = FOLDED) -> np.ndarray:
+    """MinHash samples of each nonempty set, a row each."""
     starts = first[:-1][np.diff(first) > 0]
     short = (codes >> np.uint64(32)).astype(np.uint32)
-    out = np.empty((len(starts), HASHES), np.uint32)
+    out = np.empty((len(starts), hashes), np.uint32)
     turned = np.empty_like(short)
-    for i in range(HASHES):
+    for i in range(hashes):
         np.bitwise_xor(short, _XOR[i], out=turned)
         np.multiply(turned, _TIMES[i], out=turned)
         out[:, i] = np.minimum.reduceat(turned, starts) if len(starts) else 0
@@ -86,38 +97,40 @@ def samples(codes: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def _named(sample: np.ndarray, salt: int) -> np.ndarray:
-    """Samples (documents, HASHES) as 64-bit elements that differ by position."""
-    place = np.arange(HASHES, dtype=np.uint64) << np.uint64(40)
+    """Samples as 64-bit elements that differ by position."""
+    place = np.arange(sample.shape[1], dtype=np.uint64) << np.uint64(40)
     return common.mix(sample.astype(np.uint64) + place + np.uint64(salt << 52))
 
 
 def bands(sample: np.ndarray) -> np.ndarray:
-    """Bucket names: HASHES / ROWS for each row of samples."""
-    named = _named(sample, 1).reshape(len(sample), HASHES // ROWS, ROWS)
+    """Bucket names from the first HASHES samples: HASHES / ROWS for each row."""
+    named = _named(sample[:, :HASHES], 1).reshape(len(sample), HASHES // ROWS, ROWS)
     out = named[:, :, 0].copy()
     for k in range(1, ROWS):
         out = common.mix(out * np.uint64(0x9E3779B97F4A7C15) + named[:, :, k])
     return out.view(np.int64)
 
 
-def odd_sketches(sample: np.ndarray) -> np.ndarray:
-    """SKETCH parity bits for each row of samples, as SKETCH / 64 numbers."""
-    bit = (_named(sample, 2) % np.uint64(SKETCH)).astype(np.int64)
-    flat = (np.arange(len(sample))[:, None] * SKETCH + bit).ravel()
-    odd = (np.bincount(flat, minlength=len(sample) * SKETCH) & 1).astype(np.uint8).reshape(len(sample), SKETCH)
-    return np.packbits(odd, axis=1).view(np.int64).reshape(len(sample), SKETCH // 64)
+def odd_sketches(sample: np.ndarray, bits: int = SKETCH) -> np.ndarray:
+    """Parity bits for each row of samples, as numbers of 64 bits."""
+    bit = (_named(sample, 2) % np.uint64(bits)).astype(np.int64)
+    flat = (np.arange(len(sample))[:, None] * bits + bit).ravel()
+    odd = (np.bincount(flat, minlength=len(sample) * bits) & 1).astype(np.uint8).reshape(len(sample), bits)
+    return np.packbits(odd, axis=1).view(np.int64).reshape(len(sample), bits // 64)
 
 
-def most_odd(percent: int) -> int:
+def most_odd(percent: int, hashes: int = FOLDED, bits: int = SKETCH) -> int:
     """Bits in which two sketches may differ at a similarity of percent / 100.
 
-    Samples that differ number HASHES * (1 - similarity) on average; six standard
-    deviations more are allowed for, and as many again of the folding.
+    The samples that differ are binomial, each such pair of samples turns two
+    bits, and turned bits that meet cancel: mean and variance of both steps,
+    and DEVIATIONS standard deviations more.
     """
-    miss = 1 - percent / 100
-    differ = 2 * (HASHES * miss + 6 * math.sqrt(HASHES * miss * (1 - miss)))
-    bits = SKETCH / 2 * (1 - math.exp(-2 * differ / SKETCH))
-    return min(SKETCH, math.ceil(bits + 6 * math.sqrt(bits) / 2))
+    similar = percent / 100
+    turned = 2 * hashes * (1 - similar)
+    once, twice = math.exp(-2 * turned / bits), math.exp(-4 * turned / bits)
+    variance = once**2 * 4 * hashes * similar * (1 - similar) + bits / 4 * (1 - twice) - turned * twice
+    return min(bits, math.ceil(bits / 2 * (1 - once) + DEVIATIONS * math.sqrt(variance)))
 
 
 def _lists(flat: np.ndarray, width: int) -> pa.Array:
@@ -160,8 +173,8 @@ def _bitmap(ids: DataFrame) -> np.ndarray:
     return out.view(np.uint64)
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(class, set) of the classes in wanted (class, id), computed from the documents of those ids."""
+def _wanted(docs: DataFrame, wanted: DataFrame, words: int, name: str, make) -> DataFrame:
+    """(class, name) of the classes in wanted (class, id): make(codes, first), from the documents of those ids."""
     bits = docs.sparkSession.sparkContext.broadcast(_bitmap(wanted.select("id")))
     rows = common.doc_rows(docs).withColumn("_place", F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP)))
 
@@ -170,29 +183,38 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
             place = batch.column("_place").to_numpy()
             hit = (bits.value[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1)
             batch = batch.filter(pa.array(hit.astype(bool)))
-            if batch.num_rows:
-                codes, first = shingles(batch.column("text"), words)
-                sets = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(codes.view(np.int64), pa.int64()))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(classes(codes, first), pa.int64()), sets], ["id", "class", "set"])
+            codes, first = shingles(batch.column("text"), words) if batch.num_rows else (np.zeros(0, np.uint64), np.zeros(1, np.int64))
+            some = np.diff(first) > 0
+            if some.any():
+                batch, first = batch.filter(pa.array(some)), np.concatenate((first[:-1][some], first[-1:]))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(classes(codes, first), pa.int64()), make(codes, first)], ["id", "class", name])
 
-    return rows.mapInArrow(run, "id long, class long, set array<long>").join(wanted, ["class", "id"]).select("class", "set")
+    return rows.mapInArrow(run, f"id long, class long, {name} array<long>").join(wanted, ["class", "id"]).select("class", name)
 
 
-def _alike(sketch: Column, other: Column, n: Column, m: Column, percent: int) -> Column:
-    """Whether sizes and sketches allow for the similarity."""
+def _sets(codes: np.ndarray, first: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(codes.view(np.int64), pa.int64()))
+
+
+def _finer(codes: np.ndarray, first: np.ndarray) -> pa.Array:
+    return _lists(odd_sketches(samples(codes, first, FINE), FINE_SKETCH), FINE_SKETCH // 64)
+
+
+def _alike(sketch: Column, other: Column, n: Column, m: Column, percent: int, most: int) -> Column:
+    """Whether sizes, and sketches that may differ in `most` bits, allow for the similarity."""
     odd = F.aggregate(F.zip_with(sketch, other, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
-    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (odd <= most_odd(percent))
+    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (odd <= most)
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, known: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) of classes that are linked by their full sets."""
     ends = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
-    wanted = common.written(ends.join(known.select("class", "id"), "class"), "wanted")
-    sets = _sets(docs, wanted, words)
+    wanted = ends.join(known.select("class", "id"), "class")
+    sets = _wanted(docs, wanted, words, "set", _sets)
     left = pairs.join(sets.select(F.col("class").alias("b"), F.col("set").alias("set_b")), "b")
     both = left.join(sets.select(F.col("class").alias("a"), F.col("set").alias("set_a")), "a")
     shared = F.size(F.array_intersect("set_a", "set_b"))
-    return both.where(shared * 100 >= (F.size("set_a") + F.size("set_b") - shared) * percent).select("a", "b")
+    return common.written(both.where(shared * 100 >= (F.size("set_a") + F.size("set_b") - shared) * percent).select("a", "b"), "links")
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -205,31 +227,42 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     all are null. An empty table gives none. Only doc_id and text are read.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    every = common.written(signatures(docs, words), "signatures")
+    every = common.written(signatures(docs, words).hint("rebalance"), "signatures")  # few files of even size
     some = every.where("n_shingles > 0")
     known = common.written(some.groupBy("class").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")), "classes")
 
-    # Buckets with several classes; their least class is compared with all others.
-    member = known.select(F.col("class").alias("b"), F.explode("bands").alias("bucket"))
-    heads = member.groupBy("bucket").agg(F.min("b").alias("a"), F.count("*").alias("size")).where("size > 1")
+    # Buckets with several classes; every class is compared with a few centres.
+    member = known.select(F.col("class").alias("b"), F.posexplode("bands").alias("band", "bucket"))
+    centres = F.array_distinct(F.array(F.min("b"), *(F.min_by("b", F.xxhash64("b", F.lit(k))) for k in range(1, CENTRES))))
+    heads = member.groupBy("bucket").agg(centres.alias("centres"), F.count("*").alias("size")).where("size > 1")
     members = common.written(member.join(heads, "bucket"), "members")
-    facts = known.select("class", "n", "sketch")
-    side = lambda c: facts.select(F.col("class").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}"))
-    fit = _alike(F.col("sketch_a"), F.col("sketch_b"), F.col("n_a"), F.col("n_b"), percent)
-    stars = members.where("a <> b").select("a", "b").distinct()
+    side = lambda c: known.select(F.col("class").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}"))
+    fit = _alike(F.col("sketch_a"), F.col("sketch_b"), F.col("n_a"), F.col("n_b"), percent, most_odd(percent))
+    met = members.select("b", F.explode("centres").alias("c")).where("c <> b").groupBy("b").agg(F.collect_set("c").alias("met"))
+    dealt = F.transform(F.array_sort(F.transform("met", lambda c: F.struct(F.xxhash64("b", c).alias("at"), c.alias("c")))), lambda x: x["c"])
+    few = F.array_union(F.slice(F.array_sort("met"), 1, LEAST), F.slice(dealt, 1, DEALT))
+    stars = met.select("b", F.explode(few).alias("c")).select(F.least("b", "c").alias("a"), F.greatest("b", "c").alias("b")).distinct()
     stars = common.written(stars.join(side("b"), "b").join(side("a"), "a").where(fit).select("a", "b"), "pairs")
-    links = common.written(_confirmed(stars, docs, known, words, percent), "links")
-
-    # Buckets whose members are not one component: members of different ones, but for pairs seen.
+    links = _confirmed(stars, docs, known, words, percent)
     labels = graph.components(links)
-    label = F.coalesce("label", "b")
-    told = members.where("size > 2").join(labels.withColumnRenamed("node", "b"), "b", "left").select("bucket", "a", "b", label.alias("label"))
-    mixed = told.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
-    rest = told.join(mixed, "bucket").where("a <> b").join(side("b"), "b")
-    one = rest.select("bucket", F.col("b").alias("x"), F.col("label").alias("label_a"), F.col("n_b").alias("n_a"), F.col("sketch_b").alias("sketch_a"))
-    two = rest.select("bucket", F.col("b").alias("y"), F.col("label").alias("label_b"), "n_b", "sketch_b")
-    cross = one.join(two, "bucket").where(F.col("label_a") < F.col("label_b")).where(fit)
-    cross = common.written(cross.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "pairs")
+
+    # Buckets whose members are not one component: those outside the commonest
+    # one against all of other components, each pair in the first bucket that it shares.
+    told = members.join(labels.withColumnRenamed("node", "b"), "b", "left").select("bucket", "band", "b", F.coalesce("label", "b").alias("label"))
+    mixed = told.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.mode("label").alias("usual")).where("low <> high").select("bucket", "usual")
+    rest = common.written(told.join(mixed, "bucket"), "mixed")
+    wanted = rest.select(F.col("b").alias("class")).distinct().join(known.select("class", "id", "n", "bands"), "class")
+    finer = _wanted(docs, wanted.select("class", "id"), words, "fine", _finer).dropDuplicates(["class"])
+    facts = finer.join(wanted.select("class", "n", "bands"), "class").withColumnRenamed("class", "b")
+    full = common.written(rest.join(facts, "b"), "mixed")
+    mine = lambda c, *more: [F.col(x).alias(f"{x}_{c}") for x in ("b", "label", "n", "fine", "bands", *more)]
+    one = full.where("label <> usual").select("bucket", "band", *mine("x"))
+    two = full.select("bucket", *mine("y", "usual"))
+    first_shared = F.array_position(F.zip_with("bands_x", "bands_y", lambda x, y: x == y), True) == F.col("band") + 1
+    once = (F.col("label_y") == F.col("usual_y")) | (F.col("label_x") < F.col("label_y"))
+    near = _alike(F.col("fine_x"), F.col("fine_y"), F.col("n_x"), F.col("n_y"), percent, most_odd(percent, FINE, FINE_SKETCH))
+    cross = one.join(two, (one["bucket"] == two["bucket"]) & (F.col("label_x") != F.col("label_y")) & once & first_shared & near)
+    cross = common.written(cross.select(F.col("b_x").alias("a"), F.col("b_y").alias("b")), "pairs")
     if not cross.isEmpty():
         more = _confirmed(cross, docs, known, words, percent)
         labels = graph.components(links.unionByName(more))

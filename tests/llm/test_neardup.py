@@ -85,7 +85,7 @@ def test_sketches_estimate_high_similarity():
             codes, first = neardup.shingles(pa.array(texts), 1)
             a, b = neardup.odd_sketches(neardup.samples(codes, first)).view(np.uint64)
             odd.append(int(np.bitwise_count(a ^ b).sum()))
-        guess = 1 + neardup.SKETCH / (4 * neardup.HASHES) * np.log(1 - 2 * np.mean(odd) / neardup.SKETCH)
+        guess = 1 + neardup.SKETCH / (4 * neardup.FOLDED) * np.log(1 - 2 * np.mean(odd) / neardup.SKETCH)
         assert abs(guess - similar) < 0.03
         assert max(odd) <= neardup.most_odd(80)
 
