@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Bytes of text that one vectorised step takes, unless one document is longer.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _U = np.uint64
@@ -87,6 +87,17 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             end = max(at + 1, int(np.searchsorted(size, before + limit, "right")))
             yield batch.slice(at, end - at)
             at = end
+        _trim()
+
+
+def _trim() -> None:
+    """Hand freed memory back to the system, where its C library can: workers stay alive between tasks."""
+    import ctypes
+
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
 
 
 def lengths(texts: pa.Array) -> np.ndarray:
