@@ -17,6 +17,7 @@ the same order of merges.
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
 import re
 import sys
@@ -32,7 +33,7 @@ from millrace.llm import common
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Bytes of text taken at once by one worker.
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 #: Entries in each of a worker's two cache generations.
 CACHE = 400_000
 #: Pieces longer than this many bytes take the heap.
@@ -241,6 +242,10 @@ def _pattern(pattern: str | None) -> str:
     return pattern
 
 
+def _texts(batch: pa.RecordBatch) -> list[str]:
+    return [(x or b"").decode("utf-8", "replace") for x in batch.column("_text").cast(pa.binary()).to_pylist()]
+
+
 def encode(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), ranks: str | None = None, pattern: str | None = None) -> DataFrame:
     """The columns named in keep, and ids array<int> of each whole text.
 
@@ -255,8 +260,7 @@ def encode(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), ranks: str | No
     def run(batches):
         codec = _codec(content.value, pattern)
         for batch in common.pieces(batches, "_text", CHUNK):
-            texts = [(x or b"").decode("utf-8", "replace") for x in batch.column("_text").cast(pa.binary()).to_pylist()]
-            packed = codec.encode(texts)
+            packed = codec.encode(_texts(batch))
             ends = np.cumsum([0] + [len(p) // 4 for p in packed]).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(packed), np.int32)))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), ids], [*keep, "ids"])
@@ -296,15 +300,29 @@ def _list_sizes(lists: pa.Array) -> np.ndarray:
     return pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def digests(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """keep, n_tokens, ids_sha256 and decoded_sha256: the texts encoded, and the ids decoded again."""
-    told = (*keep, "n_tokens", "ids_sha256")
-    encoded = (
-        encode(docs, keep)
-        .withColumn("n_tokens", F.size("ids").cast("long"))
-        .withColumn("ids_sha256", F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256))
-    )
-    return decode(encoded, told).select(*told, F.sha2("decoded", 256).alias("decoded_sha256"))
+def digests(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), ranks: str | None = None, pattern: str | None = None) -> DataFrame:
+    """keep, n_tokens, ids_sha256 and decoded_sha256: the texts encoded, and the ids decoded again.
+
+    As encode() and decode(), but one worker does both for each chunk, so ids
+    never travel. Rows behave as in encode(); the three names must not be kept.
+    """
+    content = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks))
+    pattern = _pattern(pattern)
+    told = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
+    schema = T.StructType([docs.schema[c] for c in keep] + told)
+
+    def run(batches):
+        codec = _codec(content.value, pattern)
+        for batch in common.pieces(batches, "_text", CHUNK):
+            packed = codec.encode(_texts(batch))
+            count = np.array([len(p) // 4 for p in packed], np.int64)
+            decoded = codec.decode(np.frombuffer(b"".join(packed), np.int32), count)
+            spelled = (b",".join([b"%d" % i for i in array("i", p)]) for p in packed)
+            columns = [pa.array(count), *(pa.array([hashlib.sha256(x).hexdigest() for x in y]) for y in (spelled, decoded))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *columns], schema.names)
+
+    common.small_batches(docs.sparkSession)
+    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, schema)
 
 
 def op4_byte_bpe(spark, sf_dir: str) -> DataFrame:

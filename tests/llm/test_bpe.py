@@ -60,3 +60,13 @@ def test_digests_of_odd_rows(spark):
         assert got[doc_id]["ids_sha256"] == hashlib.sha256(",".join(map(str, want)).encode()).hexdigest()
         assert got[doc_id]["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
     assert bpe.digests(docs.limit(0)).count() == 0
+
+
+def test_tables_of_ids_decode_again(spark):
+    rows = [(1, None, 1), (2, "", 2), (3, "the cat\n  sat", 3), (3, "the cat\n  sat", 3), (4, "Wörter " * 2_000, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, decoded int")
+    encoded = bpe.encode(docs)
+    assert sorted((r["doc_id"], r["ids"]) for r in encoded.collect()) == sorted((i, ENCODING.encode_ordinary(t or "")) for i, t, _ in rows)
+    assert sorted((r["doc_id"], bytes(r["decoded"]).decode()) for r in bpe.decode(encoded).collect()) == sorted((i, t or "") for i, t, _ in rows)
+    absent = spark.createDataFrame([(1, None), (2, [])], "doc_id long, ids array<int>")
+    assert {bytes(r["decoded"]) for r in bpe.decode(absent).collect()} == {b""}
