@@ -13,7 +13,8 @@ Equal sets are one class, so copies cost one row. Links are needed for
 components only, so no bucket emits all its pairs: first every member is
 compared with a few of them; then, in buckets that still hold several
 components, members outside the commonest one with those of other components,
-by finer sketches first. No link between components is left.
+by finer sketches first and by a bitmap of whole sets, whose exclusive or never
+has more bits than elements that differ. No link between components is left.
 
 Scale: texts are read twice and never shuffled whole. Sets are sent only for
 classes in some candidate pair, told by a bitmap of fixed size (a false hit
@@ -40,6 +41,8 @@ HASHES, ROWS = 128, 4
 FOLDED, SKETCH = 256, 1024
 #: The same of the finer sketches that members of buckets with several components get.
 FINE, FINE_SKETCH = 1024, 4096
+#: Bits of a whole set's parity bitmap.
+WHOLE = 4096
 #: Members of each bucket that may be its centres, and how many of those it meets
 #: in all its buckets (bands times CENTRES at most) a class is compared with at
 #: first: the LEAST least and DEALT by a hash. The rest is for the second step.
@@ -173,7 +176,7 @@ def _bitmap(ids: DataFrame) -> np.ndarray:
     return out.view(np.uint64)
 
 
-def _wanted(docs: DataFrame, wanted: DataFrame, words: int, name: str, make) -> DataFrame:
+def _wanted(docs: DataFrame, wanted: DataFrame, words: int, name: str, make, kind: str = "array<long>") -> DataFrame:
     """(class, name) of the classes in wanted (class, id): make(codes, first), from the documents of those ids."""
     bits = docs.sparkSession.sparkContext.broadcast(_bitmap(wanted.select("id")))
     rows = common.doc_rows(docs).withColumn("_place", F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP)))
@@ -189,21 +192,42 @@ def _wanted(docs: DataFrame, wanted: DataFrame, words: int, name: str, make) ->
                 batch, first = batch.filter(pa.array(some)), np.concatenate((first[:-1][some], first[-1:]))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(classes(codes, first), pa.int64()), make(codes, first)], ["id", "class", name])
 
-    return rows.mapInArrow(run, f"id long, class long, {name} array<long>").join(wanted, ["class", "id"]).select("class", name)
+    return rows.mapInArrow(run, f"id long, class long, {name} {kind}").join(wanted, ["class", "id"]).select("class", name)
 
 
 def _sets(codes: np.ndarray, first: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(codes.view(np.int64), pa.int64()))
 
 
+def parities(codes: np.ndarray, first: np.ndarray, bits: int = WHOLE) -> np.ndarray:
+    """Parity bits of each whole set, as numbers of 64 bits: every element turns one."""
+    rows = len(first) - 1
+    bit = (common.mix(codes ^ np.uint64(0x2545F4914F6CDD1D)) % np.uint64(bits)).astype(np.int64)
+    flat = np.repeat(np.arange(rows), np.diff(first)) * bits + bit
+    odd = (np.bincount(flat, minlength=rows * bits) & 1).astype(np.uint8).reshape(rows, bits)
+    return np.packbits(odd, axis=1).view(np.int64).reshape(rows, bits // 64)
+
+
+_FINER = "struct<odd:array<long>,whole:array<long>>"
+
+
 def _finer(codes: np.ndarray, first: np.ndarray) -> pa.Array:
-    return _lists(odd_sketches(samples(codes, first, FINE), FINE_SKETCH), FINE_SKETCH // 64)
+    odd = odd_sketches(samples(codes, first, FINE), FINE_SKETCH)
+    return pa.StructArray.from_arrays([_lists(odd, FINE_SKETCH // 64), _lists(parities(codes, first), WHOLE // 64)], ["odd", "whole"])
+
+
+def _differing(sketch: Column, other: Column) -> Column:
+    return F.aggregate(F.zip_with(sketch, other, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
+
+
+def _may_link(whole: Column, other: Column, n: Column, m: Column, percent: int) -> Column:
+    """False only for pairs that are no link: bits that differ are at most the elements that do."""
+    return _differing(whole, other) * (100 + percent) <= (n + m) * (100 - percent)
 
 
 def _alike(sketch: Column, other: Column, n: Column, m: Column, percent: int, most: int) -> Column:
     """Whether sizes, and sketches that may differ in `most` bits, allow for the similarity."""
-    odd = F.aggregate(F.zip_with(sketch, other, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
-    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (odd <= most)
+    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (_differing(sketch, other) <= most)
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, known: DataFrame, words: int, percent: int) -> DataFrame:
@@ -252,7 +276,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     mixed = told.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.mode("label").alias("usual")).where("low <> high").select("bucket", "usual")
     rest = common.written(told.join(mixed, "bucket"), "mixed")
     wanted = rest.select(F.col("b").alias("class")).distinct().join(known.select("class", "id", "n", "bands"), "class")
-    finer = _wanted(docs, wanted.select("class", "id"), words, "fine", _finer).dropDuplicates(["class"])
+    finer = _wanted(docs, wanted.select("class", "id"), words, "fine", _finer, _FINER).dropDuplicates(["class"])
     facts = finer.join(wanted.select("class", "n", "bands"), "class").withColumnRenamed("class", "b")
     full = common.written(rest.join(facts, "b"), "mixed")
     mine = lambda c, *more: [F.col(x).alias(f"{x}_{c}") for x in ("b", "label", "n", "fine", "bands", *more)]
@@ -260,7 +284,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     two = full.select("bucket", *mine("y", "usual"))
     first_shared = F.array_position(F.zip_with("bands_x", "bands_y", lambda x, y: x == y), True) == F.col("band") + 1
     once = (F.col("label_y") == F.col("usual_y")) | (F.col("label_x") < F.col("label_y"))
-    near = _alike(F.col("fine_x"), F.col("fine_y"), F.col("n_x"), F.col("n_y"), percent, most_odd(percent, FINE, FINE_SKETCH))
+    near = _alike(F.col("fine_x")["odd"], F.col("fine_y")["odd"], F.col("n_x"), F.col("n_y"), percent, most_odd(percent, FINE, FINE_SKETCH))
+    near &= _may_link(F.col("fine_x")["whole"], F.col("fine_y")["whole"], F.col("n_x"), F.col("n_y"), percent)
     cross = one.join(two, (one["bucket"] == two["bucket"]) & (F.col("label_x") != F.col("label_y")) & once & first_shared & near)
     cross = common.written(cross.select(F.col("b_x").alias("a"), F.col("b_y").alias("b")), "pairs")
     if not cross.isEmpty():

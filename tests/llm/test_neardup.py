@@ -106,3 +106,19 @@ def test_components(spark):
             parent[y] = x
     got = {r["node"]: r["label"] for r in graph.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {x: root(x) for x in parent}
+
+
+def test_parities_rule_out_no_link():
+    random = np.random.default_rng(5)
+    for size in (1, 3, 40, 400, 6000):
+        for swapped in (0, 1, size // 20, size // 9, size // 8, size // 3):
+            a = np.sort(random.integers(0, 1 << 63, size, dtype=np.uint64))
+            b = np.sort(np.concatenate((a[swapped:], random.integers(0, 1 << 63, swapped, dtype=np.uint64))))
+            both = neardup.parities(np.concatenate((a, b)), np.array([0, size, 2 * size])).view(np.uint64)
+            odd = sum(int(x).bit_count() for x in both[0] ^ both[1])
+            shared = len(np.intersect1d(a, b))
+            assert odd <= 2 * (size - shared)
+            if shared * 100 >= (2 * size - shared) * 80:
+                assert odd * 180 <= 2 * size * 20
+            elif size == 400:
+                assert odd * 180 > 2 * size * 20 or shared * 100 > (2 * size - shared) * 78
