@@ -2,10 +2,9 @@
 
 Words and word pairs of the training documents are counted exactly. An n-gram
 with count c has the quantised count q = 1 + floor(log2 c) and is put into a
-Bloom filter q times, with the levels 1 to q. The filter goes to all workers. A
-count is read back by probing level after level until one is missing; scores
-interpolate the pair's share of its first word with the word's own add-one
-estimate, both from probed counts.
+Bloom filter q times, with the levels 1 to q. A count is read back by probing
+level after level until one is missing; scores interpolate the pair's share of
+its first word with the word's own add-one estimate, both from probed counts.
 
 The base score needs exact counts of single words, whose number is unbounded.
 Words with at least one in HEAVY of all tokens (HEAVY of them at most) are
@@ -13,15 +12,19 @@ broadcast; all others meet their counts in a shuffle join, part by part.
 
 Scale: counts leave a map task as packed blobs, one for each part and flush,
 already summed over the flush, so a word or pair that stands in a third of all
-rows is one entry per flush. Texts are read twice and never shuffled. What the
-corpus gives (counted n-grams) grows with it; the filter has at most FILTER_BITS
-bits. Beyond 2**29 / 10 or so stored levels its false hits grow; raise
-FILTER_BITS with the corpus. Each part of the n-grams has a segment of its own
-in the filter, so segments are made in parallel and never merged.
+rows is one entry per flush. Texts are read twice. Each part of the n-grams has
+a segment of its own in the filter, of ITEM_BITS for each stored level, so
+segments are made in parallel and false hits stay as rare in any corpus. A
+filter of up to FILTER_BITS goes to all workers. A larger one stays in its
+parts: each flush asks every part for the counts and levels of its distinct words
+and pairs by a shuffle join, and its words follow as numbers to where it is summed.
 """
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -31,7 +34,7 @@ from pyspark.sql import functions as F
 from millrace.llm import common
 
 FOLDS, HELD = 7, 2
-#: Bits of the whole filter at most (64 MB), and bits wanted for each stored level.
+#: Bits of the largest filter that goes to all workers (64 MB), and bits for each stored level.
 FILTER_BITS = 1 << 29
 ITEM_BITS = 10
 #: Weight of word pairs in the interpolation.
@@ -75,12 +78,12 @@ def _part(codes: np.ndarray, parts: int) -> np.ndarray:
     return ((codes >> _U(40)) % _U(parts)).astype(np.int64)
 
 
-def _cells(keys: np.ndarray, level: int, pair: bool, probes: int, bits: np.ndarray | int) -> list[np.ndarray]:
+def _cells(keys: np.ndarray, level: int, pair: bool, probes: int, bits: np.ndarray | int) -> Iterator[np.ndarray]:
     """Bit places of (key, level) within its segment of `bits` bits, one array for each probe."""
     x = common.mix((keys & _LOW) + _U(level) * _LEVEL + (_PAIR if pair else _U(0)))
     y = (x >> _U(17)) | _U(1)
     bits = np.asarray(bits, np.uint64)
-    return [((x + _U(i) * y) % bits).astype(np.int64) for i in range(probes)]
+    return (((x + _U(i) * y) % bits).astype(np.int64) for i in range(probes))
 
 
 def levels(counts: np.ndarray) -> np.ndarray:
@@ -88,11 +91,12 @@ def levels(counts: np.ndarray) -> np.ndarray:
     return 1 + np.floor(np.log2(np.maximum(counts, 1))).astype(np.int64)
 
 
-def segment(words: np.ndarray, word_counts: np.ndarray, couples: np.ndarray, couple_counts: np.ndarray, most: int) -> tuple[np.ndarray, int]:
-    """(the bits of one part's segment as 64-bit numbers, probes), of at most `most` bits."""
+def segment(words: np.ndarray, word_counts: np.ndarray, couples: np.ndarray, couple_counts: np.ndarray, most: int | None = None) -> tuple[np.ndarray, int]:
+    """(the bits of one part's segment as 64-bit numbers, probes), of at most `most` bits if that is given."""
     q, p = levels(word_counts), levels(couple_counts)
     items = int(q.sum() + p.sum())
-    bits = max(64, min(most, items * ITEM_BITS) // 64 * 64)
+    wanted = items * ITEM_BITS
+    bits = max(64, (wanted if most is None else min(most, wanted)) // 64 * 64)
     probes = int(np.clip(round(bits / max(items, 1) * np.log(2)), 1, 7))
     flags = np.zeros(bits, bool)
     for keys, q, pair in ((words, q, False), (couples, p, True)):
@@ -119,7 +123,10 @@ class Filter:
 
     def counts(self, codes: np.ndarray, pair: bool) -> np.ndarray:
         """The counts that the stored levels stand for; 0 for what is not there."""
-        part = _part(codes, self.parts)
+        return stands_for(self.levels(codes, pair, _part(codes, self.parts)))
+
+    def levels(self, codes: np.ndarray, pair: bool, part: np.ndarray) -> np.ndarray:
+        """The levels stored for codes of the parts given, of which the low 40 bits count; 0 for what is not there."""
         found = np.zeros(len(codes), np.int64)
         alive = np.arange(len(codes))
         level = 0
@@ -136,7 +143,21 @@ class Filter:
             found[alive] = level
             if level >= 48:
                 break
-        return np.where(found > 1, 1.4 * np.exp2(found - 1), found)
+        return found
+
+
+def stands_for(level: np.ndarray) -> np.ndarray:
+    """The counts that levels stand for."""
+    return np.where(level > 1, 1.4 * np.exp2(level - 1.0), level)
+
+
+def log_chances(single: np.ndarray, back: np.ndarray, both: np.ndarray, first: np.ndarray, starts: float, smooth: int) -> np.ndarray:
+    """log10 of each token's chance, from the counts of distinct words, each token's word and the pairs' counts."""
+    # Counts of the words before: the tokens' own, one place earlier; starts are as many as documents learnt from.
+    ahead = np.concatenate(([0.0], single[back][:-1]))
+    ahead[first[:-1]] = starts
+    share = np.minimum(1, np.divide(both, ahead, out=np.zeros(len(both)), where=ahead > 0))
+    return np.log10(PAIRS * share + (1 - PAIRS) * ((single + 1) / smooth)[back])
 
 
 def held_out(doc_id="doc_id"):
@@ -151,7 +172,7 @@ def _summed(codes: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.nda
     first = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1]))) if len(codes) else np.zeros(0, np.int64)
     if counts is None:
         return codes[first], np.diff(np.concatenate((first, [len(codes)])))
-    return codes[first], np.add.reduceat(counts[order], first) if len(first) else counts[:0]
+    return codes[first], np.add.reduceat(counts[order], first, dtype=np.int64) if len(first) else np.zeros(0, np.int64)
 
 
 def _by_part(part: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
@@ -171,6 +192,8 @@ def _flushes(batches, take):
             held, size, rows = [], 0, 0
     if held:
         yield from take(held)
+    held = None
+    common._trim()
 
 
 def _pack_pairs(codes: np.ndarray, counts: np.ndarray) -> bytes:
@@ -179,19 +202,65 @@ def _pack_pairs(codes: np.ndarray, counts: np.ndarray) -> bytes:
     if more.any():
         codes = np.concatenate((codes, np.repeat(codes, more)))
         counts = np.concatenate((counts - more * 255, np.full(int(more.sum()), 255)))
-    low = (codes & _LOW).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
-    return np.ascontiguousarray(low).tobytes() + counts.astype(np.uint8).tobytes()
+    return _pack_low(codes) + counts.astype(np.uint8).tobytes()
 
 
 def _unpack_pairs(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     n = len(blob) // 6
+    return _unpack_low(blob, n), np.frombuffer(blob, np.uint8, n, n * 5)
+
+
+def _pack_low(codes: np.ndarray) -> bytes:
+    """The low 40 bits of codes."""
+    return np.ascontiguousarray((codes & _LOW).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+
+
+def _unpack_low(blob: bytes, n: int, at: int = 0) -> np.ndarray:
     wide = np.zeros((n, 8), np.uint8)
-    wide[:, :5] = np.frombuffer(blob, np.uint8, n * 5).reshape(n, 5)
-    return wide.view("<u8")[:, 0].astype(np.uint64), np.frombuffer(blob, np.uint8, n, n * 5).astype(np.int64)
+    wide[:, :5] = np.frombuffer(blob, np.uint8, n * 5, at).reshape(n, 5)
+    return wide.view("<u8")[:, 0].astype(np.uint64)
+
+
+def _squeezed(blob: bytes) -> bytes:
+    return len(blob).to_bytes(8, "little") + pa.Codec("zstd", compression_level=1).compress(blob, asbytes=True)
+
+
+def _full(blob: bytes) -> bytes:
+    return pa.Codec("zstd").decompress(blob[8:], int.from_bytes(blob[:8], "little"), asbytes=True)
+
+
+def _by_use(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct codes, the commonest first; each token's place among them)."""
+    words, back, uses = np.unique(codes, return_inverse=True, return_counts=True)
+    order = np.argsort(-uses, kind="stable")
+    place = np.empty(len(words), np.int64)
+    place[order] = np.arange(len(words))
+    return words[order], place[back]
+
+
+def _pack_text(words: np.ndarray, back: np.ndarray) -> bytes:
+    """Distinct word codes and each token's place among them, byte by byte so that the high ones compress."""
+    planes = np.ascontiguousarray(back.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+    return _squeezed(np.array([len(words)], np.int64).tobytes() + words.tobytes() + planes.tobytes())
 
 
-def count(docs: DataFrame, parts: int, filter_bits: int) -> DataFrame:
-    """Rows for each part: kind 0 with word codes and counts, kind 1 with the filter's segment."""
+def _unpack_text(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    blob = _full(blob)
+    n = int(np.frombuffer(blob, np.int64, 1)[0])
+    planes = np.frombuffer(blob, np.uint8, offset=8 + 8 * n).reshape(4, -1)
+    return np.frombuffer(blob, np.uint64, n, 8), np.ascontiguousarray(planes.T).view("<u4")[:, 0].astype(np.int64)
+
+
+def _looked_up(known: np.ndarray, n: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Counts of words by the sorted codes and counts of a part; 0 for what is not there."""
+    if not len(known):
+        return np.zeros(len(word), np.int64)
+    place = np.minimum(np.searchsorted(known, word), len(known) - 1)
+    return np.where(known[place] == word, n[place], 0)
+
+
+def count(docs: DataFrame, parts: int) -> DataFrame:
+    """Rows for each part: kind 0 with word codes and counts, their sum and number; kind 1 with the filter's segment, its probes and bits."""
 
     def run(batches):
         def take(held):
@@ -219,22 +288,27 @@ def count(docs: DataFrame, parts: int, filter_bits: int) -> DataFrame:
         yield from _flushes(batches, take)
 
     def gather(rows: pa.Table) -> pa.Table:
-        part, kinds, blobs = rows.column("part")[0].as_py(), rows.column("kind").to_pylist(), rows.column("blob").to_pylist()
-        split = [(len(b) // 12, b) for b, k in zip(blobs, kinds, strict=True) if k == 0]
+        part, kinds = rows.column("part")[0].as_py(), rows.column("kind").to_pylist()
+        blobs = [b.as_buffer() for b in rows.column("blob")]
+        split = [(b.size // 12, b) for b, k in zip(blobs, kinds, strict=True) if k == 0]
         words, word_counts = _summed(
             np.concatenate([np.frombuffer(b, np.uint64, n) for n, b in split] or [np.zeros(0, np.uint64)]),
-            np.concatenate([np.frombuffer(b, np.uint32, n, n * 8) for n, b in split] or [np.zeros(0, np.uint32)]).astype(np.int64),
+            np.concatenate([np.frombuffer(b, np.uint32, n, n * 8) for n, b in split] or [np.zeros(0, np.uint32)]),
         )
         found = [_unpack_pairs(b) for b, k in zip(blobs, kinds, strict=True) if k == 1]
-        couples, couple_counts = _summed(np.concatenate([c for c, _ in found] or [np.zeros(0, np.uint64)]), np.concatenate([n for _, n in found] or [np.zeros(0, np.int64)]))
-        bits, probes = segment(words, word_counts, couples, couple_counts, filter_bits // parts)
+        found = [np.concatenate(x) for x in zip(*found, strict=True)] or [np.zeros(0, np.uint64), np.zeros(0, np.uint8)]
+        couples, couple_counts = _summed(*found)
+        del found, split, blobs
+        common._trim()
+        bits, probes = segment(words, word_counts, couples, couple_counts)
+        common._trim()
         return pa.table(
             {
                 "part": pa.array([part, part], pa.int32()),
                 "kind": pa.array([0, 1], pa.int8()),
                 "blob": pa.array([words.tobytes() + word_counts.tobytes(), bits.tobytes()], pa.binary()),
                 "total": pa.array([int(word_counts.sum()), probes], pa.int64()),
-                "distinct": pa.array([len(words), 0], pa.int64()),
+                "distinct": pa.array([len(words), len(bits) * 64], pa.int64()),
             }
         )
 
@@ -268,20 +342,61 @@ def scores(docs: DataFrame, filter_bits: int = FILTER_BITS) -> DataFrame:
 
     A null or empty text is one token, the end. Rows that agree are counted and
     scored one by one. A null doc_id is learnt from. With nothing to learn from
-    N and V are 0. An empty table gives none. Other columns are not read.
+    N and V are 0. An empty table gives none. Other columns are not read. A
+    filter of more than filter_bits is not sent out; results are the same.
     """
     spark = docs.sparkSession
     common.small_batches(spark)
     parts = common.tasks(docs)
     docs = common.doc_rows(docs.withColumn("doc_id", F.col("doc_id").cast("long"))).withColumn("held_out", held_out())
-    counts = count(docs, parts, filter_bits)
-    facts = counts.where("kind = 0").agg(F.sum("total").alias("n"), F.sum("distinct").alias("v")).first()
-    total, distinct = facts["n"] or 0, facts["v"] or 0
-    segments = counts.where("kind = 1").select("part", "total", "blob").toLocalIterator()
-    shared = spark.sparkContext.broadcast(Filter([(r["part"], r["total"], bytes(r["blob"])) for r in segments], parts))
-    heavy = spark.sparkContext.broadcast(_heavy(counts, total // HEAVY + 1))
+    counts = count(docs, parts)
+    facts = {r["kind"]: r for r in counts.groupBy("kind").agg(F.sum("total").alias("n"), F.sum("distinct").alias("v")).collect()}
+    total, distinct, bits = (facts[0]["n"], facts[0]["v"], facts[1]["v"]) if facts else (0, 0, 0)
+    apart = bits > filter_bits
+    if not apart:
+        segments = counts.where("kind = 1").select("part", "total", "blob").toLocalIterator()
+        heavy = spark.sparkContext.broadcast(_heavy(counts, total // HEAVY + 1))
+        shared = spark.sparkContext.broadcast(Filter([(r["part"], r["total"], bytes(r["blob"])) for r in segments], parts))
     denominator = float(np.log10(total + distinct + 1))
 
+    def sent(flush: str, out: list[tuple[int, int, bytes]], held: list[pa.RecordBatch], local: dict[str, np.ndarray]) -> pa.RecordBatch:
+        """Rows of a flush: out (part, kind, blob), and what it knows of its documents, as kind 1, to some part."""
+        ids = {"doc_id": pa.concat_arrays([b.column("doc_id") for b in held]), "held_out": pa.concat_arrays([b.column("held_out") for b in held])}
+        sink = pa.BufferOutputStream()
+        told = pa.record_batch(ids | local)
+        with pa.ipc.new_stream(sink, told.schema) as stream:
+            stream.write_batch(told)
+        part, kind, blob = zip(*out, (zlib.crc32(flush.encode()) % parts, 1, sink.getvalue().to_pybytes()), strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(kind, pa.int8()), pa.array([flush] * len(part)), pa.array(blob, pa.binary())], ["part", "kind", "flush", "blob"])
+
+    def ask(batches):
+        """For a filter in parts: kind 2 asks each part for its words and pairs, kind 3 has the texts."""
+        from pyspark import TaskContext
+
+        task, number = TaskContext.get().partitionId(), 0
+
+        def take(held):
+            nonlocal number
+            flush, number = f"{task}:{number}", number + 1
+            codes_of, couples_of, sizes = [], [], []
+            for batch in held:
+                codes, first = tokens(batch.column("text"))
+                codes_of.append(codes)
+                couples_of.append(pairs(codes, first)[1])
+                sizes.append(np.diff(first))
+            word, back = _by_use(np.concatenate(codes_of))
+            couple = np.unique(np.concatenate(couples_of))
+            (words, word_ends), (couples, couple_ends) = ((x[order], ends) for x in (word, couple) for order, ends in [_by_part(_part(x, parts), parts)])
+            out = []
+            for p in range(parts):
+                w, c = words[word_ends[p] : word_ends[p + 1]], couples[couple_ends[p] : couple_ends[p + 1]]
+                if len(w) or len(c):
+                    out.append((p, 2, np.array([len(w), len(c)], np.int64).tobytes() + w.tobytes() + _pack_low(c)))
+            out.append((zlib.crc32(flush.encode()) % parts, 3, _pack_text(word, back)))
+            yield sent(flush, out, held, {"size": np.concatenate(sizes)})
+
+        yield from _flushes(batches, take)
+
     def run(batches):
         from pyspark import TaskContext
 
@@ -300,15 +415,9 @@ def scores(docs: DataFrame, filter_bits: int = FILTER_BITS) -> DataFrame:
                 n = len(first) - 1
                 doc = np.repeat(np.arange(n), np.diff(first))
                 word, back = np.unique(codes, return_inverse=True)
-                single = grams.counts(word, False)
-                before, couple = pairs(codes, first)
-                # Counts of the words before: the tokens' own, one place earlier; starts are as many as documents learnt from.
-                ahead = np.concatenate(([0.0], single[back][:-1]))
-                ahead[first[:-1]] = grams.counts(np.array([_END]), False)[0]
-                both = grams.counts(couple, True)
-                share = np.minimum(1, np.divide(both, ahead, out=np.zeros(len(both)), where=ahead > 0))
-                chance = PAIRS * share + (1 - PAIRS) * ((single + 1) / (total + distinct + 1))[back]
-                local["score"].append(np.bincount(doc, np.log10(chance), n))
+                both, starts = grams.counts(pairs(codes, first)[1], True), grams.counts(np.array([_END]), False)[0]
+                chance = log_chances(grams.counts(word, False), back, both, first, starts, total + distinct + 1)
+                local["score"].append(np.bincount(doc, chance, n))
                 local["size"].append(np.diff(first))
                 place = np.minimum(np.searchsorted(codes_heavy, word), max(0, len(codes_heavy) - 1))
                 is_heavy = codes_heavy[place] == word if len(codes_heavy) else np.zeros(len(word), bool)
@@ -319,7 +428,7 @@ def scores(docs: DataFrame, filter_bits: int = FILTER_BITS) -> DataFrame:
                 codes_of.append(codes[rare])
                 doc_of.append(doc[rare] + rows)
                 rows += n
-            columns = [[], [], [], [], []]
+            out = []
             codes, doc = np.concatenate(codes_of), np.concatenate(doc_of)
             order = np.argsort(codes, kind="stable")
             codes, doc = codes[order], doc[order]
@@ -332,27 +441,25 @@ def scores(docs: DataFrame, filter_bits: int = FILTER_BITS) -> DataFrame:
                     where = common.ranges(ends_of[at], uses[at])
                     head = np.array([rows, len(at)], np.int64).tobytes()
                     blob = head + word[at].tobytes() + uses[at].astype(np.int32).tobytes() + doc[where].astype(np.uint16).tobytes()
-                    for column, x in zip(columns, (p, 0, flush, blob, None), strict=True):
-                        column.append(x)
-            ids = pa.concat_arrays([b.column("doc_id") for b in held])
-            sink = pa.BufferOutputStream()
-            told = pa.record_batch(
-                {"doc_id": ids, "held_out": pa.concat_arrays([b.column("held_out") for b in held])} | {k: np.concatenate(v) for k, v in local.items()}
-            )
-            with pa.ipc.new_stream(sink, told.schema) as stream:
-                stream.write_batch(told)
-            for column, x in zip(columns, (number % parts, 1, flush, sink.getvalue().to_pybytes(), None), strict=True):
-                column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int8()), pa.array(columns[2]), pa.array(columns[3], pa.binary())], ["part", "kind", "flush", "blob"])
+                    out.append((p, 0, blob))
+            yield sent(flush, out, held, {k: np.concatenate(v) for k, v in local.items()})
 
         yield from _flushes(batches, take)
 
     def look_up(left: pa.Table, right: pa.Table) -> pa.Table:
-        flushes, kinds, blobs = left.column("flush").to_pylist(), left.column("kind").to_pylist(), left.column("blob").to_pylist()
-        tables = right.column("blob").to_pylist()
-        known, n = _counted(tables[0]) if tables else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        kinds, blobs = left.column("kind").to_pylist(), left.column("blob").to_pylist()
+        tables = {r["kind"]: r for r in right.to_pylist()}
+        known, n = _counted(tables[0]["blob"]) if tables else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        grams = Filter([(0, tables[1]["total"], tables[1]["blob"])] if 1 in tables else [], 1)
         out = []
         for kind, blob in zip(kinds, blobs, strict=True):
+            if kind == 2:
+                words, couples = np.frombuffer(blob, np.int64, 2).tolist()
+                word, couple = np.frombuffer(blob, np.uint64, words, 16), _unpack_low(blob, couples, 16 + 8 * words)
+                found = [grams.levels(x, pair, np.zeros(len(x), np.int64)) for x, pair in ((word, False), (couple, True))]
+                exact = _looked_up(known, n, word)
+                out.append(_squeezed(np.array([words], np.int64).tobytes() + exact.tobytes() + np.concatenate(found).astype(np.uint8).tobytes()))
+                continue
             if kind:
                 out.append(blob)
                 continue
@@ -360,22 +467,47 @@ def scores(docs: DataFrame, filter_bits: int = FILTER_BITS) -> DataFrame:
             word = np.frombuffer(blob, np.uint64, words, 16)
             uses = np.frombuffer(blob, np.int32, words, 16 + 8 * words)
             doc = np.frombuffer(blob, np.uint16, int(uses.sum()), 16 + 12 * words)
-            c = np.zeros(words)
-            if len(known):
-                place = np.minimum(np.searchsorted(known, word), len(known) - 1)
-                c = np.where(known[place] == word, n[place], 0)
+            c = _looked_up(known, n, word)
             base = np.bincount(doc, np.repeat(np.log10(c + 1.0), uses), rows)
             out.append(base.tobytes() + np.bincount(doc, np.repeat(c > 0, uses), rows).astype(np.int64).tobytes())
-        return pa.table({"flush": pa.array(flushes, pa.string()), "kind": pa.array(kinds, pa.int8()), "blob": pa.array(out, pa.binary())})
+        common._trim()
+        return left.select(["part", "flush", "kind"]).append_column("blob", pa.array(out, pa.binary()))
+
+    def answered(rows: pa.Table, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Base sums, known tokens and scores of a flush's documents, from what the parts have answered."""
+        got = sorted((r["part"], r["kind"], r["blob"]) for r in rows.select(["part", "kind", "blob"]).to_pylist() if r["kind"] > 1)
+        word, back = next(_unpack_text(b) for _, k, b in got if k == 3)
+        first, doc = np.concatenate(([0], np.cumsum(size))), np.repeat(np.arange(len(size)), size)
+        couple, back_couple = np.unique(pairs(word[back], first)[1], return_inverse=True)
+        common._trim()
+        exact, single, both = np.empty(len(word), np.int64), np.empty(len(word), np.int64), np.empty(len(couple), np.int64)
+        (words, word_ends), (couples, couple_ends) = (_by_part(_part(x, parts), parts) for x in (word, couple))
+        for part, kind, blob in got:
+            if kind == 2:
+                blob = _full(blob)
+                n = int(np.frombuffer(blob, np.int64, 1)[0])
+                told = np.frombuffer(blob, np.uint8, offset=8 + 8 * n)
+                at = words[word_ends[part] : word_ends[part + 1]]
+                exact[at], single[at] = np.frombuffer(blob, np.int64, n, 8), told[:n]
+                both[couples[couple_ends[part] : couple_ends[part + 1]]] = told[n:]
+        single, both = stands_for(single), stands_for(both)
+        starts = single[np.flatnonzero(word == _END)[0]]
+        chance = log_chances(single, back, both[back_couple], first, starts, total + distinct + 1)
+        sums = lambda x: np.bincount(doc, x, len(size))
+        return sums(np.log10(exact + 1.0)[back]), sums((exact > 0)[back]).astype(np.int64), sums(chance)
 
     def sum_up(rows: pa.Table) -> pa.Table:
         kinds, blobs = rows.column("kind").to_pylist(), rows.column("blob").to_pylist()
-        told = pa.ipc.open_stream(next(b for b, k in zip(blobs, kinds, strict=True) if k)).read_all()
-        base, known = told.column("base").to_numpy().copy(), told.column("known").to_numpy().copy()
-        for b in sorted(b for b, k in zip(blobs, kinds, strict=True) if not k):
-            base += np.frombuffer(b, np.float64, len(base))
-            known += np.frombuffer(b, np.int64, len(base), 8 * len(base))
+        told = pa.ipc.open_stream(next(b for b, k in zip(blobs, kinds, strict=True) if k == 1)).read_all()
         size = told.column("size").to_numpy()
+        if apart:
+            base, known, score = answered(rows, size)
+            common._trim()
+        else:
+            base, known, score = (told.column(k).to_numpy().copy() for k in ("base", "known", "score"))
+            for b in sorted(b for b, k in zip(blobs, kinds, strict=True) if k == 0):
+                base += np.frombuffer(b, np.float64, len(base))
+                known += np.frombuffer(b, np.int64, len(base), 8 * len(base))
         return pa.table(
             {
                 "doc_id": told.column("doc_id"),
@@ -384,13 +516,13 @@ def scores(docs: DataFrame, filter_bits: int = FILTER_BITS) -> DataFrame:
                 "n_known": pa.array(known, pa.int64()),
                 "train_tokens": pa.array(np.full(len(size), total), pa.int64()),
                 "base_score": pa.array(base - size * denominator, pa.float64()),
-                "score": told.column("score"),
+                "score": pa.array(score, pa.float64()),
             }
         )
 
-    blobs = docs.mapInArrow(run, "part int, kind byte, flush string, blob binary")
-    table = counts.where("kind = 0").select("part", "blob")
-    looked = blobs.groupBy("part").cogroup(table.groupBy("part")).applyInArrow(look_up, "flush string, kind byte, blob binary")
+    blobs = docs.mapInArrow(ask if apart else run, "part int, kind byte, flush string, blob binary")
+    table = counts.where("kind <= 1" if apart else "kind = 0").select("part", "kind", "total", "blob")
+    looked = blobs.groupBy("part").cogroup(table.groupBy("part")).applyInArrow(look_up, "part int, flush string, kind byte, blob binary")
     return looked.groupBy("flush").applyInArrow(sum_up, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 

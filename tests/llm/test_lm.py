@@ -79,6 +79,18 @@ def test_filter_counts_within_a_level():
     assert np.mean(found.counts(rng.integers(0, 1 << 63, 20_000).astype(np.uint64), False) > 0) < 0.02
 
 
+def test_filter_kept_in_its_parts_scores_the_same(spark, small):
+    docs = spark.createDataFrame(corpus(), "doc_id long, text string").repartition(3)
+    told = lambda df: sorted((str(r["doc_id"]), r["n_tokens"], r["n_known"], round(r["base_score"], 9), round(r["score"], 9)) for r in df.collect())
+    assert told(lm.scores(docs, filter_bits=64)) == told(lm.scores(docs))
+
+
+def test_filter_grows_with_the_levels():
+    codes = np.arange(1, 50_001, dtype=np.uint64)
+    bits, probes = lm.segment(codes, np.full(50_000, 4), codes, np.ones(50_000, np.int64))
+    assert (len(bits) * 64, probes) == (4 * 50_000 * lm.ITEM_BITS, 7)
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert lm.scores(none).count() == 0
