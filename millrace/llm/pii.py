@@ -21,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import re
 from bisect import bisect_left
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -145,8 +146,9 @@ _TWO = re.compile(rf"\b(?:{_ANY}){_GAP}(?:{_ANY}|{_DOT})\b|\b(?:{_ANY})\x20?\.")
 _WORD = re.compile(rf"\bplus\b|\b(?:{_ANY})\b|\b(?:{_DOT})\b|\.", re.I)
 _OPEN, _CLOSE = r"[\[({<]\x20?", r"\x20?[\])}>]"
 _MARKED = re.compile(rf"\x20?(?:{_OPEN}(?:(at)|{_DOT}){_CLOSE})\x20?", re.I)
-#: Bare words only where a whole address is spelled: name at host dot tld.
-_BARE = re.compile(r"(?<![A-Za-z0-9])[A-Za-z0-9._%+-]{1,64}(\x20at\x20)[A-Za-z0-9-]{1,63}((?:(?:\x20(?:dot)\x20)[A-Za-z0-9-]{1,63}){1,4})", re.I)
+#: Bare words only where a whole address is spelled: name at host dot tld, once the marked ones are rewritten.
+_NAME, _LABEL = r"[A-Za-z0-9._%+-]{1,64}+", r"[A-Za-z0-9-]{1,63}+"
+_BARE = re.compile(rf"(?<![A-Za-z0-9])({_NAME}(?:\x20dot\x20{_NAME}){{0,8}})(@|\x20at\x20)({_LABEL}(?:(?:\.|\x20dot\x20){_LABEL}){{1,8}})", re.I)
 _BARE_DOT = re.compile(r"\x20dot\x20", re.I)
 _HINT = re.compile(r"\x20dot\x20|[\[({<]\x20?(?:at|dot|punkt|point|punto)\x20?[\])}>]")
 
@@ -182,12 +184,22 @@ def _spelled(text: str) -> list[tuple[int, int, str]]:
 
 
 def _marks(text: str) -> list[tuple[int, int, str]]:
-    edits = [(*m.span(), "@" if m[1] else ".") for m in _MARKED.finditer(text)]
-    for m in _BARE.finditer(text):
-        edits.append((*m.span(1), "@"))
-        edits += [(m.start(2) + d.start(), m.start(2) + d.end(), ".") for d in _BARE_DOT.finditer(m[2])]
-    edits.sort()
-    return [e for k, e in enumerate(edits) if not k or e[0] >= edits[k - 1][1]]
+    return [(*m.span(), "@" if m[1] else ".") for m in _MARKED.finditer(text)]
+
+
+def _bare(text: str, marked: list[int]) -> list[tuple[int, int, str]]:
+    """Edits of bare words, given where marked ones were rewritten: " at " before plain points only is prose."""
+    edits, at = [], 0
+    while m := _BARE.search(text, at):
+        name, host = ([(*d.span(), ".") for d in _BARE_DOT.finditer(text, *m.span(k))] for k in (1, 3))
+        k = bisect_left(marked, m.start(3))
+        found = name + host if m[2] == "@" else [*name, (*m.span(2), "@"), *host]
+        if found and (m[2] == "@" or host or (k < len(marked) and marked[k] < m.end(3))):
+            edits += found
+            at = m.end()
+        else:
+            at = m.start(3)
+    return edits
 
 
 def hidden(text: str) -> list[Span]:
@@ -200,10 +212,14 @@ def hidden(text: str) -> list[Span]:
     if odd:
         traced.rewrite([(m.start(), m.end(), _GLYPH[ord(m[0])] or "") for m in _ODD.finditer(text)])
         touched = True
-    for edits in (_spelled, _marks):
+    marked: list[int] = []
+    for edits in (_spelled, _marks, lambda text: _bare(text, marked)):
         if found := edits(traced.text):
             traced.rewrite(found)
             touched = True
+            if edits is _marks:
+                shorter = accumulate((b - a - 1 for a, b, _ in found), initial=0)
+                marked += [a - less for (a, _, _), less in zip(found, shorter, strict=False)]
     return [(kind, *traced.source(a, b)) for kind, a, b in plain(traced.text)] if touched else []
 
 

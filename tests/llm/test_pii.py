@@ -45,6 +45,23 @@ def test_disguises_map_back():
     assert found("host one nine two dot one six eight dot one dot one up")[1] == [("ip", "one nine two dot one six eight dot one dot one")]
 
 
+def test_mixed_disguises_map_back():
+    for said in (
+        "jane (at) example dot com",
+        "jane at example [dot] com",
+        "jane@example dot com",
+        "jane dot doe at example dot com",
+        "jane dot doe (at) mail.example dot com",
+        "jane at mail dot example [dot] com",
+    ):
+        assert found(f"write to {said} now") == ([], [("email", said)])
+        assert pii.masked(f"write to {said} now") == "write to [EMAIL] now"
+    assert found("me at foo.bar at example dot com now")[1] == [("email", "foo.bar at example dot com")]
+    assert found("(at) look at example.com, a dot here") == ([], [])
+    for text in ("a dot " * 40_000, "a at b.c " * 30_000 + " dot ", "a@" * 60_000 + " dot ", "." * 100_000 + " dot "):
+        pii.spans(text)
+
+
 def test_clean_texts_stay():
     for text in ("we met at noon. dot the line", "one two buckle my shoe", "the point at hand", "étude für über"):
         assert found(text) == ([], [])
