@@ -127,42 +127,45 @@ def nearest(embeddings: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     """The k rows of largest inner product for each query, as found: query_id, rank, vec_id, score.
 
     Queries are the rows whose vec_id is divisible by `every`; candidates are all
-    rows but the query's own. Vectors that are null, zero, have null or
-    non-finite components, or another length than the longest take no part, as
-    queries or candidates. Rows that repeat a vec_id are one query, and none is a
-    neighbour of that id. Ties go to the smaller vec_id. Fewer than k candidates
+    rows but the query's own. Vectors that are null, zero or have null or
+    non-finite components take no part, as queries or candidates. Those of each
+    number of components are searched on their own. Rows that repeat a vec_id are
+    one query, of the commonest number of components among all rows, and none is
+    a neighbour of that id. Ties go to the smaller vec_id. Fewer than k candidates
     are all returned; an empty table gives none. Other columns are not read.
     """
     rows = usable(embeddings.select("vec_id", "embedding")).select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
     length = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda total, x: total + x * x))
-    facts = rows.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("dimension"), F.max(length).alias("longest"), F.count_if(F.col("vec_id") % every == 0).alias("queries")).first()
-    spark = embeddings.sparkSession
     schema = "query_id long, vec_id long, score double"
-    if not facts["n"] or not facts["queries"]:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dimension, longest = facts["dimension"], float(facts["longest"]) or 1.0
-    blocks, query_blocks = -(-facts["n"] // BLOCK), -(-facts["queries"] // QUERIES)
-    rows = rows.where(F.size("embedding") == dimension)
-    own = lambda n, salt: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(n)).cast("long")
-    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    data = rows.withColumn("_block", own(blocks, 1)).withColumn("_queries", each(query_blocks))
-    asked = rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"]).withColumn("_queries", own(query_blocks, 2)).withColumn("_block", each(blocks))
+    rows = rows.withColumn("_size", F.size("embedding"))
+    sizes = rows.groupBy("_size").agg(F.count("*").alias("_n"), F.max(length).alias("_longest"), F.count_if(F.col("vec_id") % every == 0).alias("_asked"))
+    up = lambda n, most: F.ceil(F.col(n) / most).cast("long")
+    sizes = sizes.where("_asked > 0").withColumn("_blocks", up("_n", BLOCK)).withColumn("_query_blocks", up("_asked", QUERIES))
+    rows = rows.join(F.broadcast(sizes), "_size")
+    own = lambda n, salt, key="vec_id": F.pmod(F.xxhash64(key, F.lit(salt)), F.col(n)).cast("long")
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    data = rows.select("vec_id", "embedding", "_size", own("_blocks", 1).alias("_block"), each("_query_blocks").alias("_queries"))
+    one = F.max_by(F.struct("embedding", "_size", "_longest", "_blocks", "_query_blocks"), F.struct("_n", "_size")).alias("one")
+    asked = rows.where(F.col("vec_id") % every == 0).groupBy(F.col("vec_id").alias("query_id")).agg(one).select("query_id", "one.*")
+    asked = asked.select("query_id", "embedding", "_size", "_longest", own("_query_blocks", 2, "query_id").alias("_queries"), each("_blocks").alias("_block"))
 
     def cell(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        left, right = left.sort_by("vec_id"), right.sort_by("vec_id")
+        left, right = left.sort_by("vec_id"), right.sort_by("query_id")
+        dimension, longest = right.column("_size")[0].as_py(), right.column("_longest")[0].as_py() or 1.0
         query_id, vec_id, score = search(
             _matrix(left.column("embedding"), dimension),
             left.column("vec_id").to_numpy(),
             _matrix(right.column("embedding"), dimension),
-            right.column("vec_id").to_numpy(),
+            right.column("query_id").to_numpy(),
             k,
             longest,
         )
         return pa.table({"query_id": pa.array(query_id, pa.int64()), "vec_id": pa.array(vec_id, pa.int64()), "score": pa.array(score, pa.float64())})
 
-    found = data.groupBy("_block", "_queries").cogroup(asked.groupBy("_block", "_queries")).applyInArrow(cell, schema)
+    keys = ("_size", "_block", "_queries")
+    found = data.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(cell, schema)
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id")))
     return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -58,3 +58,15 @@ def test_odd_rows(spark):
     assert ann.nearest(frame(spark, [None, None])).count() == 0
     few = ann.nearest(frame(spark, list(rng.standard_normal((3, 4))), [20, 20, 7])).collect()
     assert [(r["query_id"], r["vec_id"]) for r in few] == [(20, 7)]
+
+
+def test_each_length_is_searched_on_its_own(spark):
+    rng = np.random.default_rng(5)
+    v = [*rng.standard_normal((60, 8)), *rng.standard_normal((1, 9)), *rng.standard_normal((30, 4))]
+    ids = [*range(60), 100, *range(200, 230)]
+    even = [tuple(r) for r in ann.nearest(frame(spark, v[:60])).collect()]
+    got = [tuple(r) for r in ann.nearest(frame(spark, [*v, np.ones(3)], [*ids, 40])).collect()]
+    assert len(even) == 60 and sorted(r for r in got if r[0] < 100) == sorted(even)
+    small = {q: [i for r, i in sorted((r, i) for x, r, i, _ in got if x == q)] for q in (200, 220)}
+    assert all(small[200 + q] == [200 + i for i in brute(np.array(v[61:]), q, 20)] for q in (0, 20))
+    assert not any(100 in r[:3:2] for r in got)
