@@ -28,6 +28,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -176,8 +177,19 @@ def _bitmap(ids: DataFrame) -> np.ndarray:
     return out.view(np.uint64)
 
 
+def _first_rows(ids: pa.Array, named: pa.Array) -> np.ndarray:
+    """The first row of each (id, class) in a batch, in order."""
+    seen: dict = {}
+    for row, key in enumerate(zip(ids.to_pylist(), named.to_pylist(), strict=True)):
+        seen.setdefault(key, row)
+    return np.fromiter(seen.values(), np.int64, len(seen))
+
+
 def _wanted(docs: DataFrame, wanted: DataFrame, words: int, name: str, make, kind: str = "array<long>") -> DataFrame:
-    """(class, name) of the classes in wanted (class, id): make(codes, first), from the documents of those ids."""
+    """(class, name), a row each, of the classes in wanted (class, id): make(codes, first), from a document of that id.
+
+    A null id is found as any other; the class stands for it in the join.
+    """
     bits = docs.sparkSession.sparkContext.broadcast(_bitmap(wanted.select("id")))
     rows = common.doc_rows(docs).withColumn("_place", F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP)))
 
@@ -190,9 +202,13 @@ def _wanted(docs: DataFrame, wanted: DataFrame, words: int, name: str, make, kin
             some = np.diff(first) > 0
             if some.any():
                 batch, first = batch.filter(pa.array(some)), np.concatenate((first[:-1][some], first[-1:]))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(classes(codes, first), pa.int64()), make(codes, first)], ["id", "class", name])
+                named = pa.array(classes(codes, first), pa.int64())
+                one = pa.array(_first_rows(batch.column("doc_id"), named))
+                made = pa.RecordBatch.from_arrays([pc.coalesce(batch.column("doc_id"), named), named, make(codes, first)], ["id", "class", name])
+                yield made.take(one)
 
-    return rows.mapInArrow(run, f"id long, class long, {name} {kind}").join(wanted, ["class", "id"]).select("class", name)
+    wanted = wanted.select("class", F.coalesce("id", "class").alias("id"))
+    return rows.mapInArrow(run, f"id long, class long, {name} {kind}").join(wanted, ["class", "id"]).dropDuplicates(["class", "id"]).select("class", name)
 
 
 def _sets(codes: np.ndarray, first: np.ndarray) -> pa.Array:

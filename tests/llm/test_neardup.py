@@ -73,6 +73,17 @@ def test_odd_tables(spark):
     assert neardup.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_null_ids_are_linked(spark):
+    rng = random.Random(3)
+    one, two = ([f"{name}{rng.randrange(10**6)}" for _ in range(60)] for name in "xy")
+    near = lambda t, k: " ".join([*t[:k], "changed", *t[k + 1 :]])
+    rows = [(None, " ".join(one)), (None, near(one, 9)), (None, near(one, 9)), (7, near(one, 40)), (None, " ".join(two)), (None, near(two, 5)), (8, "alone here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [tuple(r) for r in neardup.near_duplicates(docs, words=2).collect()]
+    want = [(None, 59, 7, False)] * 3 + [(7, 59, 7, True)] + [(None, 59, None, True)] * 2 + [(8, 1, 8, True)]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+
+
 def test_sketches_estimate_high_similarity():
     rng = np.random.default_rng(2)
     for similar in (0.95, 0.85, 0.8):
