@@ -25,12 +25,14 @@ in partial aggregates and in joins that adaptive execution splits.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.llm import common, graph
 
@@ -177,10 +179,10 @@ def _bitmap(ids: DataFrame) -> np.ndarray:
     return out.view(np.uint64)
 
 
-def _first_rows(ids: pa.Array, named: pa.Array) -> np.ndarray:
-    """The first row of each (id, class) in a batch, in order."""
+def _first_rows(keys: Iterable) -> np.ndarray:
+    """The first row of each key in a batch, in order."""
     seen: dict = {}
-    for row, key in enumerate(zip(ids.to_pylist(), named.to_pylist(), strict=True)):
+    for row, key in enumerate(keys):
         seen.setdefault(key, row)
     return np.fromiter(seen.values(), np.int64, len(seen))
 
@@ -203,7 +205,7 @@ def _wanted(docs: DataFrame, wanted: DataFrame, words: int, name: str, make, kin
             if some.any():
                 batch, first = batch.filter(pa.array(some)), np.concatenate((first[:-1][some], first[-1:]))
                 named = pa.array(classes(codes, first), pa.int64())
-                one = pa.array(_first_rows(batch.column("doc_id"), named))
+                one = pa.array(_first_rows(zip(batch.column("doc_id").to_pylist(), named.to_pylist(), strict=True)))
                 made = pa.RecordBatch.from_arrays([pc.coalesce(batch.column("doc_id"), named), named, make(codes, first)], ["id", "class", name])
                 yield made.take(one)
 
@@ -266,6 +268,48 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     are linked and get equal results; a null doc_id counts in no minimum unless
     all are null. An empty table gives none. Only doc_id and text are read.
     """
+    every, named = _labelled(docs, words, percent)
+    least = named.groupBy("label").agg(F.min("id").alias("component_id"))
+    found = named.join(least, "label").select("class", "component_id")
+    rows = every.select("doc_id", "n_shingles", "class")
+    alone = rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    linked = rows.where("n_shingles > 0").join(found, "class").select("doc_id", "n_shingles", "component_id")
+    return alone.unionByName(linked).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def one_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """docs with one row of each component of near duplicates: of the smallest id, any of the rows that repeat it.
+
+    A null id is the largest. Rows without shingles are linked with nothing: one
+    of each id stays, and all with null ids.
+    """
+    named = _labelled(docs, words, percent)[1]
+    best = named.groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "class")).alias("best")).select("best.*")
+    best = common.written(best.select(F.col("class").alias("_class"), F.coalesce("id", "class").alias("_id"), F.lit(True).alias("_best")), "best")
+    names, schema = docs.columns, T.StructType([*docs.schema.fields, *(T.StructField(n, T.LongType()) for n in ("_class", "_id", "_row"))])
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        at = TaskContext.get().partitionId() << 40
+        for batch in common.pieces(batches):
+            codes, first = shingles(batch.column("text"), words)
+            named = pa.array(classes(codes, first), pa.int64())
+            ids = batch.column("doc_id").cast(pa.int64())
+            # Rows without shingles and id are told apart by their number.
+            number = np.where((np.diff(first) == 0) & ids.is_null().to_numpy(zero_copy_only=False), np.arange(at + 1, at + 1 + batch.num_rows), 0)
+            at += batch.num_rows
+            columns = [*batch.columns, named, pc.coalesce(ids, pc.if_else(pa.array(number > 0), pa.array(number), named)), pa.array(number)]
+            key = zip(ids.to_pylist(), named.to_pylist(), number.tolist(), strict=True)
+            yield pa.RecordBatch.from_arrays(columns, schema.names).take(pa.array(_first_rows(key)))
+
+    common.small_batches(docs.sparkSession)
+    rows = docs.mapInArrow(run, schema).join(best, ["_class", "_id"], "left").where("_best OR _class = 0")
+    return rows.dropDuplicates(["_class", "_id", "_row"]).select(*names)
+
+
+def _labelled(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(signatures of all rows; class, id and label of each class with shingles, one label for a component)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     every = common.written(signatures(docs, words).hint("rebalance"), "signatures")  # few files of even size
     some = every.where("n_shingles > 0")
@@ -309,12 +353,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
         labels = graph.components(links.unionByName(more))
 
     named = known.select("class", "id").join(labels.withColumnRenamed("node", "class"), "class", "left").select("class", "id", F.coalesce("label", "class").alias("label"))
-    least = named.groupBy("label").agg(F.min("id").alias("component_id"))
-    found = named.join(least, "label").select("class", "component_id")
-    rows = every.select("doc_id", "n_shingles", "class")
-    alone = rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    linked = rows.where("n_shingles > 0").join(found, "class").select("doc_id", "n_shingles", "component_id")
-    return alone.unionByName(linked).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return every, named
 
 
 def op2_minhash_odd_sketch(spark, sf_dir: str) -> DataFrame:

@@ -52,6 +52,20 @@ def test_stages(spark, tmp_path):
     assert bpe.digests(docs.limit(0)).count() == 0
 
 
+def test_dedupe_keeps_one_row_of_each_component(spark):
+    rng = random.Random(4)
+    a, b, c, d = (prose(rng, 60) for _ in range(4))
+    near = lambda t, w: " ".join([w, *t.split(" ")[1:]])
+    table = [(3, a), (3, a), (5, near(a, "x")), (None, near(a, "y")), (None, b), (None, b), (None, near(b, "x")), (None, c), (8, d), (6, d), (6, c + " " + d)]
+    table += [(7, ""), (7, ""), (9, None), (None, ""), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in table], SCHEMA).repartition(4)
+    got = [(r["doc_id"], r["text"]) for r in pipeline.dedupe(spark, docs, "").collect()]
+    of_b = [t for _, t in got if t in (b, near(b, "x"))]
+    assert len(of_b) == 1
+    want = [(3, a), (None, of_b[0]), (None, c), (6, d), (6, c + " " + d), (7, ""), (9, None), (None, ""), (None, None)]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+
+
 def test_empty(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
