@@ -7,9 +7,10 @@ the longest document, never the number of rows.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that one vectorised step takes, unless one document is longer.
 CHUNK_BYTES = 1 << 19
 
+#: Bytes of the input's files for each reduce partition at most.
+PART_BYTES = 256 << 20
+
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _U = np.uint64
 
@@ -29,11 +33,13 @@ _U = np.uint64
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Only where that setting is absent, as in a local session, a temporary folder
-    is made; on a cluster the setting must be there.
+    Only in a local session without that setting a temporary folder is made; on
+    a cluster the setting must be there.
     """
     top = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not top:
+        if not re.match(r"local(\[[^-]|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         top = spark.conf.get("millrace.shared.dir", None)
         if not top:
             top = tempfile.mkdtemp(prefix="millrace-")
@@ -54,8 +60,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def tasks(docs: DataFrame) -> int:
-    """Reduce partitions for one pass over docs: the session's shuffle partitions."""
-    return max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    """Reduce partitions for one pass over docs: the session's shuffle partitions, more where its files have over PART_BYTES for each."""
+    leaves = docs._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = (int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    known = sum(s for s in sizes if s < 1 << 60)  # what is in no file counts as endless
+    return max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-known // PART_BYTES))
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -69,6 +78,14 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, 1000)
 
 
+def unused(name: str, columns: Iterable[str]) -> str:
+    """name, with underscores before it until none of the columns has it in any case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def doc_rows(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id and text, a null text as the empty one; other columns only if named."""
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *more)
