@@ -1,23 +1,32 @@
 """LM scoring with a log-frequency Bloom filter (operator 5).
 
-Words and word pairs of the training documents are counted exactly. An n-gram
-with count c has the quantised count q = 1 + floor(log2 c) and is put into a
-Bloom filter q times, with the levels 1 to q. A count is read back by probing
-level after level until one is missing; scores interpolate the pair's share of
-its first word with the word's own add-one estimate, both from probed counts.
+Words and word pairs of the training documents are counted exactly. A count c
+between 2**k and 2**(k + 1) is quantised to one of these two, up with the chance
+that keeps its mean, drawn from a hash of the n-gram; it is put into a Bloom
+filter with the levels 1 to q = 1 + log2 of that. A count is read back by probing
+level after level until one is missing. The score interpolates the pair's share
+of its first word with the word's own add-one estimate, which stands alone after
+a word that was never seen (Jelinek-Mercer):
 
-The base score needs exact counts of single words, whose number is unbounded.
-Words with at least one in HEAVY of all tokens (HEAVY of them at most) are
-broadcast; all others meet their counts in a shuffle join, part by part.
+    p(w | h) = PAIRS * c~(h, w) / c(h) + (1 - PAIRS) * (c~(w) + 1) / (S + V + 1)
+
+c~ is probed, c(h) exact, V the number of words and S the sum of their c~. The
+estimates of single words sum to 1 over the V words and one unknown; the shares
+of pairs sum to 1 but for rounding, whose mean is 0, and false hits, which raise a
+level in one of a hundred cases.
+
+The filter has a part that is broadcast, with a bound: the n-grams with at least
+one in HEAVY of all tokens (HEAVY words and HEAVY pairs at most) and these words'
+exact counts. The rest of it, whose size follows the corpus, stays in its parts.
 
 Scale: counts leave a map task as packed blobs, one for each part and flush,
 already summed over the flush, so a word or pair that stands in a third of all
 rows is one entry per flush. Texts are read twice. Each part of the n-grams has
 a segment of its own in the filter, of ITEM_BITS for each stored level, so
-segments are made in parallel and false hits stay as rare in any corpus. A
-filter of up to FILTER_BITS goes to all workers. A larger one stays in its
-parts: each flush asks every part for the counts and levels of its distinct words
-and pairs by a shuffle join, and its words follow as numbers to where it is summed.
+segments are made in parallel and false hits stay as rare in any corpus. Each
+flush asks every part for the counts and levels of its distinct words and pairs
+that are not broadcast by a shuffle join, and its words follow as numbers to
+where it is summed.
 """
 
 from __future__ import annotations
@@ -34,11 +43,11 @@ from pyspark.sql import functions as F
 from millrace.llm import common
 
 FOLDS, HELD = 7, 2
-#: Bits of the largest filter that goes to all workers (64 MB), and bits for each stored level.
-FILTER_BITS = 1 << 29
+#: Bits of the filter for each stored level.
 ITEM_BITS = 10
 #: Weight of word pairs in the interpolation.
 PAIRS = 0.2
+#: An n-gram with one in so many of all tokens is broadcast.
 HEAVY = 10_000
 FLUSH = 12 << 20
 #: Documents of one flush at most: their numbers are sent as 16 bits.
@@ -50,6 +59,7 @@ _END = _U(0x9D39247E33776D41)
 _START = _U(0x2AF7398005AAA5C7)
 _PAIR, _LEVEL = _U(1 << 60), _U(1 << 48)
 _GOLD = _U(0x9E3779B97F4A7C15)
+_DRAW = _U(0x6A09E667F3BCC909)
 
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -86,17 +96,24 @@ def _cells(keys: np.ndarray, level: int, pair: bool, probes: int, bits: np.ndarr
     return (((x + _U(i) * y) % bits).astype(np.int64) for i in range(probes))
 
 
-def levels(counts: np.ndarray) -> np.ndarray:
-    """Quantised counts: 1 for 1, 2 for 2 and 3, 3 for 4 to 7, ..."""
-    return 1 + np.floor(np.log2(np.maximum(counts, 1))).astype(np.int64)
+def levels(counts: np.ndarray, keys: np.ndarray | None = None) -> np.ndarray:
+    """Quantised counts: 1 for 1, 2 for 2, 3 for 4, ...; between them the lower, or by keys either so that the mean is kept.
 
+    Only the keys' low 40 bits count.
+    """
+    counts = np.maximum(counts, 1)
+    low = np.frexp(counts.astype(np.float64))[1].astype(np.int64)  # 2 ** (low - 1) <= count
+    if keys is None:
+        return low
+    above = counts / np.exp2(low - 1.0) - 1
+    return low + ((common.mix((keys & _LOW) ^ _DRAW) >> _U(11)).astype(np.float64) * 2.0**-53 < above)
 
-def segment(words: np.ndarray, word_counts: np.ndarray, couples: np.ndarray, couple_counts: np.ndarray, most: int | None = None) -> tuple[np.ndarray, int]:
-    """(the bits of one part's segment as 64-bit numbers, probes), of at most `most` bits if that is given."""
-    q, p = levels(word_counts), levels(couple_counts)
+
+def segment(words: np.ndarray, word_counts: np.ndarray, couples: np.ndarray, couple_counts: np.ndarray, item_bits: int = ITEM_BITS) -> tuple[np.ndarray, int]:
+    """(the bits of one part's segment as 64-bit numbers, probes)."""
+    q, p = levels(word_counts, words), levels(couple_counts, couples)
     items = int(q.sum() + p.sum())
-    wanted = items * ITEM_BITS
-    bits = max(64, (wanted if most is None else min(most, wanted)) // 64 * 64)
+    bits = max(64, items * item_bits // 64 * 64)
     probes = int(np.clip(round(bits / max(items, 1) * np.log(2)), 1, 7))
     flags = np.zeros(bits, bool)
     for keys, q, pair in ((words, q, False), (couples, p, True)):
@@ -148,16 +165,17 @@ class Filter:
 
 def stands_for(level: np.ndarray) -> np.ndarray:
     """The counts that levels stand for."""
-    return np.where(level > 1, 1.4 * np.exp2(level - 1.0), level)
+    return np.where(level > 0, np.exp2(level - 1.0), 0.0)
 
 
-def log_chances(single: np.ndarray, back: np.ndarray, both: np.ndarray, first: np.ndarray, starts: float, smooth: int) -> np.ndarray:
-    """log10 of each token's chance, from the counts of distinct words, each token's word and the pairs' counts."""
+def log_chances(single: np.ndarray, exact: np.ndarray, back: np.ndarray, both: np.ndarray, first: np.ndarray, starts: float, smooth: float) -> np.ndarray:
+    """log10 of each token's chance, from probed and exact counts of distinct words, each token's word and the pairs' probed counts."""
     # Counts of the words before: the tokens' own, one place earlier; starts are as many as documents learnt from.
-    ahead = np.concatenate(([0.0], single[back][:-1]))
+    ahead = np.concatenate(([0.0], exact[back][:-1]))
     ahead[first[:-1]] = starts
-    share = np.minimum(1, np.divide(both, ahead, out=np.zeros(len(both)), where=ahead > 0))
-    return np.log10(PAIRS * share + (1 - PAIRS) * ((single + 1) / smooth)[back])
+    alone = ((single + 1) / smooth)[back]
+    share = np.divide(both, ahead, out=np.zeros(len(both)), where=ahead > 0)
+    return np.log10(np.where(ahead > 0, PAIRS * share + (1 - PAIRS) * alone, alone))
 
 
 def held_out(doc_id="doc_id"):
@@ -259,8 +277,8 @@ def _looked_up(known: np.ndarray, n: np.ndarray, word: np.ndarray) -> np.ndarray
     return np.where(known[place] == word, n[place], 0)
 
 
-def count(docs: DataFrame, parts: int) -> DataFrame:
-    """Rows for each part: kind 0 with word codes and counts, their sum and number; kind 1 with the filter's segment, its probes and bits."""
+def count(docs: DataFrame, parts: int, heavy: int = HEAVY, item_bits: int = ITEM_BITS) -> DataFrame:
+    """Rows for each part: kind 0 with word codes and counts, their sum, number and probed sum; kind 1 with the filter's segment and its probes; kind 2 with pairs that may be heavy."""
 
     def run(batches):
         def take(held):
@@ -300,20 +318,22 @@ def count(docs: DataFrame, parts: int) -> DataFrame:
         couples, couple_counts = _summed(*found)
         del found, split, blobs
         common._trim()
-        bits, probes = segment(words, word_counts, couples, couple_counts)
+        bits, probes = segment(words, word_counts, couples, couple_counts, item_bits)
+        often = couple_counts * heavy >= couple_counts.sum()  # of all pairs they can be no less
         common._trim()
         return pa.table(
             {
-                "part": pa.array([part, part], pa.int32()),
-                "kind": pa.array([0, 1], pa.int8()),
-                "blob": pa.array([words.tobytes() + word_counts.tobytes(), bits.tobytes()], pa.binary()),
-                "total": pa.array([int(word_counts.sum()), probes], pa.int64()),
-                "distinct": pa.array([len(words), len(bits) * 64], pa.int64()),
+                "part": pa.array([part] * 3, pa.int32()),
+                "kind": pa.array([0, 1, 2], pa.int8()),
+                "blob": pa.array([words.tobytes() + word_counts.tobytes(), bits.tobytes(), couples[often].tobytes() + couple_counts[often].tobytes()], pa.binary()),
+                "total": pa.array([int(word_counts.sum()), probes, 0], pa.int64()),
+                "distinct": pa.array([len(words), 0, 0], pa.int64()),
+                "probed": pa.array([float(stands_for(levels(word_counts, words)).sum()), 0.0, 0.0], pa.float64()),
             }
         )
 
     blobs = docs.mapInArrow(run, "part int, kind byte, blob binary")
-    return common.written(blobs.groupBy("part").applyInArrow(gather, "part int, kind byte, blob binary, total long, distinct long"), "counts")
+    return common.written(blobs.groupBy("part").applyInArrow(gather, "part int, kind byte, blob binary, total long, distinct long, probed double"), "counts")
 
 
 def _counted(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -321,58 +341,81 @@ def _counted(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(blob, np.uint64, n), np.frombuffer(blob, np.int64, n, n * 8)
 
 
-def _heavy(counts: DataFrame, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Codes and counts of words with at least `least` tokens, sorted; as many as tokens / least at most."""
+def _heavy(counts: DataFrame, least: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Codes and counts of words (0) and pairs (2) with at least `least` tokens, sorted; of either as many as tokens / least at most."""
 
     def run(batches):
         for batch in batches:
-            for blob in batch.column("blob").to_pylist():
+            for kind, blob in zip(batch.column("kind").to_pylist(), batch.column("blob").to_pylist(), strict=True):
                 codes, n = _counted(blob)
                 big = n >= least
-                yield pa.RecordBatch.from_arrays([pa.array(codes[big].view(np.int64), pa.int64()), pa.array(n[big], pa.int64())], ["code", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(int(big.sum()), kind), pa.int32()), pa.array(codes[big].view(np.int64), pa.int64()), pa.array(n[big], pa.int64())], ["kind", "code", "n"])
+
+    found = counts.where("kind <> 1").select("kind", "blob").mapInArrow(run, "kind int, code long, n long").toArrow()
+    kinds, codes, n = found.column("kind").to_numpy(), found.column("code").to_numpy().view(np.uint64), found.column("n").to_numpy()
+    out = {}
+    for kind in (0, 2):
+        order = np.argsort(codes[kinds == kind])
+        out[kind] = codes[kinds == kind][order], n[kinds == kind][order]
+    return out
+
+
+class Head:
+    """What is broadcast: the heavy words' exact counts, and a filter of the heavy words and pairs."""
+
+    def __init__(self, heavy: dict[int, tuple[np.ndarray, np.ndarray]], least: int, item_bits: int = ITEM_BITS):
+        (self.words, self.counts), (couples, couple_counts) = heavy[0], heavy[2]
+        bits, probes = segment(self.words, self.counts, couples, couple_counts, item_bits)
+        self.filter = Filter([(0, probes, bits.tobytes())], 1)
+        #: All that is there has this level; another n-gram reaches it by as many false hits.
+        self.least = int(levels(np.array([least]))[0])
+
+    def word_levels(self, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(whether words are heavy, exact counts, levels); the latter two 0 where not."""
+        exact = _looked_up(self.words, self.counts, word)
+        return exact > 0, exact, np.where(exact > 0, self.filter.levels(word, False, np.zeros(len(word), np.int64)), 0)
 
-    found = counts.where("kind = 0").select("blob").mapInArrow(run, "code long, n long").toArrow()
-    codes, n = found.column("code").to_numpy().view(np.uint64), found.column("n").to_numpy()
-    order = np.argsort(codes)
-    return codes[order], n[order]
+    def pair_levels(self, couple: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(whether pairs are heavy, levels; 0 where not)."""
+        level = self.filter.levels(couple, True, np.zeros(len(couple), np.int64))
+        there = level >= self.least
+        return there, np.where(there, level, 0)
 
 
-def scores(docs: DataFrame, filter_bits: int = FILTER_BITS) -> DataFrame:
+def scores(docs: DataFrame, heavy: int = HEAVY, item_bits: int = ITEM_BITS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each whole text.
 
     A null or empty text is one token, the end. Rows that agree are counted and
     scored one by one. A null doc_id is learnt from. With nothing to learn from
-    N and V are 0. An empty table gives none. Other columns are not read. A
-    filter of more than filter_bits is not sent out; results are the same.
+    N and V are 0. An empty table gives none. Other columns are not read. heavy
+    and item_bits: see HEAVY and ITEM_BITS.
     """
     spark = docs.sparkSession
     common.small_batches(spark)
     parts = common.tasks(docs)
-    docs = common.doc_rows(docs.withColumn("doc_id", F.col("doc_id").cast("long"))).withColumn("held_out", held_out())
-    counts = count(docs, parts)
-    facts = {r["kind"]: r for r in counts.groupBy("kind").agg(F.sum("total").alias("n"), F.sum("distinct").alias("v")).collect()}
-    total, distinct, bits = (facts[0]["n"], facts[0]["v"], facts[1]["v"]) if facts else (0, 0, 0)
-    apart = bits > filter_bits
-    if not apart:
-        segments = counts.where("kind = 1").select("part", "total", "blob").toLocalIterator()
-        heavy = spark.sparkContext.broadcast(_heavy(counts, total // HEAVY + 1))
-        shared = spark.sparkContext.broadcast(Filter([(r["part"], r["total"], bytes(r["blob"])) for r in segments], parts))
+    docs = common.doc_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).withColumn("held_out", held_out())
+    counts = count(docs, parts, heavy, item_bits)
+    facts = counts.where("kind = 0").agg(F.sum("total").alias("n"), F.sum("distinct").alias("v"), F.sum("probed").alias("probed")).first()
+    total, distinct, probed = (facts["n"] or 0, facts["v"] or 0, facts["probed"] or 0.0)
+    least = total // heavy + 1
+    shared = spark.sparkContext.broadcast(Head(_heavy(counts, least), least, item_bits))
     denominator = float(np.log10(total + distinct + 1))
+    smooth = probed + distinct + 1
 
-    def sent(flush: str, out: list[tuple[int, int, bytes]], held: list[pa.RecordBatch], local: dict[str, np.ndarray]) -> pa.RecordBatch:
+    def sent(flush: str, out: list[tuple[int, int, bytes]], held: list[pa.RecordBatch], size: np.ndarray) -> pa.RecordBatch:
         """Rows of a flush: out (part, kind, blob), and what it knows of its documents, as kind 1, to some part."""
-        ids = {"doc_id": pa.concat_arrays([b.column("doc_id") for b in held]), "held_out": pa.concat_arrays([b.column("held_out") for b in held])}
+        told = pa.record_batch({"doc_id": pa.concat_arrays([b.column("doc_id") for b in held]), "held_out": pa.concat_arrays([b.column("held_out") for b in held]), "size": pa.array(size)})
         sink = pa.BufferOutputStream()
-        told = pa.record_batch(ids | local)
         with pa.ipc.new_stream(sink, told.schema) as stream:
             stream.write_batch(told)
         part, kind, blob = zip(*out, (zlib.crc32(flush.encode()) % parts, 1, sink.getvalue().to_pybytes()), strict=True)
         return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(kind, pa.int8()), pa.array([flush] * len(part)), pa.array(blob, pa.binary())], ["part", "kind", "flush", "blob"])
 
     def ask(batches):
-        """For a filter in parts: kind 2 asks each part for its words and pairs, kind 3 has the texts."""
+        """Kind 2 asks each part for its words and pairs, kind 3 has the texts."""
         from pyspark import TaskContext
 
+        head = shared.value
         task, number = TaskContext.get().partitionId(), 0
 
         def take(held):
@@ -386,63 +429,15 @@ def scores(docs: DataFrame, filter_bits: int = FILTER_BITS) -> DataFrame:
                 sizes.append(np.diff(first))
             word, back = _by_use(np.concatenate(codes_of))
             couple = np.unique(np.concatenate(couples_of))
-            (words, word_ends), (couples, couple_ends) = ((x[order], ends) for x in (word, couple) for order, ends in [_by_part(_part(x, parts), parts)])
+            rare, rare_couple = word[~head.word_levels(word)[0]], couple[~head.pair_levels(couple)[0]]
+            (words, word_ends), (couples, couple_ends) = ((x[order], ends) for x in (rare, rare_couple) for order, ends in [_by_part(_part(x, parts), parts)])
             out = []
             for p in range(parts):
                 w, c = words[word_ends[p] : word_ends[p + 1]], couples[couple_ends[p] : couple_ends[p + 1]]
                 if len(w) or len(c):
                     out.append((p, 2, np.array([len(w), len(c)], np.int64).tobytes() + w.tobytes() + _pack_low(c)))
             out.append((zlib.crc32(flush.encode()) % parts, 3, _pack_text(word, back)))
-            yield sent(flush, out, held, {"size": np.concatenate(sizes)})
-
-        yield from _flushes(batches, take)
-
-    def run(batches):
-        from pyspark import TaskContext
-
-        grams = shared.value
-        codes_heavy, n_heavy = heavy.value
-        log_heavy = np.log10(n_heavy + 1.0)
-        task, number = TaskContext.get().partitionId(), 0
-
-        def take(held):
-            nonlocal number
-            flush, number = f"{task}:{number}", number + 1
-            codes_of, doc_of, local = [], [], {k: [] for k in ("size", "known", "base", "score")}
-            rows = 0
-            for batch in held:
-                codes, first = tokens(batch.column("text"))
-                n = len(first) - 1
-                doc = np.repeat(np.arange(n), np.diff(first))
-                word, back = np.unique(codes, return_inverse=True)
-                both, starts = grams.counts(pairs(codes, first)[1], True), grams.counts(np.array([_END]), False)[0]
-                chance = log_chances(grams.counts(word, False), back, both, first, starts, total + distinct + 1)
-                local["score"].append(np.bincount(doc, chance, n))
-                local["size"].append(np.diff(first))
-                place = np.minimum(np.searchsorted(codes_heavy, word), max(0, len(codes_heavy) - 1))
-                is_heavy = codes_heavy[place] == word if len(codes_heavy) else np.zeros(len(word), bool)
-                value = np.where(is_heavy, log_heavy[place] if len(codes_heavy) else 0.0, 0.0)
-                local["base"].append(np.bincount(doc, value[back], n))
-                local["known"].append(np.bincount(doc, is_heavy[back], n).astype(np.int64))
-                rare = ~is_heavy[back]
-                codes_of.append(codes[rare])
-                doc_of.append(doc[rare] + rows)
-                rows += n
-            out = []
-            codes, doc = np.concatenate(codes_of), np.concatenate(doc_of)
-            order = np.argsort(codes, kind="stable")
-            codes, doc = codes[order], doc[order]
-            word, uses = _summed(codes)
-            ends_of = np.concatenate(([0], np.cumsum(uses)))
-            order, ends = _by_part(_part(word, parts), parts)
-            for p in range(parts):
-                at = order[ends[p] : ends[p + 1]]
-                if len(at):
-                    where = common.ranges(ends_of[at], uses[at])
-                    head = np.array([rows, len(at)], np.int64).tobytes()
-                    blob = head + word[at].tobytes() + uses[at].astype(np.int32).tobytes() + doc[where].astype(np.uint16).tobytes()
-                    out.append((p, 0, blob))
-            yield sent(flush, out, held, {k: np.concatenate(v) for k, v in local.items()})
+            yield sent(flush, out, held, np.concatenate(sizes))
 
         yield from _flushes(batches, take)
 
@@ -453,75 +448,57 @@ def scores(docs: DataFrame, filter_bits: int = FILTER_BITS) -> DataFrame:
         grams = Filter([(0, tables[1]["total"], tables[1]["blob"])] if 1 in tables else [], 1)
         out = []
         for kind, blob in zip(kinds, blobs, strict=True):
-            if kind == 2:
-                words, couples = np.frombuffer(blob, np.int64, 2).tolist()
-                word, couple = np.frombuffer(blob, np.uint64, words, 16), _unpack_low(blob, couples, 16 + 8 * words)
-                found = [grams.levels(x, pair, np.zeros(len(x), np.int64)) for x, pair in ((word, False), (couple, True))]
-                exact = _looked_up(known, n, word)
-                out.append(_squeezed(np.array([words], np.int64).tobytes() + exact.tobytes() + np.concatenate(found).astype(np.uint8).tobytes()))
-                continue
-            if kind:
+            if kind != 2:
                 out.append(blob)
                 continue
-            rows, words = np.frombuffer(blob, np.int64, 2).tolist()
-            word = np.frombuffer(blob, np.uint64, words, 16)
-            uses = np.frombuffer(blob, np.int32, words, 16 + 8 * words)
-            doc = np.frombuffer(blob, np.uint16, int(uses.sum()), 16 + 12 * words)
-            c = _looked_up(known, n, word)
-            base = np.bincount(doc, np.repeat(np.log10(c + 1.0), uses), rows)
-            out.append(base.tobytes() + np.bincount(doc, np.repeat(c > 0, uses), rows).astype(np.int64).tobytes())
+            words, couples = np.frombuffer(blob, np.int64, 2).tolist()
+            word, couple = np.frombuffer(blob, np.uint64, words, 16), _unpack_low(blob, couples, 16 + 8 * words)
+            found = [grams.levels(x, pair, np.zeros(len(x), np.int64)) for x, pair in ((word, False), (couple, True))]
+            exact = _looked_up(known, n, word)
+            out.append(_squeezed(np.array([words], np.int64).tobytes() + exact.tobytes() + np.concatenate(found).astype(np.uint8).tobytes()))
         common._trim()
         return left.select(["part", "flush", "kind"]).append_column("blob", pa.array(out, pa.binary()))
 
-    def answered(rows: pa.Table, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def sum_up(rows: pa.Table) -> pa.Table:
         """Base sums, known tokens and scores of a flush's documents, from what the parts have answered."""
-        got = sorted((r["part"], r["kind"], r["blob"]) for r in rows.select(["part", "kind", "blob"]).to_pylist() if r["kind"] > 1)
+        head = shared.value
+        got = sorted((r["part"], r["kind"], r["blob"]) for r in rows.select(["part", "kind", "blob"]).to_pylist())
+        told = pa.ipc.open_stream(next(b for _, k, b in got if k == 1)).read_all()
+        size = told.column("size").to_numpy()
         word, back = next(_unpack_text(b) for _, k, b in got if k == 3)
         first, doc = np.concatenate(([0], np.cumsum(size))), np.repeat(np.arange(len(size)), size)
         couple, back_couple = np.unique(pairs(word[back], first)[1], return_inverse=True)
         common._trim()
-        exact, single, both = np.empty(len(word), np.int64), np.empty(len(word), np.int64), np.empty(len(couple), np.int64)
-        (words, word_ends), (couples, couple_ends) = (_by_part(_part(x, parts), parts) for x in (word, couple))
+        (heavy, exact, single), (heavy_couple, both) = head.word_levels(word), head.pair_levels(couple)
+        rare, rare_couple = np.flatnonzero(~heavy), np.flatnonzero(~heavy_couple)
+        (words, word_ends), (couples, couple_ends) = (_by_part(_part(x, parts), parts) for x in (word[rare], couple[rare_couple]))
         for part, kind, blob in got:
             if kind == 2:
                 blob = _full(blob)
                 n = int(np.frombuffer(blob, np.int64, 1)[0])
-                told = np.frombuffer(blob, np.uint8, offset=8 + 8 * n)
-                at = words[word_ends[part] : word_ends[part + 1]]
-                exact[at], single[at] = np.frombuffer(blob, np.int64, n, 8), told[:n]
-                both[couples[couple_ends[part] : couple_ends[part + 1]]] = told[n:]
-        single, both = stands_for(single), stands_for(both)
-        starts = single[np.flatnonzero(word == _END)[0]]
-        chance = log_chances(single, back, both[back_couple], first, starts, total + distinct + 1)
+                levels_told = np.frombuffer(blob, np.uint8, offset=8 + 8 * n)
+                at = rare[words[word_ends[part] : word_ends[part + 1]]]
+                exact[at], single[at] = np.frombuffer(blob, np.int64, n, 8), levels_told[:n]
+                both[rare_couple[couples[couple_ends[part] : couple_ends[part + 1]]]] = levels_told[n:]
+        starts = float(exact[np.flatnonzero(word == _END)[0]])
+        chance = log_chances(stands_for(single), exact, back, stands_for(both)[back_couple], first, starts, smooth)
         sums = lambda x: np.bincount(doc, x, len(size))
-        return sums(np.log10(exact + 1.0)[back]), sums((exact > 0)[back]).astype(np.int64), sums(chance)
-
-    def sum_up(rows: pa.Table) -> pa.Table:
-        kinds, blobs = rows.column("kind").to_pylist(), rows.column("blob").to_pylist()
-        told = pa.ipc.open_stream(next(b for b, k in zip(blobs, kinds, strict=True) if k == 1)).read_all()
-        size = told.column("size").to_numpy()
-        if apart:
-            base, known, score = answered(rows, size)
-            common._trim()
-        else:
-            base, known, score = (told.column(k).to_numpy().copy() for k in ("base", "known", "score"))
-            for b in sorted(b for b, k in zip(blobs, kinds, strict=True) if k == 0):
-                base += np.frombuffer(b, np.float64, len(base))
-                known += np.frombuffer(b, np.int64, len(base), 8 * len(base))
+        base, n_known, score = sums(np.log10(exact + 1.0)[back]), sums((exact > 0)[back]).astype(np.int64), sums(chance)
+        common._trim()
         return pa.table(
             {
                 "doc_id": told.column("doc_id"),
                 "held_out": told.column("held_out"),
                 "n_tokens": pa.array(size, pa.int64()),
-                "n_known": pa.array(known, pa.int64()),
+                "n_known": pa.array(n_known, pa.int64()),
                 "train_tokens": pa.array(np.full(len(size), total), pa.int64()),
                 "base_score": pa.array(base - size * denominator, pa.float64()),
                 "score": pa.array(score, pa.float64()),
             }
         )
 
-    blobs = docs.mapInArrow(ask if apart else run, "part int, kind byte, flush string, blob binary")
-    table = counts.where("kind <= 1" if apart else "kind = 0").select("part", "kind", "total", "blob")
+    blobs = docs.mapInArrow(ask, "part int, kind byte, flush string, blob binary")
+    table = counts.where("kind <= 1").select("part", "kind", "total", "blob")
     looked = blobs.groupBy("part").cogroup(table.groupBy("part")).applyInArrow(look_up, "part int, flush string, kind byte, blob binary")
     return looked.groupBy("flush").applyInArrow(sum_up, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
@@ -529,4 +506,3 @@ def scores(docs: DataFrame, filter_bits: int = FILTER_BITS) -> DataFrame:
 def op5_lm_scores(spark, sf_dir: str) -> DataFrame:
     """Every document's scores: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     return scores(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
-
