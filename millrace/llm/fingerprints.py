@@ -9,17 +9,19 @@ are compared filter by filter: bits in common, less what chance gives, over the
 most there could be.
 
 Scale: a document's next one by id is found by one shuffle of the texts into
-ranges of ids, sorted within each; the first document of each range is sent to
-the range before as well. The driver sees one id for each range.
+ranges of ids, twice as many as shuffle partitions and a task each, sorted within
+each; the first document of each range is sent to the range before as well. The
+driver sees one id for each range.
 """
 
 from __future__ import annotations
 
 import base64
+import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,9 +37,6 @@ PROBES = 5
 COMMON = 4.1
 LEAST = 1.0
 CHUNK = 1 << 20
-#: Ranges of ids at most; the driver holds one id for each.
-MOST_RANGES = 1024
-
 _N = np.arange(WINDOW + 1, dtype=np.float64)
 #: n log2 n in units of 2**-16: whole numbers, so that sums do not depend on what came before.
 _NLOGN = np.rint(_N * np.log2(np.maximum(_N, 1)) * 65536).astype(np.int64)
@@ -180,34 +179,58 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
+def _at_most(cuts: list[int], key: Column, strictly: bool) -> Column:
+    """How many of the sorted cuts are at most the key (or below it): two searches of the root of their number."""
+    step = max(1, math.isqrt(len(cuts)))
+    groups = [cuts[i : i + step] for i in range(0, len(cuts), step)]
+    longs = lambda xs: F.array(*(F.lit(x).cast("long") for x in xs))
+    before = (lambda c: c < key) if strictly else (lambda c: c <= key)
+    passed = F.size(F.filter(longs(g[-1] for g in groups), before))
+    inside = F.try_element_at(F.array(*map(longs, groups)), passed + 1)
+    return F.least(passed * step, F.lit(len(cuts))) + F.coalesce(F.size(F.filter(inside, before)), F.lit(0))
+
+
 def with_next(docs: DataFrame) -> DataFrame:
-    """Rows sorted by (_range, _tail, _key, text) within partitions, each range in one partition.
+    """Rows sorted by (_range, _tail, _key, _mark, text) within partitions, each range a partition of its own.
 
     A range's rows are its documents in ascending order, then (_tail = 1) the
-    document after its last: the first of the next range, or of all.
+    document after its last: the first of the next range, or of all. An id that
+    many rows share fills several ranges, by the hash of the text.
     """
-    n = common.tasks(docs)
-    cut = min(MOST_RANGES, 2 * n)
+    n = 2 * common.tasks(docs)
+    text = F.coalesce("text", F.lit(""))
     keyed = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
-        F.coalesce("text", F.lit("")).alias("text"),
+        text.alias("text"),
         F.coalesce("doc_id", F.lit(-(1 << 63))).cast("long").alias("_key"),
+        F.xxhash64(text).alias("_mark"),
     )
-    cuts = keyed.select(F.percentile_approx("_key", [k / cut for k in range(1, cut)], 10_000).alias("cuts")).first()["cuts"] or []
-    cuts = F.array(*(F.lit(c).cast("long") for c in sorted(set(cuts)))).cast("array<bigint>")
-    keyed = keyed.withColumn("_range", F.size(F.filter(cuts, lambda c: c <= F.col("_key"))))
-    firsts = keyed.groupBy("_range").agg(F.min("_key").alias("first")).orderBy("_range").collect()
+    cuts = sorted(keyed.select(F.percentile_approx("_key", [k / n for k in range(1, n)], max(10_000, 20 * n)).alias("cuts")).first()["cuts"] or [])
+    if cuts:
+        below, upto = _at_most(cuts, F.col("_key"), True), _at_most(cuts, F.col("_key"), False)
+        keyed = keyed.withColumns({"_below": below, "_same": upto - below})
+        place = F.floor((F.shiftrightunsigned("_mark", 1).cast("double") / F.lit(2.0**63)) * F.col("_same"))
+        spread = F.col("_below") + F.when(F.col("_same") > 1, 1 + F.least(place, F.col("_same") - 1)).otherwise(F.col("_same"))
+        keyed = keyed.withColumn("_range", spread.cast("int")).drop("_below", "_same")
+    else:
+        keyed = keyed.withColumn("_range", F.lit(0))
+    # The marks' order is that of their bits without a sign, as the ranges have it.
+    keyed = keyed.withColumn("_mark", F.col("_mark").bitwiseXOR(F.lit(-(1 << 63))))
+    firsts = keyed.groupBy("_range").agg(F.min(F.struct("_key", "_mark")).alias("first")).orderBy("_range").collect()
     own = F.struct(F.col("_range"), F.lit(0).alias("_tail"))
     if firsts:
-        ahead = F.create_map(*(F.lit(x) for k, r in enumerate(firsts) for x in (r["first"], firsts[k - 1]["_range"])))
-        before = F.try_element_at(ahead, F.col("_key"))
-        keyed = keyed.withColumn("_at", F.explode(F.array_compact(F.array(own, F.when(before.isNotNull(), F.struct(before.alias("_range"), F.lit(1).alias("_tail")))))))
+        first: list = [None] * (len(cuts) + 1)
+        for k, r in enumerate(firsts):
+            first[r["_range"]] = (r["first"]["_key"], r["first"]["_mark"], firsts[k - 1]["_range"])
+        told = [F.element_at(F.array(*(F.lit(f and f[i]).cast("long") for f in first)), F.col("_range") + 1) for i in range(3)]
+        before = F.when((told[0] == F.col("_key")) & (told[1] == F.col("_mark")), F.struct(told[2].cast("int").alias("_range"), F.lit(1).alias("_tail")))
+        keyed = keyed.withColumn("_at", F.explode(F.array_compact(F.array(own, before))))
     else:
         keyed = keyed.withColumn("_at", own)
     return (
-        keyed.select("doc_id", "text", "_key", F.col("_at._range").alias("_range"), F.col("_at._tail").alias("_tail"))
-        .repartition(n, "_range")
-        .sortWithinPartitions("_range", "_tail", "_key", "text")
+        keyed.select("doc_id", "text", "_key", "_mark", F.col("_at._range").alias("_range"), F.col("_at._tail").alias("_tail"))
+        .repartitionById(len(cuts) + 1, "_range")
+        .sortWithinPartitions("_range", "_tail", "_key", "_mark", "text")
     )
 
 
@@ -216,9 +239,10 @@ def against_edits(docs: DataFrame) -> DataFrame:
 
     The edited text has its last half replaced by as much of the next document's
     beginning; the document after the last is the first, which for a single
-    document is itself. Documents are ordered by doc_id, null first, then by
-    text: rows that repeat an id follow one another. Null and empty texts have
-    an empty fingerprint. An empty table gives an empty result.
+    document is itself. Documents are ordered by doc_id, null first, then by a
+    hash of the text: rows that repeat an id follow one another. Null and empty
+    texts have an empty fingerprint. An empty table gives an empty result. Other
+    columns are not read.
     """
     names = ["n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     kinds = [T.LongType(), T.StringType(), T.StringType(), T.StringType(), T.DoubleType(), T.DoubleType()]
