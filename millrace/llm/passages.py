@@ -3,9 +3,11 @@
 Every word covered by a window of LENGTH words whose word sequence also starts
 anywhere else is removed. Suffixes are put into buckets by content (see
 repeats); within a block of buckets, prefixes of words of variable length split
-them into groups that fit the memory asked for, each group's subtree is built
-from the top, and its internal nodes of depth LENGTH, those with two leaves or
-more, are the repeats.
+them into groups that fit the memory asked for. Each group's subtree is built
+from the top, all nodes of a level side by side: an edge is as long as all
+suffixes below it agree, and where they part a node has a child for each word.
+The first nodes at LENGTH words or deeper on each way down have two leaves or
+more that agree in as many words and no further: a repeat, maximal to the right.
 """
 
 from __future__ import annotations
@@ -66,23 +68,68 @@ def _groups(codes: np.ndarray, at: np.ndarray, limit: int, length: int) -> list[
     return out
 
 
-def deep_nodes(codes: np.ndarray, at: np.ndarray, length: int = LENGTH, limit: int = GROUP) -> tuple[np.ndarray, np.ndarray]:
-    """Leaves below internal nodes of depth `length`, and the node of each."""
-    leaves, nodes, base = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
-    for members, node, depth in _groups(codes, at, limit, length):
-        for d in range(depth, length):
+def _edges(codes: np.ndarray, at: np.ndarray, end: np.ndarray, node: np.ndarray, depth: np.ndarray) -> np.ndarray:
+    """Words, from its depth on, in which all suffixes of a node agree: one number for each node.
+
+    at, end: each suffix's beginning and the end of its context; node: its node,
+    numbered in order; depth: each node's.
+    """
+    first = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1])))
+    edge = np.zeros(len(depth), np.int64)
+    mine, other = at + depth[node], at[first][node] + depth[node]
+    stop, other_stop = end, end[first][node]
+    k = 0
+    while len(node):
+        inside = (mine + k < stop) & (other + k < other_stop)
+        agree = inside & (codes[np.where(inside, mine + k, 0)] == codes[np.where(inside, other + k, 0)])
+        over = np.zeros(len(depth), bool)
+        over[node[~agree]] = True
+        edge[over] = k
+        stay = ~over[node]
+        mine, other, stop, other_stop, node = mine[stay], other[stay], stop[stay], other_stop[stay], node[stay]
+        k += 1
+    return edge
+
+
+def deep_nodes(codes: np.ndarray, at: np.ndarray, length: int = LENGTH, limit: int = GROUP, end: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(leaves below the first internal nodes of depth `length` or more, the node of each, its depth).
+
+    at: suffixes of at least `length` words; end: where each one's context ends (None: all where codes do).
+    """
+    ends = np.full(len(codes) + 1, len(codes))
+    if end is not None:
+        ends[at] = end
+    leaves, nodes, depths, base = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+    for members, node, prefix in _groups(codes, at, limit, length):
+        node = np.unique(node, return_inverse=True)[1]
+        depth = np.full(int(node.max(initial=-1)) + 1, prefix, np.int64)
+        if prefix == 0 and len(members) == 1:
+            continue
+        while len(members):
+            depth = depth + _edges(codes, members, ends[members], node, depth)
+            deep = depth[node] >= length
+            if deep.any():
+                leaves.append(members[deep])
+                nodes.append(node[deep] + base)
+                depths.append(depth[node[deep]])
+                base += len(depth)
+            members, node = members[~deep], node[~deep]
             if not len(members):
                 break
-            members, node = _split(codes, members, node, d)
-        if len(members):
-            leaves.append(members)
-            nodes.append(node + base)
-            base += int(node.max()) + 1
-    return np.concatenate(leaves), np.concatenate(nodes)
+            word = codes[members + depth[node]]
+            order = np.lexsort((word, node))
+            members, parent, word = members[order], node[order], word[order]
+            new = np.concatenate(([True], (parent[1:] != parent[:-1]) | (word[1:] != word[:-1])))
+            several = ~(new & np.concatenate((new[1:], [True])))
+            child = (np.cumsum(new) - 1)[several]
+            members, parent = members[several], parent[several]
+            kept, node = np.unique(child, return_inverse=True)
+            depth = depth[parent[np.searchsorted(child, kept)]] + 1
+    return np.concatenate(leaves), np.concatenate(nodes), np.concatenate(depths)
 
 
 def resolve(key, mark, start, count, many, contexts, bucket):
-    """Spans of all windows that have an equal one among the contexts, block by block."""
+    """Spans of all repeats among the contexts, block by block; they cover all windows that have an equal one."""
     size = np.fromiter((len(c) for c in contexts), np.int64, len(contexts))
     out = []
     for a, b in repeats.blocks_of(bucket, size, BLOCK):
@@ -91,10 +138,11 @@ def resolve(key, mark, start, count, many, contexts, bucket):
         codes = np.fromiter((number.setdefault(w, len(number)) for ws in words for w in ws), np.int64)
         lengths = np.fromiter((len(ws) for ws in words), np.int64, len(words))
         base = np.cumsum(lengths) - lengths
-        leaf, _ = deep_nodes(codes, common.ranges(base, count[a:b]))
+        stop = base + lengths
+        leaf, _, depth = deep_nodes(codes, common.ranges(base, count[a:b]), end=np.repeat(stop, count[a:b]))
         row = np.searchsorted(base, leaf, "right") - 1
         place = start[a + row] + leaf - base[row]
-        out.append((key[a + row], mark[a + row], place, place + LENGTH))
+        out.append((key[a + row], mark[a + row], place, place + depth))
     return tuple(np.concatenate(x) if out else np.zeros(0, np.int64) for x in (zip(*out, strict=True) if out else [()] * 4))
 
 

@@ -127,11 +127,42 @@ def test_subtree_groups_do_not_change_the_nodes():
         want.setdefault(tuple(codes[i : i + 12]), []).append(int(i))
     want = sorted(v for v in want.values() if len(v) > 1)
     for limit in (1, 30, 10**6):
-        leaf, node = passages.deep_nodes(codes, at, 12, limit)
+        leaf, node, depth = passages.deep_nodes(codes, at, 12, limit)
         got = {}
         for x, k in zip(leaf.tolist(), node.tolist(), strict=True):
             got.setdefault(k, []).append(x)
         assert sorted(sorted(v) for v in got.values()) == want
+        for k in got:  # a node's leaves agree in as many words as it is deep, and no further
+            d = int(depth[node == k][0])
+            assert d >= 12 and (depth[node == k] == d).all() and len({tuple(codes[i : i + d]) for i in got[k]}) == 1
+            assert max(got[k]) + d == len(codes) or len({int(codes[i + d]) for i in got[k]}) > 1
+
+
+def test_nodes_end_with_their_contexts():
+    codes = np.array([1, 2, 3, 4, 1, 2, 3, 4, 1, 2, 3, 9])
+    leaf, _, depth = passages.deep_nodes(codes, np.array([0, 4, 8]), 3, 100, np.array([4, 8, 12]))
+    assert sorted(leaf.tolist()) == [0, 4, 8] and depth.tolist() == [3, 3, 3]
+    leaf, _, depth = passages.deep_nodes(codes, np.array([0, 4]), 3, 100, np.array([4, 8]))
+    assert sorted(leaf.tolist()) == [0, 4] and depth.tolist() == [4, 4]
+    assert [len(x) for x in passages.deep_nodes(codes, np.array([4]), 3, 100)] == [0, 0, 0]
+
+
+def test_the_queries_columns(spark, tmp_path):
+    path = table(spark, [(1, "a"), (None, None)], tmp_path)
+    assert substrings.op3_suffix_dedup(spark, path).dtypes == [("doc_id", "bigint"), ("n_bytes", "bigint"), ("n_removed", "bigint"), ("n_spans", "bigint"), ("kept_sha256", "string")]
+    assert passages.op7_substring_dedup(spark, path).dtypes == [("doc_id", "bigint"), ("n_words", "bigint"), ("n_removed", "bigint"), ("kept_sha256", "string")]
+
+
+def test_texts_of_megabytes(spark, tmp_path):
+    rng = random.Random(7)
+    long = " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(400_000))
+    rows = [(1, long), (2, "x " + long[:300_000]), (3, "e" * 1_000_000), (4, "ab cd " * 100_000)]
+    got = {r["doc_id"]: r for r in passages.op7_substring_dedup(spark, table(spark, rows, tmp_path)).collect()}
+    words = len(long[:300_000].split())
+    assert got[2]["n_words"] == words + 1 and words - 2 <= got[2]["n_removed"] <= words and got[1]["n_removed"] == got[2]["n_removed"]
+    assert got[3]["n_removed"] == 0 and got[4]["n_removed"] == 200_000
+    got = {r["doc_id"]: r for r in substrings.op3_suffix_dedup(spark, table(spark, rows, tmp_path)).collect()}
+    assert [got[k]["n_removed"] for k in (1, 2, 3, 4)] == [0, 300_000, 999_999, 599_994]
 
 
 def test_span_union():
