@@ -18,6 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.llm import common
 from millrace.llm.common import WORD
 
 #: Weights of the sources in code-point order (null last), repeating.
@@ -73,46 +74,55 @@ def draw(doc_id: Column | str, seed: str = SEED) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
+def _goals(sized: DataFrame, weights: Sequence[int], share: float, most: int) -> DataFrame:
+    """_source, _source_size, _target and _rate of each source of sized (source, size)."""
+    totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    return targets(totals, weights, share, most).select(F.col("source").alias("_source"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), rate.alias("_rate"))
+
+
+def _with_copies(rows: DataFrame, goals: DataFrame, seed: str) -> DataFrame:
+    """rows (doc_id, source and whatever else) with their source's goals and _copies."""
+    copies = F.floor("_rate") + (draw("doc_id", seed) < F.col("_rate") - F.floor("_rate")).cast("long")
+    return rows.join(goals, F.col("source").eqNullSafe(F.col("_source")), "left").withColumn("_copies", copies.cast("long"))
+
+
 def plan(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, most: int = MOST, seed: str = SEED) -> DataFrame:
     """docs with _size, _source_size, _target and _copies.
 
     A null source is a source of its own, last in order. A null or blank text
     has size 0 and adds nothing; it is still emitted at its source's rate. A
     source without words has rate 0. Rows that repeat a doc_id share its draw.
-    An empty table gives an empty table. Other columns pass through unread; the
-    four added names begin with an underscore.
+    An empty table gives an empty table. Other columns pass through unread,
+    whatever they are called; only columns that have one of the four names are
+    replaced by the plan's.
     """
-    sized = docs.withColumn("_size", size_of("text"))
-    totals = docs.select("source", size_of("text").alias("_size")).groupBy("source").agg(F.sum("_size").alias("source_size"))
-    goal = targets(totals, weights, share, most).select(
-        F.col("source").alias("_source"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target")
-    )
-    rate = F.when(F.col("_source_size") > 0, F.col("_target") / F.col("_source_size")).otherwise(F.lit(0.0))
-    copies = F.floor("_rate") + (draw("doc_id", seed) < F.col("_rate") - F.floor("_rate")).cast("long")
-    return (
-        sized.join(goal, F.col("source").eqNullSafe(F.col("_source")), "left")
-        .drop("_source")
-        .withColumn("_rate", rate)
-        .withColumn("_copies", copies.cast("long"))
-        .drop("_rate")
-    )
+    added = ("_size", "_source_size", "_target", "_copies")
+    kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in added]
+    rows = docs.select("doc_id", "source", size_of("text").alias("size"), F.struct(*kept).alias("row"))
+    return _with_copies(rows, _goals(rows.select("source", "size"), weights, share, most), seed).select("row.*", F.col("size").alias("_size"), *added[1:])
 
 
 def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, most: int = MOST, seed: str = SEED) -> DataFrame:
-    """The mixed corpus: every document as often as its plan says, with the columns of docs."""
-    return plan(docs, weights, share, most, seed).withColumn("_copy", F.explode(F.expr("array_repeat(0, cast(_copies as int))"))).select(*docs.columns)
+    """The mixed corpus: every document as often as its plan says, with the columns of docs, whatever they are called."""
+    rows = docs.select("doc_id", "source", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    planned = _with_copies(rows, _goals(docs.select("source", size_of("text").alias("size")), weights, share, most), seed)
+    return planned.select("row", F.explode(F.expr("array_repeat(0, cast(_copies as int))"))).select("row.*")
+
+
+def taken(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, most: int = MOST, seed: str = SEED) -> DataFrame:
+    """doc_id, size, source_size, target and taken (words the mix takes) of each row; behaves as plan().
+
+    Texts are read once: sizes are written to the shared folder and summed from there.
+    """
+    sized = common.written(docs.select("doc_id", "source", size_of("text").alias("size")), "sizes")
+    planned = _with_copies(sized, _goals(sized, weights, share, most), seed)
+    return planned.select("doc_id", "size", F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_copies") * F.col("size")).alias("taken"))
 
 
 def op10_mix_sources(spark, sf_dir: str) -> DataFrame:
     """The mix of all documents, one row each: doc_id, size, source_size, target, taken."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
-    return plan(docs).select(
-        "doc_id",
-        F.col("_size").alias("size"),
-        F.col("_source_size").alias("source_size"),
-        F.col("_target").alias("target"),
-        (F.col("_copies") * F.col("_size")).alias("taken"),
-    )
+    return taken(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source"))
 
 
 OP10_SQL = f"""

@@ -46,3 +46,14 @@ def test_rows(spark):
     out = mixing.mix(docs)
     assert out.columns == docs.columns and out.count() == sum(r["_copies"] for r in planned)
     assert mixing.mix(docs.limit(0)).count() == 0
+
+
+def test_the_query(spark, tmp_path):
+    rows = [(1, "a b c", "x", "k"), (1, "a b c", "x", "k"), (2, None, None, "k"), (3, "d" * 3_000_000 + " e", "y", "k")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, _source string").write.parquet(str(tmp_path / "documents.parquet"))
+    out = mixing.op10_mix_sources(spark, str(tmp_path))
+    assert out.dtypes == [("doc_id", "bigint"), ("size", "bigint"), ("source_size", "bigint"), ("target", "double"), ("taken", "bigint")]
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    want = sorted((r["doc_id"], r["_size"], r["_source_size"], r["_target"], r["_copies"] * r["_size"]) for r in mixing.plan(docs).collect())
+    assert sorted(map(tuple, out.collect())) == want
+    assert [r["_source"] for r in mixing.plan(docs).collect()] == ["k"] * 4
