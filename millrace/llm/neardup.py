@@ -281,12 +281,14 @@ def one_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Dat
     """docs with one row of each component of near duplicates: of the smallest id, any of the rows that repeat it.
 
     A null id is the largest. Rows without shingles are linked with nothing: one
-    of each id stays, and all with null ids.
+    of each id stays, and all with null ids. Other columns pass through, whatever
+    they are called.
     """
     named = _labelled(docs, words, percent)[1]
     best = named.groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "class")).alias("best")).select("best.*")
-    best = common.written(best.select(F.col("class").alias("_class"), F.coalesce("id", "class").alias("_id"), F.lit(True).alias("_best")), "best")
-    names, schema = docs.columns, T.StructType([*docs.schema.fields, *(T.StructField(n, T.LongType()) for n in ("_class", "_id", "_row"))])
+    class_, id_, row_, best_ = own = [common.unused(n, docs.columns) for n in ("_class", "_id", "_row", "_best")]
+    best = common.written(best.select(F.col("class").alias(class_), F.coalesce("id", "class").alias(id_), F.lit(True).alias(best_)), "best")
+    names, schema = [F.col(f"`{c}`") for c in docs.columns], T.StructType([*docs.schema.fields, *(T.StructField(n, T.LongType()) for n in own[:3])])
 
     def run(batches):
         from pyspark import TaskContext
@@ -304,8 +306,8 @@ def one_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Dat
             yield pa.RecordBatch.from_arrays(columns, schema.names).take(pa.array(_first_rows(key)))
 
     common.small_batches(docs.sparkSession)
-    rows = docs.mapInArrow(run, schema).join(best, ["_class", "_id"], "left").where("_best OR _class = 0")
-    return rows.dropDuplicates(["_class", "_id", "_row"]).select(*names)
+    rows = docs.mapInArrow(run, schema).join(best, [class_, id_], "left").where(F.col(best_) | (F.col(class_) == 0))
+    return rows.dropDuplicates([class_, id_, row_]).select(*names)
 
 
 def _labelled(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:

@@ -213,28 +213,30 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     return learn(stacked, counts, found.column("label").to_numpy().astype(np.float32))
 
 
-def scored(docs: DataFrame, model: Model, keep: Sequence[str] | None = None) -> DataFrame:
-    """The columns named in keep (all of docs, if None) with _score: the model's
+def scored(docs: DataFrame, model: Model, keep: Sequence[str] | None = None, name: str = "_score") -> DataFrame:
+    """The columns named in keep (all of docs, if None) with `name`: the model's
     probability of label 1 for each whole text.
 
     Null and empty texts are one empty passage. Only the text is read for the
-    score; a column of docs must not be called _score or _text.
+    score; a column that is kept must not be called `name`, others may have any
+    name. Rows that agree get equal scores; an empty table gives none.
     """
     keep = list(docs.columns if keep is None else keep)
-    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("_score", T.DoubleType())])
+    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField(name, T.DoubleType())])
+    text = common.unused("_text", keep)
 
     def run(batches):
-        for batch in common.pieces(batches, "_text"):
-            passages, counts = encode(batch.column("_text"))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(model.score(passages, counts), pa.float64())], schema.names)
+        for batch in common.pieces(batches, text):
+            passages, counts = encode(batch.columns[-1])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(model.score(passages, counts), pa.float64())], schema.names)
 
     common.small_batches(docs.sparkSession)
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, schema)
+    return docs.select(*(F.col(f"`{c}`") for c in keep), F.col("text").alias(text)).mapInArrow(run, schema)
 
 
-def classify(docs: DataFrame, labels: DataFrame, keep: Sequence[str] | None = None, sample: int = SAMPLE) -> DataFrame:
-    """docs (or its columns in keep) with _score, learnt from labels."""
-    return scored(docs, fit(docs, labels, sample), keep)
+def classify(docs: DataFrame, labels: DataFrame, keep: Sequence[str] | None = None, sample: int = SAMPLE, name: str = "_score") -> DataFrame:
+    """docs (or its columns in keep) with the score, learnt from labels."""
+    return scored(docs, fit(docs, labels, sample), keep, name)
 
 
 def op9_quality(spark, sf_dir: str) -> DataFrame:

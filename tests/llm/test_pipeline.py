@@ -70,3 +70,23 @@ def test_empty(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     assert pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_columns_of_any_name_and_long_texts(spark, tmp_path):
+    """Extra columns called like the operators' own, and texts of megabytes, go through every stage."""
+    rng = random.Random(12)
+    clash = ["_text", "_score", "_kept", "_class", "_id", "_row", "_best", "_size", "_copy", "_copies", "_source", "_target", "_rate", "row", "size", "label", "class"]
+    long = prose(rng, 400_000)
+    table = [(i, t, "en", "s", 0) for i, t in enumerate([prose(rng, 40) for _ in range(30)] + [long, long + " more", None, ""])]
+    schema = SCHEMA + "".join(f", `{c}` string" for c in clash)
+    docs = spark.createDataFrame([(*r, *(f"{c}{r[0]}" for c in clash)) for r in table], schema).repartition(3)
+    spark.createDataFrame([(i, 1, 0) for i in range(20)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for name, stage in pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns, name
+        rows = out.collect()
+        assert rows and all(r[c] == f"{c}{r['doc_id']}" for r in rows for c in clash), name
+        if name == "near duplicates":
+            assert {r["doc_id"] for r in rows} == {*range(31), 32, 33}
+    codes = {r["doc_id"]: r for r in pipeline.encode(spark, docs, "").collect()}
+    assert codes[31]["decoded_sha256"] == hashlib.sha256((long + " more").encode()).hexdigest() and len(codes) == len(table)
