@@ -21,11 +21,12 @@ def latest_state(events: DataFrame, key: str = "order_id", sequence: str = "__se
     is_refunded follows the verb alone (null verb: null). The highest event is
     taken by an aggregate, which is combined before the shuffle: one row per key
     and task moves, however many events a key has. Events without a sequence are
-    older than any with one; null keys are one key.
+    older than any with one; null keys are one key. Of events that share a
+    sequence the greatest by the other columns counts, so that reruns agree.
     """
-    whole = F.struct(*events.columns)
-    top = events.groupBy(key).agg(F.max_by(whole, F.coalesce(F.col(sequence), F.lit(-(1 << 63)))).alias("_row"))
-    return top.select("_row.*").withColumn("is_refunded", F.col("__op") == "D").withColumn("order_status", order_status(F.col("event_type")))
+    rest = [c for c in events.columns if c not in (key, sequence)]
+    top = events.groupBy(key).agg(F.max(F.struct(F.col(sequence), *rest)).alias("_row"))
+    return top.select(*(F.col(c) if c == key else F.col(f"_row.{c}").alias(c) for c in events.columns)).withColumn("is_refunded", F.col("__op") == "D").withColumn("order_status", order_status(F.col("event_type")))
 
 
 def active(state: DataFrame) -> DataFrame:

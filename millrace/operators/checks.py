@@ -68,6 +68,31 @@ def gate(accepted: int, refused: int, null_keys: int, warn: float, fail: float,
     return "warn" if share > warn else "ok"
 
 
+def reconcile_split(rows: DataFrame, contract, arrived: str | None = None) -> DataFrame:
+    """What reconcile() says of a contract's split, from one scan: the flag counts for both sides."""
+    flag = contract.valid(arrived, set(rows.columns))
+    good, bad = F.count_if(flag), F.count_if(~flag)
+    return rows.agg(F.count(F.lit(1)).alias("landed"), good.alias("accepted"), bad.alias("refused"), (F.count(F.lit(1)) - good - bad).alias("lost"))
+
+
+def members(column: str, *allowed: str) -> str:
+    """An expectation: a column's value is among those allowed."""
+    listed = ", ".join("'" + a.replace("'", "''") + "'" for a in allowed)
+    return f"{column} IN ({listed})"
+
+
+def protected(df: DataFrame, contract, salt: str, born: str = "birth_date", on: str | None = None, adult: int = 18) -> DataFrame:
+    """df as analysts may see it: personal columns of the contract masked, a year for the day of birth, and no minors.
+
+    Minors, on the day given (today, if None), are left out, as are rows whose
+    day of birth is not known: access is refused rather than granted.
+    """
+    if born in df.columns:
+        day = F.lit(on).cast("date") if on else F.current_date()
+        df = df.where(F.coalesce(F.add_months(F.col(born).cast("date"), 12 * adult) <= day, F.lit(False))).withColumn(born, F.year(F.col(born).cast("date")).cast("string"))
+    return masked(df, [c for c in contract.personal if c in df.columns and c != born], salt)
+
+
 def masked(df: DataFrame, personal: Sequence[str], salt: str) -> DataFrame:
     """df with personal columns as salted digests; null stays null."""
     return df.withColumns({c: F.when(F.col(c).isNotNull(), F.sha2(F.concat(F.lit(salt), F.col(c).cast("string")), 256)) for c in personal})

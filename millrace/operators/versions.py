@@ -26,29 +26,34 @@ def merge(current: DataFrame | None, incoming: DataFrame, keys: Sequence[str], t
 
     New keys open a version on the snapshot's date (column `since`, which is not
     carried). A change of a tracked column closes the open version on that date
-    and opens another. Other changes are dropped with the row that brings them,
-    keys missing from the snapshot stay open, closed versions pass through, and a
-    snapshot applied again changes nothing. A key twice in a snapshot is an
-    error that the caller must have ruled out. None stands for no dimension yet.
+    and opens another; on the day the open version began it replaces it, and a
+    snapshot dated before that day changes nothing of it. Other changes are
+    dropped with the row that brings them, keys missing from the snapshot stay
+    open, closed versions pass through, and a snapshot applied again changes
+    nothing. Of a key twice in a snapshot the greatest row counts (by date, then
+    column by column). A null key is a key. None stands for no dimension yet.
 
     One full join of the open versions with the snapshot on the keys, and one
     pass that emits one or two versions for each: no second scan and no action.
     """
     keys = list(keys)
     payload = [c for c in incoming.columns if c != since]
-    fresh = incoming.withColumn("_since", F.to_date(since)).select(F.struct(*payload).alias("_new"), "_since", *(F.col(k).alias(f"_n_{k}") for k in keys), signature(tracked).alias("_n_sign"))
+    once = incoming.withColumn("_since", F.to_date(since)).groupBy(*keys).agg(F.max(F.struct("_since", *(c for c in payload if c not in keys))).alias("_row"))
+    fresh = once.select(*(F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in payload), "_row._since")
+    fresh = fresh.select(F.struct(*payload).alias("_new"), "_since", *(F.col(k).alias(f"_n_{k}") for k in keys), signature(tracked).alias("_n_sign"))
     if current is None:
         return _version(fresh.select("_new.*", "_since"), F.col("_since"), F.lit(high_date), True).drop("_since")
     closed, open_ = current.where(~F.col("__is_current")), current.where("__is_current")
     old = open_.select(F.struct(*payload, *VALIDITY).alias("_old"), *(F.col(k).alias(f"_o_{k}") for k in keys), signature(tracked).alias("_o_sign"))
-    on = [F.col(f"_o_{k}") == F.col(f"_n_{k}") for k in keys]
+    on = [F.col(f"_o_{k}").eqNullSafe(F.col(f"_n_{k}")) for k in keys]
     both = old.join(fresh, on, "full")
     kept = F.struct(*(F.col(f"_old.{c}") for c in (*payload, *VALIDITY)))
     ended = F.struct(*(F.col(f"_old.{c}") for c in payload), F.col("_old.__effective_from").alias("__effective_from"), F.col("_since").alias("__effective_to"), F.lit(False).alias("__is_current"))
     begun = F.struct(*(F.col(f"_new.{c}") for c in payload), F.col("_since").alias("__effective_from"), F.lit(high_date).cast("date").alias("__effective_to"), F.lit(True).alias("__is_current"))
+    began = F.col("_old.__effective_from")
     rows = (
-        F.when(F.col("_new").isNull() | (F.col("_o_sign") == F.col("_n_sign")), F.array(kept))
-        .when(F.col("_old").isNull(), F.array(begun))
+        F.when(F.col("_n_sign").isNull() | (F.col("_o_sign") == F.col("_n_sign")) | (F.col("_since") < began), F.array(kept))
+        .when(F.col("_o_sign").isNull() | (F.col("_since") == began), F.array(begun))
         .otherwise(F.array(ended, begun))
     )
     return closed.select(*payload, *VALIDITY).unionByName(both.select(F.explode(rows).alias("_row")).select("_row.*"))

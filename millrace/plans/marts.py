@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.operators import star
+from millrace.plans.versioned import Versioned
 
 
 def databases(spark: SparkSession, layers=("bronze", "silver", "gold", "quarantine", "ops")) -> list[str]:
@@ -33,30 +32,28 @@ def as_view(spark: SparkSession, fact_table: str, name: str) -> None:
 class Refreshable:
     """A stored mart that is brought up to date when told, in whole or by the games that changed.
 
-    Every refresh writes a new folder and then points the view at it, so readers
-    and a refresh that reads the old rows never meet a half-written table. A
-    game's rows depend on its orders alone, so refreshing the changed games from
-    their current orders equals a full refresh.
+    Every refresh makes a new version and then points the view at it, so readers
+    and a refresh that reads the old rows never meet a half-written table; the
+    pointer outlives the process. A game's rows depend on its orders alone, so
+    refreshing the changed games from their current orders equals a full refresh.
+    Versions that stopped being the mart an hour ago are removed.
     """
 
     def __init__(self, spark: SparkSession, folder: str, name: str):
-        self.spark, self.folder, self.name, self.path = spark, folder.rstrip("/"), name, None
-
-    def _point(self, rows: DataFrame) -> None:
-        self.path = f"{self.folder}/v-{uuid.uuid4().hex}"
-        rows.write.parquet(self.path)
-        self.spark.read.parquet(self.path).createOrReplaceTempView(self.name)
+        self.table = Versioned(spark, folder, name)
 
     def refresh(self, fact: DataFrame) -> None:
-        self._point(star.revenue_by_class(fact))
+        self.table.write(star.revenue_by_class(fact), "REFRESH")
+        self.table.vacuum(keep_hours=1.0)
 
     def refresh_games(self, fact: DataFrame, games: DataFrame) -> None:
         """Recompute the games named in games (game_id) and keep the others' rows."""
-        if self.path is None:
+        if not self.table.exists():
             return self.refresh(fact)
         changed = games.select("game_id").where("game_id IS NOT NULL").distinct()
-        others = self.spark.read.parquet(self.path).join(changed, "game_id", "left_anti")
-        self._point(others.unionByName(star.revenue_by_class(fact.join(changed, "game_id", "left_semi"))))
+        others = self.table.read().join(changed, "game_id", "left_anti")
+        self.table.write(others.unionByName(star.revenue_by_class(fact.join(changed, "game_id", "left_semi"))), "REFRESH GAMES")
+        self.table.vacuum(keep_hours=1.0)
         return None
 
 

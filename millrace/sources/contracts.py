@@ -85,16 +85,30 @@ class Contract:
     def personal(self) -> list[str]:
         return [n.rstrip("!*") for n in (line.split()[0] for line in self._lines()) if "*" in n]
 
+    def comment(self, name: str) -> str:
+        """What a column is, for a table's definition."""
+        told = [w for w, names in (("key", self.key), ("must be present", self.required), ("personal", self.personal), ("time of the event", (self.event_time,))) if name in names]
+        return ", ".join(told) or "as delivered"
+
     def valid(self, arrived: str | None = None, present: set[str] | None = None) -> Column:
-        """Whether a row keeps the contract; never null. arrived: the column with the time of arrival."""
-        ok = all_present([c for c in self.required if present is None or c in present])
+        """Whether a row keeps the contract; never null. arrived: the column with the time of arrival.
+
+        present: the columns there are. A row without a column that must be
+        present keeps no contract.
+        """
+        if present is not None and not set(self.required) <= present:
+            return F.lit(False)
+        ok = all_present(self.required)
         if self.lateness is not None and self.event_time and arrived:
             late = F.col(self.event_time) >= F.col(arrived) - F.expr(f"INTERVAL {self.lateness} HOURS")
             ok = ok & F.coalesce(late, F.lit(False))
         return ok
 
-    def reason(self) -> Column:
+    def reason(self, present: set[str] | None = None) -> Column:
         """Why a refused row was refused: the first of the named refusals that holds."""
+        absent = [c for c in self.required if present is not None and c not in present]
+        if absent:
+            return F.lit(f"ABSENT_COLUMN_{absent[0].upper()}")
         named = [(F.col(c).isNull(), why) for c, why in self.refusals]
         return first_reason(named, "LATENESS_BEYOND_CONTRACT" if self.lateness is not None else "CONTRACT_VIOLATION")
 
@@ -215,6 +229,99 @@ _ALL = (
         renumber_effective_date DATE
         """,
     ),
+    Contract(
+        "pricing",
+        "1.0.0",
+        ("price_point_id",),
+        Policy.ADD,
+        """
+        price_point_id! STRING
+        game_id! STRING
+        seat_class! STRING
+        face_price_usd DOUBLE
+        listed_price_usd! DOUBLE
+        valid_from_ts! TIMESTAMP
+        valid_to_ts! TIMESTAMP
+        pricing_rule STRING
+        """,
+        refusals=(("price_point_id", "NULL_PRIMARY_KEY"), ("game_id", "NULL_GAME_ID"), ("valid_from_ts", "NULL_WINDOW"), ("valid_to_ts", "NULL_WINDOW")),
+    ),
+    Contract(
+        "deposits",
+        "1.0.0",
+        ("deposit_id",),
+        Policy.ADD,
+        """
+        deposit_id! STRING
+        account_id! STRING
+        deposit_amount_usd DOUBLE
+        placed_ts TIMESTAMP
+        priority_rank BIGINT
+        selection_wave STRING
+        selection_event_ts TIMESTAMP
+        converted_to_plan BOOLEAN
+        plan_type STRING
+        seats_selected INT
+        deposit_forfeited BOOLEAN
+        refunded_ts TIMESTAMP
+        """,
+    ),
+    Contract(
+        "schedule",
+        "1.0.0",
+        ("game_id",),
+        Policy.ADD,
+        """
+        game_id! STRING
+        game_date! DATE
+        first_pitch_ts! TIMESTAMP
+        opponent STRING
+        opponent_draw_factor DOUBLE
+        day_of_week STRING
+        is_weekend BOOLEAN
+        is_night_game BOOLEAN
+        promotion STRING
+        promotion_lift DOUBLE
+        outside_temp_f DOUBLE
+        roof_closed BOOLEAN
+        home_game_number INT
+        novelty_index DOUBLE
+        entering_win_pct DOUBLE
+        result STRING
+        """,
+    ),
+    Contract(
+        "sponsorship",
+        "1.0.0",
+        ("contract_id",),
+        Policy.RESCUE,
+        """
+        contract_id! STRING
+        sponsor_name STRING
+        tier STRING
+        annual_value_usd BIGINT
+        term_start DATE
+        term_end DATE
+        contract_text STRING
+        """,
+    ),
+    Contract(
+        "guest_services",
+        "1.0.0",
+        ("guest_ticket_id",),
+        Policy.ADD,
+        """
+        guest_ticket_id! STRING
+        account_id STRING
+        game_id STRING
+        reported_date DATE
+        issue_category_actual STRING
+        issue_text* STRING
+        channel STRING
+        resolution_status STRING
+        compensation_usd DOUBLE
+        """,
+    ),
 )
 CONTRACTS = {c.name: c for c in _ALL}
 

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import json
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
+from millrace.sources import files
 from millrace.sources.contracts import Contract, Policy
 
+# Names of the audit columns.
 AUDIT = ("_ingest_ts", "_source_file", "_source_file_modified_ts", "_environment", "_contract_version")
 
 
@@ -31,18 +37,20 @@ def rescued(lines: DataFrame, contract: Contract) -> DataFrame:
 
     _rescued_data is a JSON object of fields that the contract lacks and of those
     whose value does not fit their type (the column is null then); null if there
-    are none. A line that is no JSON gives a row of nulls with the line rescued
-    under "_malformed". Other columns of lines pass through.
+    are none. A line that is no JSON object, or null, gives a row of nulls with
+    the line rescued under "_malformed". Other columns of lines pass through.
     """
     schema = contract.schema()
     raw = F.expr("try_variant_get(try_parse_json(value), '$', 'map<string,variant>')")
     parsed = lines.withColumn("_raw", raw).withColumn("_row", F.from_json("value", schema, {"mode": "PERMISSIVE"}))
     names = F.array(*(F.lit(c) for c in contract.names))
-    # A present, non-null field whose column came out null did not fit.
-    misfit = F.array_compact(F.array(*(F.when(F.col(f"_row.{c}").isNull() & F.expr(f"_raw['{c}'] IS NOT NULL AND NOT is_variant_null(_raw['{c}'])"), F.lit(c)) for c in contract.names)))
-    extra = F.map_filter("_raw", lambda k, _: ~F.array_contains(names, k) | F.array_contains(F.col("_misfit"), k))
-    told = F.when(F.col("_raw").isNull(), F.to_json(F.struct(F.col("value").alias("_malformed")))).when(F.size("_extra") > 0, F.to_json("_extra"))
-    out = parsed.withColumn("_misfit", misfit).withColumn("_extra", extra).withColumn("_rescued_data", told)
+    # What came out, by name: a present, non-null field that is not there has no column or did not fit. One
+    # lookup for any number of columns, as the optimizer's work on a test for each grows with a power of it.
+    fitted = F.from_json(F.to_json("_row"), "map<string,string>")
+    extra = F.map_filter("_raw", lambda k, v: ~F.map_contains_key(F.col("_fitted"), k) & ~(F.is_variant_null(v) & F.array_contains(names, k)))
+    malformed = F.to_json(F.struct(F.coalesce(F.col("value"), F.lit("")).alias("_malformed")))
+    told = F.when(F.col("_raw").isNull(), malformed).when(F.size("_extra") > 0, F.to_json("_extra"))
+    out = parsed.withColumn("_fitted", F.coalesce(fitted, F.create_map().cast("map<string,string>"))).withColumn("_extra", extra).withColumn("_rescued_data", told)
     rest = [c for c in lines.columns if c != "value"]
     return out.select(*(F.col(f"_row.{c}").alias(c) for c in contract.names), *rest, "_rescued_data")
 
@@ -56,10 +64,13 @@ def forbid_new_columns(spark: SparkSession, paths: list[str], contract: Contract
 
 
 def split(df: DataFrame, contract: Contract, arrived: str | None = "_source_file_modified_ts") -> tuple[DataFrame, DataFrame]:
-    """(rows that keep the contract, the others with _quarantine_reason); every row is in one of them."""
-    arrived = arrived if arrived in df.columns else None
-    flagged = df.withColumn("_valid", contract.valid(arrived, set(df.columns)))
-    bad = flagged.where(~F.col("_valid")).drop("_valid").withColumn("_quarantine_reason", contract.reason())
+    """(rows that keep the contract, the others with _quarantine_reason); every row is in one of them.
+
+    Without a column that must be present all rows are refused for it.
+    """
+    arrived, present = arrived if arrived in df.columns else None, set(df.columns)
+    flagged = df.withColumn("_valid", contract.valid(arrived, present))
+    bad = flagged.where(~F.col("_valid")).drop("_valid").withColumn("_quarantine_reason", contract.reason(present))
     return flagged.where("_valid").drop("_valid"), bad
 
 
@@ -68,19 +79,52 @@ def cast_to(df: DataFrame, contract: Contract) -> DataFrame:
     return df.select(*(F.expr(f"try_cast(`{f.name}` AS {f.dataType.simpleString()})").alias(f.name) for f in contract.schema() if f.name in df.columns), *(c for c in df.columns if c not in contract.names))
 
 
+def ledger_id(spark: SparkSession, checkpoint: str) -> str:
+    """The name that a stream's checkpoint has had since it was made: a new ledger has another."""
+    return json.loads(files.read(spark, f"{checkpoint}/metadata").splitlines()[0])["id"][:13]
+
+
+def _of_policy(rows: DataFrame, contract: Contract) -> DataFrame:
+    """Text rows with the contract's columns, and with what the policy makes of the others."""
+    extra = [c for c in rows.columns if c not in contract.names]
+    if extra and contract.policy is Policy.FAIL:
+        raise NewColumns(f"{contract.name}: {', '.join(extra)}")
+    out = [F.col(f"`{c}`") if c in rows.columns else F.lit(None).cast("string").alias(c) for c in contract.names]
+    if contract.policy is Policy.ADD:
+        out += [F.col(f"`{c}`") for c in extra]
+    if contract.policy is Policy.RESCUE:
+        told = F.to_json(F.struct(*(F.col(f"`{c}`") for c in extra))) if extra else F.lit("{}")
+        out.append(F.when(told != "{}", told).alias("_rescued_data"))
+    return rows.select(*out, F.col("_metadata.file_path").alias("_source_file"))
+
+
 def copy_csv(spark: SparkSession, source: str, table_path: str, contract: Contract, ledger: str) -> int:
     """Load CSV files that the ledger does not know into a Parquet table, once per file name; rows loaded.
 
     An available-now stream does it: its checkpoint is the ledger of files, and a
-    rerun, or a run that was cut off, loads no file twice. Every column is read
-    as text and cast, so that a bad value is refused and fails no load.
+    rerun, or a run that was cut off, loads no file twice. Columns are found by
+    each file's header, read as text and cast, so that a bad value is refused and
+    fails no load. Columns that the contract lacks are its policy's: they widen the
+    table as text (read it with mergeSchema), refuse the load before anything is
+    written, go into _rescued_data, or are left out. One header line is read for
+    each new file; files of one header are read together.
     """
-    from pyspark.sql.types import StringType, StructField, StructType
-
-    text = StructType([StructField(c, StringType()) for c in contract.names])
-    rows = spark.readStream.schema(text).option("header", True).csv(source)
-    told = rows.select("*", F.current_timestamp().alias("_ingest_ts"), F.col("_metadata.file_path").alias("_source_file"), F.lit(contract.version).alias("_contract_version"))
-    rows = cast_to(told, contract)
-    query = rows.writeStream.format("parquet").option("path", table_path).option("checkpointLocation", ledger).trigger(availableNow=True).start()
+    loaded = []
+
+    def write(batch: DataFrame, number: int) -> None:
+        reader = lambda: batch.sparkSession.read.option("header", True)
+        headers: dict[tuple[str, ...], list[str]] = {}
+        for row in batch.select("_source_file").distinct().toLocalIterator():
+            headers.setdefault(tuple(reader().csv(row[0]).columns), []).append(row[0])
+        rows = [_of_policy(reader().schema(StructType([StructField(c, StringType()) for c in h])).csv(names), contract) for h, names in sorted(headers.items())]
+        if rows:
+            every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows)
+            told = every.select("*", F.current_timestamp().alias("_ingest_ts"), F.lit(contract.version).alias("_contract_version"))
+            path = f"{table_path}/batch={ledger_id(spark, ledger)}-{number}"
+            cast_to(told, contract).write.mode("overwrite").parquet(path)
+            loaded.append(batch.sparkSession.read.parquet(path).count())
+
+    lines = spark.readStream.text(source).select(F.col("_metadata.file_path").alias("_source_file"))
+    query = lines.writeStream.foreachBatch(write).option("checkpointLocation", ledger).trigger(availableNow=True).start()
     query.awaitTermination()
-    return sum(p.numInputRows for p in query.recentProgress)
+    return sum(loaded)

@@ -1,0 +1,431 @@
+"""A made-up season of landing files with planted defects, every value a hash of its key.
+
+Each dataset is one SELECT over a range of numbers. A draw is the uniform number
+in a digest of seed, purpose and key, so rows are the same in any order, on any
+number of tasks, and in any engine: `select(name, ...)` gives the text for Spark
+or for DuckDB, and what was planted can be counted by either.
+"""
+
+from __future__ import annotations
+
+import argparse
+import json
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import asdict, dataclass, field
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from millrace.sources import files
+
+
+@dataclass(frozen=True)
+class Defects:
+    """Shares of rows that are wrong on purpose. As checks expect them."""
+
+    cdc_duplicate: float = 0.003
+    cdc_backdated: float = 0.02
+    cdc_file_swapped: float = 0.06
+    scan_without_ticket: float = 0.004
+    scan_malformed: float = 0.002
+    scan_late: float = 0.03
+    scan_late_hours: int = 48
+    pos_malformed: float = 0.001
+    pos_batch_lost: float = 0.012
+    pos_batch_twice: float = 0.008
+    account_without_contact: float = 0.018
+    account_minor: float = 0.021
+    guest_personal: float = 0.07
+    window_overlap: float = 0.04
+
+
+# Fixed values: (games, seats, accounts, deposits, guest tickets) of each scale.
+SCALES = {"tiny": (3, 300, 400, 200, 120), "small": (6, 3_000, 4_000, 3_200, 400), "medium": (27, 12_000, 18_000, 14_000, 4_200), "full": (81, 33_000, 44_000, 38_000, 31_000)}
+
+# The season's first day, the day seats of sections 118 to 124 become 218 to 224, and the time of versions' beginning.
+OPENING, MOVED_ON, SEASON_START = "2027-04-05", "2027-05-14", "2027-01-01"
+
+#: (name, share, face value, spend against the mean, first and last section)
+SEAT_CLASSES = (("PLAZA", 0.10, 145.0, 2.4, 101, 129), ("TERRACE", 0.16, 92.0, 1.6, 101, 129), ("CORNER", 0.22, 54.0, 1.1, 130, 159), ("BLEACHER", 0.24, 31.0, 0.9, 130, 159), ("GALLERY", 0.24, 22.0, 0.7, 201, 259), ("LOFT", 0.04, 310.0, 3.8, 301, 339))
+#: (name, share, share that stays away, spend, mean days between purchase and game)
+COHORTS = (("HOLDER", 0.26, 0.17, 22.0, 110.0), ("NEIGHBOUR", 0.29, 0.09, 26.0, 21.0), ("VISITOR", 0.27, 0.06, 41.0, 6.0), ("GROUP", 0.18, 0.12, 18.0, 34.0))
+#: (name, share, whether scanned by hand)
+GATES = (("NORTH", 0.30, False), ("SOUTH", 0.26, False), ("RIVER", 0.18, False), ("MEADOW", 0.14, True), ("ANNEX", 0.12, True))
+#: (sku, name, category, price, share)
+ITEMS = (("F10", "Flatbread", "FOOD", 12.5, 0.28), ("F20", "Noodles", "FOOD", 14.0, 0.16), ("D10", "Lemonade", "DRINK", 6.5, 0.30), ("D20", "Cider", "DRINK", 13.0, 0.17), ("M10", "Scarf", "GOODS", 38.0, 0.09))
+OPPONENTS = (("Harriers", 0.92), ("Lanterns", 1.05), ("Foxes", 0.88), ("Mariners of Elm", 1.14), ("Ironworks", 0.97))
+PROMOTIONS = (("NONE", 0.62, 1.0), ("FIREWORKS", 0.14, 1.13), ("GIVEAWAY", 0.16, 1.09), ("FAMILY_DAY", 0.08, 1.05))
+COMPLAINTS = (("QUEUE", "We stood in line for forty minutes and missed the start."), ("SEAT", "My seat had been renumbered and somebody sat in it."), ("FOOD", "The noodles were cold and the card reader did not work."), ("STAFF", "The usher would not help my father up the stairs."), ("PARKING", "Parking cost twice of what the page had said."))
+CLAUSES = ("The Sponsor shall receive {n} banner placements at each game.", "The Club shall provide {n} suite tickets per season.", "The Sponsor may hold {n} tasting events on the concourse.", "The Club shall read {n} announcements per game.", "The Sponsor shall supply {n} prizes each month.")
+SPONSORS = ("Alder Bank", "Copper Kettle Foods", "Nimbus Air", "Orchard Mutual", "Quarry Tools")
+
+#: Games after which this share of the season has passed report the device's system.
+DRIFT_AT = 0.45
+
+
+class Dialect:
+    """The few words in which Spark and DuckDB differ."""
+
+    def __init__(self, duck: bool, seed: int = 42, stored: Mapping[str, str] | None = None):
+        self.duck, self.seed, self.stored = duck, seed, stored or {}
+
+    def made(self, season: Season, name: str) -> str:
+        """Another dataset, to select from: where it is stored, or its own SELECT."""
+        return self.stored.get(name) or f"({DATASETS[name](season, self)})"
+
+    def u(self, purpose: str, key: str) -> str:
+        """A uniform number in [0, 1) for a key."""
+        digest = f"substr(md5('{self.seed}:{purpose}:' || {key}), 1, 13)"
+        return f"(('0x' || {digest})::BIGINT::DOUBLE / 4503599627370496.0::DOUBLE)" if self.duck else f"(cast(conv({digest}, 16, 10) AS double) / 4503599627370496.0D)"
+
+    def rows(self, n: int | str) -> str:
+        """A table of one column, id, from 0 to n - 1."""
+        return f"(SELECT range AS id FROM range({n}))" if self.duck else f"range({n})"
+
+    def real(self, x: float) -> str:
+        return f"{float(x)!r}::DOUBLE" if self.duck else f"{float(x)!r}D"
+
+    def at(self, seconds: str) -> str:
+        """The time so many seconds after 1970."""
+        return f"make_timestamp(cast({seconds} AS BIGINT) * 1000000)" if self.duck else f"cast(timestamp_seconds({seconds}) AS timestamp)"
+
+    def seconds(self, time: str) -> str:
+        return f"cast(epoch({time}) AS BIGINT)" if self.duck else f"unix_timestamp({time})"
+
+    def each(self, n: str) -> str:
+        """In a select list: 0 to n - 1, a row each."""
+        return f"unnest(range({n}))" if self.duck else f"explode(sequence(cast(0 AS bigint), {n} - 1))"
+
+    def weekday(self, date: str) -> str:
+        """0 for Monday to 6."""
+        return f"(isodow({date}) - 1)" if self.duck else f"weekday({date})"
+
+    def pick(self, draw: str, choices: Sequence[tuple], column: int = 0, share: int | None = 1) -> str:
+        """One of the choices by their shares (share: their column; None: all alike)."""
+        weights = [c[share] if share is not None else 1.0 for c in choices]
+        total, upto, out = sum(weights), 0.0, "CASE"
+        for c, w in zip(choices[:-1], weights, strict=False):
+            upto += w
+            out += f" WHEN {draw} < {self.real(upto / total)} THEN {self.literal(c[column])}"
+        return f"{out} ELSE {self.literal(choices[-1][column])} END"
+
+    def of(self, column: str, choices: Sequence[tuple], place: int) -> str:
+        """What stands at a place beside the name that a column has."""
+        return "CASE " + column + "".join(f" WHEN '{c[0]}' THEN {self.literal(c[place])}" for c in choices) + " END"
+
+    def literal(self, x) -> str:
+        return ("true" if x else "false") if isinstance(x, bool) else "'" + x.replace("'", "''") + "'" if isinstance(x, str) else self.real(x) if isinstance(x, float) else str(x)
+
+    def whole(self, x: str) -> str:
+        return f"cast(floor({x}) AS BIGINT)"
+
+    def normal(self, purpose: str, key: str) -> str:
+        """About normal, mean 0 and deviation 1: four uniform numbers summed."""
+        return "((" + " + ".join(self.u(f"{purpose}{i}", key) for i in range(4)) + f" - {self.real(2)}) * {self.real(3**0.5)})"
+
+
+@dataclass(frozen=True)
+class Season:
+    """What is made: a scale, a seed and the defects."""
+
+    scale: str = "small"
+    seed: int = 42
+    defects: Defects = field(default_factory=Defects)
+
+    def select(self, name: str, duck: bool = False, stored: Mapping[str, str] | None = None) -> str:
+        """The SELECT of a dataset; stored: relations that hold others of them already."""
+        return DATASETS[name](self, Dialect(duck, self.seed, stored))
+
+    def read(self, spark: SparkSession, name: str) -> DataFrame:
+        return spark.sql(self.select(name))
+
+
+DATASETS: dict[str, Callable[[Season, Dialect], str]] = {}
+
+
+def _dataset(f):
+    DATASETS[f.__name__] = f
+    return f
+
+
+@_dataset
+def schedule(s: Season, d: Dialect) -> str:
+    n = SCALES[s.scale][0]
+    key = "id"
+    return f"""
+    SELECT 'G2027' || lpad('' || (id + 1), 3, '0') AS game_id, cast(day AS date) AS game_date, {d.at(f"{d.seconds('day')} + CASE WHEN night THEN 69000 ELSE 47400 END")} AS first_pitch_ts,
+      opponent, {d.of('opponent', OPPONENTS, 1)} AS opponent_draw_factor, dow >= 4 AS is_weekend, night AS is_night_game, promotion, {d.of('promotion', (*PROMOTIONS, ('OPENING_DAY', 0, 1.25)), 2)} AS promotion_lift,
+      round(temperature, 1) AS outside_temp_f, temperature > {d.real(95)} OR {d.u('wind', key)} < {d.real(0.12)} AS roof_closed, cast(id + 1 AS INTEGER) AS home_game_number,
+      round({d.real(0.62)} * exp({d.real(-3.1)} * id / {d.real(max(n - 1, 1))}) + {d.real(0.55)}, 4) AS novelty_index, CASE WHEN {d.u('result', key)} < {d.real(0.46)} THEN 'W' ELSE 'L' END AS result
+    FROM (SELECT *, CASE WHEN id = 0 THEN 'OPENING_DAY' ELSE {d.pick(d.u('promotion', key), PROMOTIONS)} END AS promotion, {d.pick(d.u('opponent', key), OPPONENTS, 0, None)} AS opponent,
+        {d.u('night', key)} < CASE WHEN dow >= 4 THEN {d.real(0.58)} ELSE {d.real(0.86)} END AS night, {d.real(70)} + {d.real(20)} * id / {d.real(max(n, 1))} + {d.real(6)} * {d.normal('heat', key)} AS temperature
+      FROM (SELECT *, {d.weekday('day')} AS dow FROM (SELECT id, {d.at(f"{d.seconds(f'cast({chr(39)}{OPENING}{chr(39)} AS timestamp)')} + 86400 * passed")} AS day
+        FROM (SELECT id, cast(sum(CASE WHEN id = 0 THEN 0 WHEN id % 3 <> 0 THEN 1 ELSE 3 + {d.whole(f"{d.real(5)} * {d.u('gap', key)}")} END) OVER (ORDER BY id) AS BIGINT) AS passed FROM {d.rows(n)} AS numbers) AS gaps) AS days) AS weeks) AS games
+    """
+
+
+@_dataset
+def seats(s: Season, d: Dialect) -> str:
+    span = lambda place: d.of("seat_class", SEAT_CLASSES, place)
+    return f"""
+    SELECT seat_id, section, row_label, seat_number, seat_class, face_price_usd, per_cap_multiplier, is_ada, CASE WHEN section BETWEEN 118 AND 124 THEN section + 100 END AS renumbered_to_section,
+      CASE WHEN section BETWEEN 118 AND 124 THEN cast('{MOVED_ON}' AS date) END AS renumber_effective_date
+    FROM (SELECT 'S' || lpad('' || (id + 1), 6, '0') AS seat_id, cast({span(4)} + floor({d.u('section', 'id')} * ({span(5)} - {span(4)} + 1)) AS INTEGER) AS section,
+        substr('ABCDEFGHJKLMNPQRSTUV', cast(1 + floor({d.u('row', 'id')} * 20) AS INTEGER), 1) AS row_label, cast(1 + floor({d.u('number', 'id')} * 29) AS INTEGER) AS seat_number, seat_class,
+        {span(2)} AS face_price_usd, {span(3)} AS per_cap_multiplier, {d.u('ada', 'id')} < {d.real(0.021)} AS is_ada
+      FROM (SELECT id, {d.pick(d.u('class', 'id'), SEAT_CLASSES)} AS seat_class FROM {d.rows(SCALES[s.scale][1])} AS numbers) AS classes) AS placed
+    """
+
+
+@_dataset
+def accounts(s: Season, d: Dialect) -> str:
+    names, families = "Ada Bo Cleo Dev Esme Finn Gus Hana".split(), "Ash Birch Cole Dale East Ford Glen Hart".split()
+    first, last = d.pick(d.u("first", "id"), [(n, 1.0) for n in names]), d.pick(d.u("last", "id"), [(n, 1.0) for n in families])
+    absent = f"{d.u('contact', 'id')} < {d.real(s.defects.account_without_contact)}"
+    whole = lambda p, low, high: f"({low} + {d.whole(f'{d.u(p, chr(105) + chr(100))} * {high - low}')})"
+    return f"""
+    SELECT account_id, first_name, last_name, CASE WHEN lost THEN NULL ELSE lower(first_name) || '.' || lower(last_name) || id || '@example.com' END AS email,
+      CASE WHEN lost THEN NULL ELSE '(555) ' || {whole('exchange', 200, 990)} || '-' || {whole('line', 1000, 9999)} END AS phone, CASE WHEN lost THEN NULL ELSE {whole('house', 100, 9900)} || ' Mill Rd' END AS street_address,
+      '' || {whole('zip', 10000, 99999)} AS postal_code, CASE WHEN cohort = 'VISITOR' THEN {d.pick(d.u('state', 'id'), (('CA', 0.5), ('AZ', 0.3), ('UT', 0.2)))} ELSE 'NV' END AS origin_state,
+      cast({d.at(f"{d.seconds(f'cast({chr(39)}2027-01-01{chr(39)} AS timestamp)')} - 86400 * (CASE WHEN minor THEN {whole('young', 8, 17)} ELSE {whole('grown', 19, 78)} END * 365 + {whole('born', 0, 364)})")} AS date) AS birth_date,
+      cohort, '' || {whole('card', 1000, 9999)} AS payment_token_last4, {d.pick(d.u('channel', 'id'), (('WEB', 0.4), ('DEPOSIT', 0.3), ('PARTNER', 0.2), ('DOOR', 0.1)))} AS acquisition_channel,
+      {d.at(f"{d.seconds(f'cast({chr(39)}{OPENING}{chr(39)} AS timestamp)')} - 86400 * {whole('since', 1, 900)}")} AS created_ts, {d.u('active', 'id')} >= {d.real(0.04)} AS is_active, minor AS planted_minor, lost AS planted_without_contact
+    FROM (SELECT id, 'ACC-' || lpad('' || (id + 1), 7, '0') AS account_id, {first} AS first_name, {last} AS last_name, {d.pick(d.u('cohort', 'id'), COHORTS)} AS cohort,
+        {d.u('minor', 'id')} < {d.real(s.defects.account_minor)} AS minor, {absent} AS lost FROM {d.rows(SCALES[s.scale][2])} AS numbers) AS people
+    """
+
+
+@_dataset
+def deposits(s: Season, d: Dialect) -> str:
+    opening = d.seconds(f"cast('{OPENING}' AS timestamp)")
+    return f"""
+    SELECT deposit_id, account_id, deposit_amount_usd, placed_ts, converted AS converted_to_plan, CASE WHEN converted THEN plan END AS plan_type, NOT converted AND {d.u('forfeit', 'id')} < {d.real(0.42)} AS deposit_forfeited
+    FROM (SELECT *, {d.u('convert', 'id')} < greatest({d.real(0.15)}, least({d.real(0.95)}, {d.real(0.38)} + {d.real(0.55)} * days / {d.real(900)})) AS converted
+      FROM (SELECT id, 'DEP-' || lpad('' || (id + 1), 7, '0') AS deposit_id, 'ACC-' || lpad('' || (id + 1), 7, '0') AS account_id, {d.pick(d.u('amount', 'id'), ((100.0, 0.44), (250.0, 0.31), (500.0, 0.17), (1000.0, 0.08)))} AS deposit_amount_usd,
+        120 + {d.whole(f"{d.u('placed', 'id')} * 780")} AS days, {d.at(f"{opening} - 86400 * (120 + {d.whole(f'{d.u(chr(112) + chr(108) + chr(97) + chr(99) + chr(101) + chr(100), chr(105) + chr(100))} * 780')})")} AS placed_ts,
+        {d.pick(d.u('plan', 'id'), (('FULL', 0.21), ('HALF', 0.27), ('QUARTER', 0.31), ('FLEX', 0.21)))} AS plan FROM {d.rows(min(SCALES[s.scale][2], SCALES[s.scale][3]))} AS numbers) AS placed) AS decided
+    """
+
+
+@_dataset
+def pricing(s: Season, d: Dialect) -> str:
+    per = 6  # windows of a game and seat class
+    games, classes = SCALES[s.scale][0], len(SEAT_CLASSES)
+    named = "CASE class" + "".join(f" WHEN {i} THEN '{c[0]}'" for i, c in enumerate(SEAT_CLASSES)) + " END"
+    return f"""
+    SELECT 'PP-' || lpad('' || (id + 1), 8, '0') AS price_point_id, game_id, seat_class, face_price_usd, round(face_price_usd * lift * ({d.real(0.88)} + {d.real(0.26)} * {d.u('walk', 'id')}), 2) AS listed_price_usd,
+      {d.at('pitch - 86400 * opens')} AS valid_from_ts, {d.at('pitch - 86400 * closes + CASE WHEN overlap THEN 43200 + ' + d.whole(d.u('overlap', 'id') + ' * ' + d.real(1)) + ' ELSE 0 END')} AS valid_to_ts,
+      {d.pick(d.u('rule', 'id'), (('DEMAND', 0.6), ('STOCK', 0.25), ('BY_HAND', 0.15)))} AS pricing_rule, overlap AS planted_overlap
+    FROM (SELECT w.*, g.game_id, {d.seconds('g.first_pitch_ts')} AS pitch, g.opponent_draw_factor * g.promotion_lift AS lift, {d.of('seat_class', SEAT_CLASSES, 2)} AS face_price_usd
+      FROM (SELECT id, cast(floor(id / {classes * per}) AS BIGINT) AS game, {named} AS seat_class, 20 * ({per} - step) AS opens, 20 * ({per} - 1 - step) AS closes, {d.u('window', 'id')} < {d.real(s.defects.window_overlap)} AND step < {per} - 1 AS overlap
+        FROM (SELECT id, cast(floor(id / {per}) AS BIGINT) % {classes} AS class, id % {per} AS step FROM {d.rows(games * classes * per)} AS numbers) AS steps) AS w
+      JOIN {d.made(s, 'schedule')} AS g ON g.home_game_number = w.game + 1) AS windows
+    """
+
+
+@_dataset
+def orders(s: Season, d: Dialect) -> str:
+    games, n_seats, n_accounts = SCALES[s.scale][:3]
+    return f"""
+    SELECT order_id, number, game_id, seat_id, account_id, seat_class, channel, face_price_usd, paid_price_usd, {d.at('bought')} AS purchased_ts, CASE WHEN fate < {d.real(0.11)} THEN {d.at('later')} END AS transferred_ts,
+      CASE WHEN fate >= {d.real(0.11)} AND fate < {d.real(0.165)} THEN {d.at('later')} END AS resold_ts, CASE WHEN fate >= {d.real(0.165)} AND fate < {d.real(0.185)} THEN {d.at('later')} END AS refunded_ts, {d.u('comp', 'number')} < {d.real(0.018)} AS is_comp
+    FROM (SELECT *, bought + 43200 + {d.whole(f"{d.u('later', 'number')} * greatest({d.real(86400)}, pitch - bought)")} AS later
+      FROM (SELECT o.*, {d.u('fate', 'number')} AS fate, pitch - {d.whole(f"86400 * greatest({d.real(0.05)}, least({d.real(300)}, -ln(1 - {d.u('lead', 'number')}) * {d.of('a.cohort', COHORTS, 4)}))")} AS bought,
+          {d.pick(d.u('channel', 'number'), (('APP', 0.45), ('WEB', 0.3), ('BOX', 0.1), ('PARTNER', 0.15)))} AS channel, round(p.listed * ({d.real(0.92)} + {d.real(0.14)} * {d.u('paid', 'number')}), 2) AS paid_price_usd
+        FROM (SELECT 'ORD-' || lpad('' || (n.id + 1), 9, '0') AS order_id, n.id AS number, g.game_id, {d.seconds('g.first_pitch_ts')} AS pitch, t.seat_id, t.seat_class, t.face_price_usd,
+            'ACC-' || lpad('' || (1 + {d.whole(f"{d.u('buyer', 'n.id')} * {n_accounts}")}), 7, '0') AS account_id
+          FROM (SELECT id, cast(floor(id / {n_seats}) AS BIGINT) AS game, id % {n_seats} AS seat FROM {d.rows(games * n_seats)} AS numbers) AS n
+          JOIN {d.made(s, 'schedule')} AS g ON g.home_game_number = n.game + 1
+          JOIN {d.made(s, 'seats')} AS t ON t.seat_id = 'S' || lpad('' || (n.seat + 1), 6, '0')
+          WHERE {d.u('sold', 'n.id')} < least({d.real(1)}, greatest({d.real(0.3)}, g.opponent_draw_factor * g.promotion_lift * g.novelty_index * CASE WHEN g.is_weekend THEN {d.real(1.16)} ELSE {d.real(0.9)} END) * {d.real(0.93)})) AS o
+        JOIN (SELECT account_id AS who, cohort FROM {d.made(s, 'accounts')} AS people) AS a ON a.who = o.account_id
+        JOIN (SELECT game_id AS game, seat_class AS class, median(listed_price_usd) AS listed FROM {d.made(s, 'pricing')} AS points GROUP BY game_id, seat_class) AS p ON p.game = o.game_id AND p.class = o.seat_class) AS priced) AS timed
+    """
+
+
+@_dataset
+def changes(s: Season, d: Dialect) -> str:
+    """The orders' events: a sequence that rises with an order's life, and a commit time that sometimes lies."""
+    kinds = (("SALE", "I", "purchased_ts"), ("TRANSFER", "U", "transferred_ts"), ("RESALE", "U", "resold_ts"), ("REFUND", "D", "refunded_ts"))
+    of = lambda place, quote="'": "CASE step" + "".join(f" WHEN {i} THEN {quote}{k[place]}{quote}" for i, k in enumerate(kinds)) + " END"
+    columns = "order_id, game_id, seat_id, account_id, seat_class, channel, face_price_usd, paid_price_usd, purchased_ts, transferred_ts, resold_ts, refunded_ts, is_comp, event_type, __op, __seq"
+    false = f"event_type IN ('REFUND', 'TRANSFER') AND {d.u('backdated', '__seq')} < {d.real(s.defects.cdc_backdated)}"
+    earlier = d.at(f"{d.seconds('purchased_ts')} - 3600 - {d.whole(d.u('hours', '__seq') + ' * 255600')}")
+    twice = f"CASE WHEN {d.u('copy', '__seq')} < {d.real(s.defects.cdc_duplicate)} THEN 2 ELSE 1 END"
+    return f"""
+    SELECT {columns}, __commit_ts, planted_backdated, twin = 1 AS planted_copy
+    FROM (SELECT *, {d.each('times')} AS twin
+      FROM (SELECT {columns}, CASE WHEN {false} THEN {earlier} ELSE happened END AS __commit_ts, {false} AS planted_backdated, {twice} AS times
+        FROM (SELECT *, {of(0)} AS event_type, {of(1)} AS __op, number * 4 + step + 1 AS __seq, {of(2, '')} AS happened
+          FROM (SELECT *, {d.each('4')} AS step FROM {d.made(s, 'orders')} AS o) AS steps) AS events
+        WHERE happened IS NOT NULL) AS timed) AS copied
+    """
+
+
+def _attending(s: Season, d: Dialect) -> str:
+    """Orders whose holders came, with their cohort and game."""
+    return f"""
+    SELECT o.order_id, o.number, o.game_id, o.seat_id, o.seat_class, a.cohort, {d.seconds('g.first_pitch_ts')} AS pitch, g.home_game_number, g.game_date
+    FROM {d.made(s, 'orders')} AS o JOIN (SELECT account_id, cohort FROM {d.made(s, 'accounts')} AS people) AS a ON a.account_id = o.account_id JOIN {d.made(s, 'schedule')} AS g ON g.game_id = o.game_id
+    WHERE o.refunded_ts IS NULL AND {d.u('came', 'o.number')} >= {d.of('a.cohort', COHORTS, 2)}
+    """
+
+
+@_dataset
+def scans(s: Season, d: Dialect) -> str:
+    """Gate scans as they arrive: a burst before the game, gates scanned by hand late in one of five or six."""
+    minutes = f"""greatest({d.real(-95)}, least({d.real(130)}, CASE WHEN {d.u('part', 'number')} < {d.real(0.6)} THEN {d.real(-32)} + {d.real(9)} * {d.normal('burst', 'number')}
+      WHEN {d.u('part', 'number')} < {d.real(0.85)} THEN {d.real(-62)} + {d.real(17)} * {d.normal('early', 'number')} ELSE {d.real(19)} + {d.real(22)} * {d.normal('tail', 'number')} END))"""
+    by_hand = d.of("gate", GATES, 2)
+    r = s.defects
+    false = f"{d.u('ticket', 'number')} < {d.real(r.scan_without_ticket)}"
+    return f"""
+    SELECT 'SCN-' || game_id || '-' || lpad('' || number, 9, '0') AS scan_id, game_id, CASE WHEN {false} THEN 'ORD-9' || lpad('' || {d.whole(d.u('false', 'number') + ' * 99999999')}, 8, '0') ELSE order_id END AS order_id, seat_id, gate,
+      {d.at('scanned')} AS scan_ts, 'DEV-' || lpad('' || {d.whole(d.u('device', 'number') + ' * 40')}, 3, '0') AS device_id, CASE WHEN by_hand THEN 'HANDHELD' ELSE 'TURNSTILE' END AS device_type,
+      CASE WHEN {false} THEN {d.pick(d.u('why', 'number'), (('DUPLICATE', 1.0), ('INVALID', 1.0), ('UNKNOWN', 1.0)))} ELSE 'ACCEPTED' END AS scan_result, {d.pick(d.u('medium', 'number'), (('MOBILE', 0.83), ('PAPER', 0.09), ('CARD', 0.08)))} AS ticket_medium,
+      CASE WHEN home_game_number > {int(SCALES[s.scale][0] * DRIFT_AT)} THEN {d.pick(d.u('system', 'number'), (('system a', 1.0), ('system b', 1.0)))} END AS scan_device_os,
+      {d.at(f"scanned + CASE WHEN late THEN 3600 + {d.whole(d.u('lag', 'number') + f' * {3600 * (r.scan_late_hours - 1)}')} ELSE {d.whole(d.u('lag', 'number') + ' * 180')} END")} AS arrived_ts,
+      {d.u('broken', 'number')} < {d.real(r.scan_malformed)} AS planted_malformed, {false} AS planted_without_ticket, late AS planted_late
+    FROM (SELECT *, {by_hand} AS by_hand, {d.u('late', 'number')} < CASE WHEN {by_hand} THEN {d.real(r.scan_late * 6)} ELSE {d.real(r.scan_late * 0.2)} END AS late, pitch + {d.whole(f'60 * {minutes}')} AS scanned
+      FROM (SELECT *, {d.pick(d.u('gate', 'number'), GATES)} AS gate FROM ({_attending(s, d)}) AS there) AS gates) AS timed
+    """
+
+
+@_dataset
+def lines(s: Season, d: Dialect) -> str:
+    """Sale lines by terminal and game, as batches that may be lost or sent twice; two terminals without tax for three weeks."""
+    r, many = s.defects, f"least(8, {d.whole(f'-ln(1 - {d.u(chr(98) + chr(117) + chr(121), chr(110) + chr(117) + chr(109) + chr(98) + chr(101) + chr(114))}) * spend / {d.real(16)}')})"
+    key = "(number * 8 + line)"
+    batch = "terminal_id || game_id"
+    return f"""
+    SELECT 'TXL-' || game_id || '-' || lpad('' || {key}, 10, '0') AS txn_line_id, 'TXN-' || game_id || '-' || lpad('' || number, 9, '0') AS txn_id, game_id, game_date, terminal_id, {d.pick(d.u('stand', key), (('CONCOURSE', 0.5), ('LAWN', 0.3), ('SHOP', 0.2)))} AS stand_location,
+      sku, item_name, category, unit_price_usd, quantity, round(unit_price_usd * quantity, 2) AS gross_amount_usd, CASE WHEN untaxed THEN {d.real(0)} ELSE {d.real(0.0838)} END AS tax_rate,
+      round(unit_price_usd * quantity * CASE WHEN untaxed THEN {d.real(0)} ELSE {d.real(0.0838)} END, 2) AS tax_amount_usd, {d.pick(d.u('tender', key), (('CARD', 0.52), ('WALLET', 0.34), ('CASH', 0.14)))} AS tender_type, {d.at('sold')} AS txn_ts,
+      {d.u('batch lost', batch)} < {d.real(r.pos_batch_lost)} AS planted_lost, {d.u('batch twice', batch)} < {d.real(r.pos_batch_twice)} AS planted_twice, {d.u('line broken', key)} < {d.real(r.pos_malformed)} AS planted_malformed, untaxed AS planted_untaxed
+    FROM (SELECT *, {d.of('sku', ITEMS, 1)} AS item_name, {d.of('sku', ITEMS, 2)} AS category, {d.of('sku', ITEMS, 3)} AS unit_price_usd, terminal_id IN ('POS-008', 'POS-023') AND sold < {d.seconds(f"cast('{OPENING}' AS timestamp)")} + 21 * 86400 AS untaxed
+      FROM (SELECT *, {d.pick(d.u('item', key), ITEMS, 0, 4)} AS sku, 'POS-' || lpad('' || (1 + {d.whole(d.u('terminal', key) + ' * 40')}), 3, '0') AS terminal_id, cast(1 + floor({d.u('quantity', key)} * {d.u('quantity', key)} * 3) AS INTEGER) AS quantity,
+          pitch + {d.whole(f"60 * greatest({d.real(-70)}, least({d.real(200)}, {d.real(35)} + {d.real(55)} * {d.normal('sold', key)}))")} AS sold
+        FROM (SELECT *, {d.each('many')} AS line FROM (SELECT *, {many} AS many FROM (SELECT *, {d.of('cohort', COHORTS, 3)} * {d.of('seat_class', SEAT_CLASSES, 3)} AS spend FROM ({_attending(s, d)}) AS there) AS spending) AS counted WHERE many > 0) AS each_line) AS items) AS priced
+    """
+
+
+@_dataset
+def guests(s: Season, d: Dialect) -> str:
+    personal = f"{d.u('personal', 'id')} < {d.real(s.defects.guest_personal)}"
+    return f"""
+    SELECT 'GST-' || lpad('' || (id + 1), 7, '0') AS guest_ticket_id, 'ACC-' || lpad('' || (1 + {d.whole(d.u('guest', 'id') + f' * {SCALES[s.scale][2]}')}), 7, '0') AS account_id, 'G2027' || lpad('' || (1 + {d.whole(d.u('game', 'id') + f' * {SCALES[s.scale][0]}')}), 3, '0') AS game_id,
+      issue_category_actual, {d.of('issue_category_actual', COMPLAINTS, 1)} || CASE WHEN {personal} THEN ' Please call (555) ' || (200 + {d.whole(d.u('guest exchange', 'id') + ' * 790')}) || '-' || (1000 + {d.whole(d.u('guest line', 'id') + ' * 8999')}) || ' or write to guest' || id || '@example.com.' ELSE '' END AS issue_text,
+      {d.pick(d.u('way', 'id'), (('EMAIL', 0.4), ('APP', 0.35), ('PHONE', 0.25)))} AS channel, {personal} AS planted_personal
+    FROM (SELECT id, {d.pick(d.u('issue', 'id'), COMPLAINTS, 0, None)} AS issue_category_actual FROM {d.rows(SCALES[s.scale][4])} AS numbers) AS issues
+    """
+
+
+@_dataset
+def sponsorships(s: Season, d: Dialect) -> str:
+    amount = lambda i: f"'' || (2 + {d.whole(d.u(f'amount {i}', 'id') + ' * 24')})"
+    text = " || ' ' || ".join(f"CASE WHEN {d.u(f'clause {i}', 'id')} < {d.real(0.7)} THEN replace({d.literal(c)}, '{{n}}', {amount(i)}) ELSE '' END" for i, c in enumerate(CLAUSES))
+    return f"""
+    SELECT 'SPN-' || lpad('' || (id + 1), 4, '0') AS contract_id, {'CASE id' + ''.join(f" WHEN {i} THEN {d.literal(n)}" for i, n in enumerate(SPONSORS)) + ' END'} AS sponsor_name,
+      {d.pick(d.u('tier', 'id'), (('FOUNDING', 0.2), ('PARTNER', 0.8)))} AS tier, cast({d.pick(d.u('worth', 'id'), ((150000, 0.5), (900000, 0.5)))} AS BIGINT) AS annual_value_usd, 'SPONSORSHIP AGREEMENT. ' || {text} AS contract_text
+    FROM {d.rows(len(SPONSORS))} AS numbers
+    """
+
+
+@_dataset
+def planted(s: Season, d: Dialect) -> str:
+    """How often each defect was planted in what lands: defect, rows."""
+    counts = (
+        ("malformed scans", "scans", "planted_malformed"),
+        ("scans without a ticket", "scans", "planted_without_ticket AND NOT planted_malformed"),
+        ("late scans", "scans", "planted_late AND NOT planted_malformed"),
+        ("repeated changes", "changes", "planted_copy"),
+        ("backdated changes", "changes", "planted_backdated AND NOT planted_copy"),
+        ("renumbered seats", "seats", "renumbered_to_section IS NOT NULL"),
+        ("overlapping price windows", "pricing", "planted_overlap"),
+        ("minor accounts", "accounts", "planted_minor"),
+        ("accounts without contact", "accounts", "planted_without_contact"),
+        ("personal data in guest texts", "guests", "planted_personal"),
+        ("malformed lines", "lines", "planted_malformed AND NOT planted_lost"),
+        ("untaxed lines", "lines", "planted_untaxed AND NOT planted_lost AND NOT planted_malformed"),
+        ("lines sent twice", "lines", "planted_twice AND NOT planted_lost AND NOT planted_malformed"),
+    )
+    by_table: dict[str, list[tuple[str, str]]] = {}
+    for name, table, which in counts:
+        by_table.setdefault(table, []).append((name, which))
+    parts = []
+    for table, wanted in by_table.items():
+        case = "CASE" + "".join(f" WHEN {i} = which THEN ({w})" for i, (_, w) in enumerate(wanted)) + " END"
+        named = "CASE which" + "".join(f" WHEN {i} THEN '{n}'" for i, (n, _) in enumerate(wanted)) + " END"
+        parts.append(f"SELECT {named} AS defect, cast(sum(CASE WHEN {case} THEN 1 ELSE 0 END) AS BIGINT) AS rows FROM (SELECT *, {d.each(str(len(wanted)))} AS which FROM {d.made(s, table)} AS made) AS asked GROUP BY which")
+    return " UNION ALL ".join(parts)
+
+
+def _public(rows: DataFrame) -> DataFrame:
+    """What lands: without the notes of what was planted."""
+    return rows.drop(*(c for c in rows.columns if c.startswith("planted_")))
+
+
+def _json(rows: DataFrame, drop: Sequence[str], broken: str, half: str) -> DataFrame:
+    """rows with a column value: a JSON line, or half a one where `broken`."""
+    names = [c for c in rows.columns if not c.startswith("planted_") and c not in drop]
+    times = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ssXXX"}
+    return rows.withColumn("value", F.when(F.expr(broken), F.expr(half)).otherwise(F.to_json(F.struct(*names), times)))
+
+
+def land(spark: SparkSession, folder: str, season: Season = Season()) -> dict:  # noqa: B008
+    """Write the season's landing files and a manifest of their row counts, which is returned.
+
+    Scans by date and hour of arrival, changes by batch of their commit day (some
+    days' batches change places), lines by day, terminal and game: a lost batch is
+    not there, one sent twice is there twice. Each dataset is computed once.
+    """
+    top, stored = folder.rstrip("/"), {}
+    for name in ("schedule", "seats", "accounts", "pricing", "orders", "changes", "scans", "lines", "guests"):
+        spark.sql(season.select(name, stored=stored)).write.mode("overwrite").parquet(f"{top}/_made/{name}")
+        stored[name] = f"parquet.`{top}/_made/{name}`"
+    read = lambda name: spark.sql(f"SELECT * FROM {stored[name]}" if name in stored else season.select(name, stored=stored))
+    counts = {}
+
+    def put(name: str, rows: DataFrame, kind: str, path: str, by: Sequence[str] = (), **options) -> None:
+        writer = rows.write.mode("overwrite").options(**options)
+        (writer.partitionBy(*by) if by else writer).format(kind).save(f"{top}/{path}")
+        counts[name] = spark.read.options(**options).format(kind).load(f"{top}/{path}").count()
+
+    put("schedule", read("schedule"), "json", "schedule")
+    put("seat_manifest", read("seats"), "csv", "seat_manifest", header=True)
+    put("crm_accounts", _public(read("accounts")).withColumn("snapshot_date", F.lit(OPENING)), "csv", "crm_accounts", header=True)
+    put("deposits", read("deposits"), "csv", "deposits", header=True)
+    put("pricing", _public(read("pricing")), "csv", "pricing", header=True)
+    put("guest_services", _public(read("guests")), "parquet", "guest_services", compression="snappy")
+    put("sponsorship", read("sponsorships"), "json", "sponsorship")
+    swap = F.expr(f"{Dialect(False, season.seed).u('swapped', 'cast(day AS string)')} < {season.defects.cdc_file_swapped}")
+    day = F.datediff(F.to_date("__commit_ts"), F.lit(OPENING)) + 400
+    made = _public(read("changes")).withColumn("day", day.cast("long"))
+    number = F.lpad((F.col("day") + F.when(swap, 1).otherwise(0)).cast("string"), 5, "0")
+    put("ticketing_cdc", made.withColumn("batch", F.concat(number, F.lit("_"), F.col("day"))).drop("day").repartition("batch").sortWithinPartitions("batch", "__commit_ts"), "parquet", "ticketing/cdc", by=["batch"], compression="snappy")
+    scanned = _json(read("scans"), ["arrived_ts"], "planted_malformed", """concat('{"scan_id": "', scan_id, '", "gate": "', gate, '", "scan_ts":')""")
+    put("gate_scans", scanned.select("value", F.to_date("arrived_ts").alias("dt"), F.date_format("arrived_ts", "HH").alias("hh")), "text", "gate_scans", by=["dt", "hh"])
+    sold = _json(read("lines").where("NOT planted_lost"), ["game_date"], "planted_malformed", """concat('{"txn_id": "', txn_id, '", "sku": "', sku, '", "qty":')""")
+    sold = sold.withColumn("sent", F.explode(F.when(F.col("planted_twice"), F.array(F.lit("first"), F.lit("again"))).otherwise(F.array(F.lit("first")))))
+    put("pos", sold.select("value", F.col("game_date").alias("dt"), F.concat("terminal_id", F.lit("-"), "game_id", F.lit("-"), "sent").alias("batch")), "text", "pos", by=["dt", "batch"])
+    told = {"season": 2027, "seed": season.seed, "scale": season.scale, "defects": asdict(season.defects), "row_counts": counts, "planted": {r["defect"]: r["rows"] for r in read("planted").collect()}}
+    files.remove(spark, f"{top}/_made")
+    files.remove(spark, f"{top}/_manifest.json")
+    files.write_new(spark, f"{top}/_manifest.json", json.dumps(told, indent=2, sort_keys=True))
+    return told
+
+
+def main(arguments: Sequence[str] | None = None) -> int:
+    """python -m millrace.sources.season --output-dir DIR [--scale small] [--seed 42]"""
+    parser = argparse.ArgumentParser(prog="millrace.sources.season")
+    parser.add_argument("--output-dir", required=True)
+    parser.add_argument("--scale", choices=sorted(SCALES), default="small")
+    parser.add_argument("--seed", type=int, default=42)
+    given = parser.parse_args(arguments)
+    spark = SparkSession.builder.appName("millrace-season").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    print(json.dumps(land(spark, given.output_dir, Season(given.scale, given.seed))["row_counts"]))
+    return 0
+
+
+if __name__ == "__main__":
+    raise SystemExit(main())

@@ -29,6 +29,8 @@ def ingest(rows: DataFrame, contract: Contract, table: str, quarantine: str, che
 
     Both come from one batch, so they cannot diverge, and a batch that is run
     again after a failure overwrites its own folder: each row is written once.
+    Folders are named by the checkpoint and the batch (column batch), so another
+    ledger that writes to the same table, or a new one, overwrites nothing.
     Files with columns that a failing policy refuses stop the batch before
     anything is committed. The run ends when all files there are were read.
     """
@@ -40,8 +42,9 @@ def ingest(rows: DataFrame, contract: Contract, table: str, quarantine: str, che
                 files = [r[0] for r in batch.select("_source_file").distinct().toLocalIterator()]
                 landing.forbid_new_columns(batch.sparkSession, files, contract)
             good, bad = landing.split(batch, contract)
-            good.write.mode("overwrite").parquet(f"{table}/batch={number}")
-            bad.write.mode("overwrite").parquet(f"{quarantine}/batch={number}")
+            folder = f"batch={landing.ledger_id(batch.sparkSession, checkpoint)}-{number}"
+            good.write.mode("overwrite").parquet(f"{table}/{folder}")
+            bad.write.mode("overwrite").parquet(f"{quarantine}/{folder}")
         finally:
             batch.unpersist()
 

@@ -8,6 +8,7 @@ ROOT = str(Path(__file__).resolve().parent.parent)
 sys.path.insert(0, ROOT)
 os.environ["PYTHONPATH"] = f"{ROOT}:{os.environ.get('PYTHONPATH', '')}"
 os.environ.setdefault("PYSPARK_PYTHON", sys.executable)
+os.environ.setdefault("OMP_NUM_THREADS", "1")  # workers share the cores already
 
 
 @pytest.fixture(scope="session")
@@ -20,6 +21,8 @@ def spark(tmp_path_factory):
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.sql.ui.retainedExecutions", "5")
+        .config("spark.sql.maxPlanStringLength", "20000")
         .config("spark.sql.warehouse.dir", str(tmp / "warehouse"))
         .config("spark.checkpoint.dir", str(tmp / "shared"))
         .getOrCreate()
