@@ -361,3 +361,21 @@ def _labelled(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, Dat
 def op2_minhash_odd_sketch(spark, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents by 2-word shingles: doc_id, n_shingles, component_id, kept."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), words=2)
+
+
+OP2_SQL = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{common.WORD}') AS w FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) < 2 THEN w ELSE list_distinct([w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]) END AS shingles FROM d
+), members AS (
+  SELECT doc_id, len(shingles) AS n, unnest(shingles) AS shingle FROM sets
+), links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM members AS a JOIN members AS b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), reached AS (
+  SELECT doc_id AS root, doc_id AS node FROM sets UNION SELECT root, b FROM reached JOIN links ON node = a
+)
+SELECT doc_id, len(shingles)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept
+FROM sets JOIN (SELECT root, min(node) AS component_id FROM reached GROUP BY root) ON root = doc_id
+"""

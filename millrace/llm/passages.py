@@ -205,3 +205,23 @@ def op7_substring_dedup(spark, sf_dir: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c) for c in zip(*rows, strict=True))], schema.names)
 
     return removable(docs).select("doc_id", "text", "spans").mapInArrow(run, schema)
+
+
+OP7_SQL = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '{common.WORD}') AS w FROM documents
+), windows AS (
+  SELECT r, i, md5(array_to_string(w[i:i + {LENGTH - 1}], ' ')) AS h FROM (SELECT r, w, unnest(range(1, greatest(len(w) - {LENGTH} + 1, 0) + 1)) AS i FROM d)
+), repeats AS (
+  SELECT r, i FROM windows QUALIFY count(*) OVER (PARTITION BY h) > 1
+), runs AS (
+  SELECT r, min(i) AS a, max(i) + {LENGTH} AS b
+  FROM (SELECT r, i, sum(CASE WHEN i - before <= {LENGTH} THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY i) AS run FROM (SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS before FROM repeats)) GROUP BY r, run
+), kept AS (
+  SELECT r, sum(b - a)::BIGINT AS n_removed, max(b) AS tail, flatten(list(w[until_:a - 1] ORDER BY a)) AS head
+  FROM (SELECT runs.*, w, coalesce(lag(b) OVER (PARTITION BY runs.r ORDER BY a), 1) AS until_ FROM runs JOIN d USING (r)) GROUP BY r
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed,
+  sha256(array_to_string(CASE WHEN n_removed IS NULL THEN w ELSE list_concat(head, w[tail:]) END, ' ')) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)
+"""

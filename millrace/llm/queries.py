@@ -18,5 +18,8 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op2_minhash_odd_sketch": neardup.OP2_SQL,
+    "op3_suffix_dedup": substrings.OP3_SQL,
+    "op7_substring_dedup": passages.OP7_SQL,
     "op10_mix_sources": mixing.OP10_SQL,
 }

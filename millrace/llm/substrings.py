@@ -248,3 +248,23 @@ def op3_suffix_dedup(spark, sf_dir: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c) for c in zip(*rows, strict=True))], schema.names)
 
     return removable(docs).select("doc_id", "text", "spans").mapInArrow(run, schema)
+
+
+OP3_SQL = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), windows AS (
+  SELECT r, doc_id, i, md5(substr(h, 2 * i + 1, {2 * LENGTH})) AS s FROM (SELECT r, doc_id, h, unnest(range(greatest(length(h) // 2 - {LENGTH} + 1, 0))) AS i FROM d)
+), later AS (
+  SELECT r, i FROM windows QUALIFY row_number() OVER (PARTITION BY s ORDER BY doc_id NULLS FIRST, r, i) > 1
+), runs AS (
+  SELECT r, min(i) AS a, max(i) + {LENGTH} AS b
+  FROM (SELECT r, i, sum(CASE WHEN i - before <= {LENGTH} THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY i) AS run FROM (SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS before FROM later)) GROUP BY r, run
+), kept AS (
+  SELECT r, count(*) AS n_spans, sum(b - a)::BIGINT AS n_removed, max(b) AS tail, string_agg(substr(h, 2 * until_ + 1, 2 * (a - until_)), '' ORDER BY a) AS head
+  FROM (SELECT runs.*, h, coalesce(lag(b) OVER (PARTITION BY runs.r ORDER BY a), 0) AS until_ FROM runs JOIN d USING (r)) GROUP BY r
+)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(CASE WHEN n_removed IS NULL THEN h ELSE head || substr(h, 2 * tail + 1) END)) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)
+"""
