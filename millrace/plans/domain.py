@@ -127,3 +127,16 @@ FROM {lineitem}
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sale lines."""
     return spark.sql(LINES, lineitem=table(spark, sf_dir, "lineitem"))
+
+
+POS = """
+SELECT CASE WHEN l_partkey % 97 = 0 THEN NULL ELSE l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey END AS txn_line_id, CASE WHEN l_partkey % 89 = 0 THEN NULL ELSE '' || l_orderkey END AS txn_id,
+  CASE WHEN l_partkey % 83 = 0 THEN NULL ELSE '' || (l_orderkey % 81) END AS game_id, 'POS-' || (l_suppkey % 40) AS terminal_id, CASE WHEN l_partkey % 79 = 0 THEN NULL ELSE '' || l_partkey END AS sku,
+  CAST(l_quantity AS INTEGER) AS quantity, l_extendedprice AS gross_amount_usd, CASE WHEN l_partkey % 73 = 0 THEN NULL ELSE l_shipdate END AS txn_ts
+FROM {lineitem}
+"""
+
+
+def pos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sale lines as they are landed, with nulls planted by product."""
+    return spark.sql(POS.format(lineitem="{lineitem}"), lineitem=table(spark, sf_dir, "lineitem"))

@@ -174,8 +174,7 @@ def scans_quarantined(spark, sf_dir):
 
 @_query(f"SELECT count(*) AS landed, count(*) FILTER (coalesce(ok, false)) AS accepted, count(*) FILTER (NOT coalesce(ok, false)) AS refused, 0::BIGINT AS lost FROM ({_REASON_SQL})")
 def scans_reconciled(spark, sf_dir):
-    good, bad = _scans(spark, sf_dir)
-    return checks.reconcile(domain.scans(spark, sf_dir), good, bad)
+    return checks.reconcile_split(domain.scans(spark, sf_dir), contracts.get("gate_scans"), "arrived_ts")
 
 
 _LINE_KEYS = "SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber"
@@ -203,7 +202,7 @@ def line_expectations(spark, sf_dir):
 )
 def sale_baskets(spark, sf_dir):
     lines = domain.lines(spark, sf_dir).groupBy("game_id", "txn_id", "txn_line_id").agg(*(F.min(c).alias(c) for c in ("quantity", "gross_amount_usd", "tax_amount_usd")))
-    return star.baskets(lines).withColumns({"gross_usd": F.round("gross_usd", 2), "tax_usd": F.round("tax_usd", 4)})
+    return star.baskets(lines, repeated=False).withColumns({"gross_usd": F.round("gross_usd", 2), "tax_usd": F.round("tax_usd", 4)})
 
 
 @_query(
