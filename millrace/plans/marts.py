@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,3 +64,13 @@ def record_deploy(spark: SparkSession, table: str, environment: str, revision: s
     row = spark.createDataFrame([(run_id, environment, revision)], "run_id string, environment string, git_sha string")
     row.withColumn("deployed_at", F.current_timestamp()).write.mode("append").saveAsTable(table)
     return spark.table(table).where(F.col("run_id") == run_id).count()
+
+
+def clustered(rows: DataFrame, path: str, keys: Sequence[str], files: int) -> None:
+    """Write rows so that a filter on the keys reads few of the files: ranges of the keys, sorted within each."""
+    rows.repartitionByRange(files, *keys).sortWithinPartitions(*keys).write.mode("overwrite").parquet(path)
+
+
+def bucketed(rows: DataFrame, name: str, keys: Sequence[str], buckets: int) -> None:
+    """Store rows as a table in buckets of the keys: tables bucketed alike join and group on them without a shuffle."""
+    rows.write.mode("overwrite").bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(name)

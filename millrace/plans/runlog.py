@@ -57,3 +57,13 @@ def stage(logger: logging.Logger, name: str, **context) -> Iterator[dict]:
         logger.error("failed", extra={"stage": name, **context, **metrics, "seconds": round(time.monotonic() - began, 3), "cause": repr(error)})
         raise
     logger.info("finished", extra={"stage": name, **context, **metrics, "seconds": round(time.monotonic() - began, 3)})
+
+
+def stages(spark, path: str):
+    """Run logs as a table: stage, runs, failures, median and longest seconds of each, the slowest first."""
+    from pyspark.sql import functions as F
+
+    rows = spark.read.schema("message string, stage string, seconds double, run_id string").json(path).where("message IN ('finished', 'failed') AND stage IS NOT NULL")
+    failures = F.count_if(F.col("message") == "failed")
+    found = rows.groupBy("stage").agg(F.count(F.lit(1)).alias("runs"), failures.alias("failures"), F.median("seconds").alias("median_seconds"), F.max("seconds").alias("longest_seconds"))
+    return found.orderBy(F.col("longest_seconds").desc(), "stage")

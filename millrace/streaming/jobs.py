@@ -71,3 +71,15 @@ def admissions(scans: DataFrame, orders: DataFrame, delay: str = "48 hours") ->
     once = scans.withWatermark("scan_ts", delay).dropDuplicatesWithinWatermark(["scan_id"])
     known = orders.select(F.col("order_id"), F.lit(True).alias("has_order")).distinct()
     return once.join(known, "order_id", "left").withColumn("has_order", F.coalesce("has_order", F.lit(False)))
+
+
+def matched(scans: DataFrame, sales: DataFrame, delay: str = "48 hours", within: str = "2 hours") -> DataFrame:
+    """Scans of one stream beside the sales of another at the same game, up to `within` after the scan.
+
+    Both streams are watermarked, so state older than that is let go. Columns:
+    scan_id, game_id, scan_ts, txn_line_id, txn_ts.
+    """
+    left = scans.select("scan_id", "game_id", "scan_ts").withWatermark("scan_ts", delay)
+    right = sales.select("txn_line_id", F.col("game_id").alias("_game"), "txn_ts").withWatermark("txn_ts", delay)
+    near = (F.col("game_id") == F.col("_game")) & (F.col("txn_ts") >= F.col("scan_ts")) & (F.col("txn_ts") <= F.col("scan_ts") + F.expr(f"INTERVAL {within}"))
+    return left.join(right, near).drop("_game")
