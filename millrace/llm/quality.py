@@ -76,7 +76,7 @@ def encode(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     passage = base[doc] + inside // PASSAGE
     size = np.bincount(passage, minlength=total).astype(np.float32)
     some = np.maximum(size, 1)
-    # A passage's bytes reach from its first word to the next passage's, or to its last word's end.
+    # A passage's bytes reach from its first word's beginning to its last word's end.
     opens = np.flatnonzero(np.concatenate(([True], passage[1:] != passage[:-1])))
     left = begin[opens]
     right = end[np.concatenate((opens[1:], [len(begin)])) - 1]

@@ -133,3 +133,43 @@ def test_parities_rule_out_no_link():
                 assert odd * 180 <= 2 * size * 20
             elif size == 400:
                 assert odd * 180 > 2 * size * 20 or shared * 100 > (2 * size - shared) * 78
+
+
+def test_the_query(spark, tmp_path):
+    rng = random.Random(6)
+    long = " ".join(f"w{rng.randrange(10**6)}" for _ in range(300_000))
+    rows = [(1, long), (2, long + " one more"), (3, "e" * 1_000_000), (4, "ab cd " * 100_000), (5, "cd ab cd ab"), (6, None)]
+    docs = [(i, t, "x", 0) for i, t in rows]
+    spark.createDataFrame(docs, "doc_id long, text string, component_id string, _class int").repartition(2).write.parquet(str(tmp_path / "documents.parquet"))
+    out = neardup.op2_minhash_odd_sketch(spark, str(tmp_path))
+    assert out.dtypes == [("doc_id", "bigint"), ("n_shingles", "bigint"), ("component_id", "bigint"), ("kept", "boolean")]
+    assert sorted(map(tuple, out.collect())) == brute(rows, 2)
+
+
+def test_a_large_group_makes_pairs_in_proportion(spark, monkeypatch):
+    """Near copies of one text, twice as many: the pairs that are confirmed grow in proportion, and all are linked as by brute force."""
+    rng = random.Random(13)
+    base = [f"b{rng.randrange(10**6)}" for _ in range(120)]
+    made = []
+    written = neardup.common.written
+
+    def counted(df, name):
+        out = written(df, name)
+        if name == "pairs":
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(neardup.common, "written", counted)
+    totals = []
+    for n in (400, 800):
+        rows = []
+        for i in range(n):
+            t = list(base)
+            for _ in range(rng.randint(1, 9)):
+                t[rng.randrange(len(t))] = f"x{rng.randrange(10**6)}"
+            rows.append((i, " ".join(t)))
+        made.clear()
+        got = sorted(tuple(r) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), words=2).collect())
+        assert got == brute(rows, 2)
+        totals.append(sum(made))
+    assert totals[1] < 2.6 * totals[0], totals

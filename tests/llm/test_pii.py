@@ -80,3 +80,56 @@ def test_rows(spark):
     clean = pii.redact(docs)
     assert clean.columns == docs.columns
     assert sorted((r["doc_id"], r["text"]) for r in clean.collect() if r["text"] is not None) == [(2, ""), (3, "x [EMAIL] y"), (3, "x [EMAIL] y")]
+
+
+def disguise(rng, kind):
+    """(text, the kind, source span) of a made identifier in a made disguise, amid words."""
+    name, host, tld = (rng.choice(x) for x in (["jane.doe", "max", "info-desk", "a_b"], ["example", "mail.example", "my-host"], ["com", "org", "de"]))
+    digits = [str(rng.randint(0, 9)) for _ in range(10)]
+    spelled = "zero one two three four five six seven eight nine".split()
+    wide = lambda s: "".join(chr(ord(c) + 0xFEE0) if "!" <= c <= "~" else c for c in s)
+    if kind == "email":
+        at, dot = rng.choice(["@", " (at) ", " [at] ", " at ", "(at)", " {AT} "]), rng.choice([" dot ", " [dot] ", " (dot) ", "[DOT]", "."])
+        if at == "@" and dot == "." or at == " at " and dot == ".":
+            at = " (at) "
+        said = f"{name}{at}{host.replace('.', dot)}{dot}{tld}"
+        if rng.random() < 0.2:
+            said = f"{name}@{host}.{tld}".replace("a", "а").replace("e", "е")  # Cyrillic
+        if said.isascii() is False and not set(said) & set("ае"):
+            said = wide(f"{name}@{host}.{tld}")
+    elif kind == "phone":
+        said = rng.choice([f"plus one {' '.join(spelled[int(x)] for x in digits)}", wide("+1" + "".join(digits)), f"+1 ({''.join(digits[:3])})‑{''.join(digits[3:6])}‑{''.join(digits[6:])}"])
+    else:
+        parts = [str(rng.randint(1, 255)) for _ in range(4)]
+        said = rng.choice([wide(".".join(parts)), " dot ".join(" ".join(spelled[int(c)] for c in p) for p in parts), "․".join(parts)])
+    before, after = rng.choice(["Reach me: ", "write to ", "— "]), rng.choice([" now", ", thanks", ""])
+    return before + said + after, (kind, len(before), len(before) + len(said))
+
+
+def test_recall_on_made_disguises():
+    import random
+
+    rng = random.Random(21)
+    caught = {}
+    for kind in ("email", "phone", "ip"):
+        hits = 0
+        for _ in range(400):
+            text, (want, a, b) = disguise(rng, kind)
+            hits += any(k == want and x <= a + 1 and y >= b - 1 for k, x, y in pii.spans(text)[1])
+        caught[kind] = hits / 400
+    assert min(caught.values()) >= 0.9, caught
+
+
+def test_the_query(spark, tmp_path):
+    import hashlib
+
+    rows = [(1, "mail a.b@c.de, 10.0.0.1 or +1 (632) 555-4827; 4111 1111 1111 1111", "x"), (2, None, "x"), (None, "jane (at) example dot com", "x"), (3, "é" * 2_000_000 + " x@y.zz", "x")]
+    spark.createDataFrame(rows, "doc_id long, text string, spans string").write.parquet(str(tmp_path / "documents.parquet"))
+    out = pii.op8_pii(spark, str(tmp_path))
+    assert out.dtypes == [("doc_id", "bigint"), ("n_email", "bigint"), ("n_ip", "bigint"), ("n_card", "bigint"), ("n_phone", "bigint"), ("base_sha256", "string"), ("spans", "string")]
+    got = {r["doc_id"]: r for r in out.collect()}
+    for i, text, _ in rows:
+        base = [s for kind in ("email", "ip", "card", "phone") for s in sorted(brute(text or "")) if s[0] == kind]
+        assert [got[i][f"n_{k}"] for k in ("email", "ip", "card", "phone")] == [sum(s[0] == k for s in base) for k in ("email", "ip", "card", "phone")]
+        assert got[i]["base_sha256"] == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in base).encode()).hexdigest()
+    assert got[None]["spans"] == "email:0:25"
