@@ -58,8 +58,11 @@ def hourly_revenue(events: DataFrame, delay: str = "48 hours") -> DataFrame:
 
     Repeated changes within the delay count once. Rows later than the delay are
     dropped by the watermark, and hours still open are not given out: the batch
-    query over all events is what this converges to.
+    query over all events is what this converges to. Only changes can be summed
+    this way: a table of states, whose rows are replaced, is refused.
     """
+    if "__seq" not in events.columns or "is_refunded" in events.columns:
+        raise ValueError("changes with their sequence are needed, not orders in their current state")
     timed = events.withColumn("__commit_ts", F.col("__commit_ts").cast("timestamp")).withWatermark("__commit_ts", delay)
     once = timed.dropDuplicatesWithinWatermark(["order_id", "__seq"])
     hourly = once.groupBy("game_id", "seat_class", F.window("__commit_ts", "1 hour").alias("commit_window"))

@@ -225,6 +225,11 @@ def test_streams_of_scans_and_sales(spark, tmp_path):
     assert set(rows_of(run(jobs.matched(stream("scans"), stream("sales")), "met").select("scan_id", "txn_line_id"))) == {("s1", "l1")}
 
 
+def test_states_are_no_stream_of_changes(spark):
+    with pytest.raises(ValueError, match="changes"):
+        jobs.hourly_revenue(spark.createDataFrame([], "order_id string, __seq long, is_refunded boolean, __commit_ts timestamp"))
+
+
 def test_run_logs_as_a_table(spark, tmp_path):
     path = tmp_path / "run.log"
     with path.open("w") as out:
