@@ -140,6 +140,8 @@ class Season:
         return spark.sql(self.select(name))
 
 
+# The forms of ids, and the shares, spans and curves that stand in the SELECTs below, are those of the
+# deliveries that are made up here.
 DATASETS: dict[str, Callable[[Season, Dialect], str]] = {}
 
 
