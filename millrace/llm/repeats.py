@@ -18,6 +18,11 @@ units, from the first window's beginning to the last one's end, are its context.
    which of their windows are equal.
 4. Spans are gathered by document.
 
+A bucket with more than HOT different contexts, as one passage before very many
+different texts has, is split further: each of its windows is a bucket of its own
+content, folded over a flush, so no group of step 3 has more than HOT contexts or
+one row for each flush.
+
 Everything is exact but for 64-bit hashes of contexts within a bucket. A gram or
 line that stands in a third of all documents costs one row per flush and
 different context. Texts are shuffled twice, runs once.
@@ -36,11 +41,14 @@ from millrace.llm import common
 
 #: Text that one flush of the map covers: runs with equal contexts in it are folded.
 FLUSH = 16 << 20
+#: Different contexts of a bucket beyond which its windows are told apart one by one, and how many are held for that.
+HOT = 2048
+HELD = 100_000
 _PLACE = np.uint64((1 << 28) - 1)
 
 _RUN = [("anchor", np.uint32), ("context", np.uint64), ("key", np.int64), ("mark", np.int64), ("start", np.int32), ("count", np.uint16), ("offset", np.uint16), ("many", np.uint8)]
 SPAN = "key long, mark long, start int, stop int"
-_FOUND = f"{SPAN}, bucket long, count int, many int"
+_FOUND = f"{SPAN}, bucket long, count int, many int, apart boolean"
 
 Runs = dict[str, np.ndarray]
 
@@ -201,6 +209,7 @@ def find(docs: DataFrame, units: Callable, context: Callable, resolve: Callable,
         if not keep_first and len(head):
             open_ &= np.minimum.reduceat(r["many"][order], head) == 0
         asked = order[np.repeat(open_, size)]
+        apart = np.repeat(size > HOT, size)[np.repeat(open_, size)]
         ask = {k: v[asked] for k, v in r.items()}
         n, m = len(key), len(asked)
         start_all = np.concatenate((start, ask["start"]))
@@ -213,43 +222,75 @@ def find(docs: DataFrame, units: Callable, context: Callable, resolve: Callable,
                 "bucket": pa.array(np.concatenate((np.full(n, -1), ask["anchor"].astype(np.int64) * parts + part)), pa.int64()),
                 "count": pa.array(np.concatenate((np.zeros(n, np.int32), ask["count"])), pa.int32()),
                 "many": pa.array(np.concatenate((np.zeros(n, np.int32), ask["many"])), pa.int32()),
+                "apart": pa.array(np.concatenate((np.zeros(n, bool), apart))),
             }
-        ) if n + m else pa.schema([("key", pa.int64()), ("mark", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()), ("bucket", pa.int64()), ("count", pa.int32()), ("many", pa.int32())]).empty_table()
+        )
 
     blobs = docs.select("text", "key", "mark").mapInArrow(collect, "part int, kind byte, blob binary")
     found = common.written(blobs.groupBy("part").applyInArrow(compare, _FOUND), "repeats")
     sure = found.where("bucket < 0").select("key", "mark", "start", "stop")
-    asked = found.where("bucket >= 0").groupBy("key", "mark").agg(F.collect_list(F.struct("start", "stop", "bucket", "count", "many")).alias("asked"))
+    asked = found.where("bucket >= 0").groupBy("key", "mark").agg(F.collect_list(F.struct("start", "stop", "bucket", "count", "many", "apart")).alias("asked"))
     blocks = 4 * parts
 
+    def told(columns: dict[str, np.ndarray], contexts: list[bytes]) -> pa.RecordBatch:
+        block = common.mix(columns["bucket"].astype(np.uint64)) % np.uint64(blocks)
+        named = [(c, pa.array(columns[c], kind)) for c, kind in (("key", pa.int64()), ("mark", pa.int64()), ("start", pa.int32()), ("bucket", pa.int64()), ("count", pa.int32()), ("many", pa.int32()))]
+        return pa.RecordBatch.from_arrays([pa.array(block, pa.int32(), safe=False), *(x for _, x in named), pa.array(contexts, pa.binary())], ["block", *(c for c, _ in named), "context"])
+
+    def windows(held: list[tuple[dict[str, np.ndarray], list[bytes]]]):
+        """Windows of split buckets, each in the bucket of its content: one of those that agree, and the spans of the others (bucket -1)."""
+        columns = {c: np.concatenate([h[c] for h, _ in held]) for c in ("key", "mark", "start", "bucket")}
+        contexts = [c for _, listed in held for c in listed]
+        _, data, begin, size = common.flat(pa.array(contexts, pa.binary()))
+        name = common.Rolling(common.byte_values(data)).slices(begin, begin + size)
+        name = (common.mix(name ^ columns["bucket"].astype(np.uint64)) >> np.uint64(1)).astype(np.int64)
+        order = np.lexsort((columns["start"], columns["mark"], columns["key"], name))
+        columns, name = {c: v[order] for c, v in columns.items()}, name[order]
+        head = np.concatenate(([True], name[1:] != name[:-1]))
+        many = np.diff(np.concatenate((np.flatnonzero(head), [len(name)]))) > 1
+        again = ~head if keep_first else many[np.cumsum(head) - 1]
+        start = columns["start"][again].astype(np.int64)
+        key, mark, start, stop = joined(columns["key"][again], columns["mark"][again], start, start + length)
+        ones = np.ones(len(key), np.int64)
+        yield told({"key": key, "mark": mark, "start": start, "bucket": -ones, "count": stop - start, "many": 0 * ones}, [b""] * len(key))
+        first = {c: v[head] for c, v in columns.items()} | {"bucket": name[head], "count": np.ones(len(many), np.int64), "many": many.astype(np.int64)}
+        yield told(first, [contexts[i] for i in order[head].tolist()])
+
     def fetch(batches):
+        held, rows_held = [], 0
         for batch in common.pieces(batches, "text"):
-            columns: dict[str, list] = {c: [] for c in ("key", "mark", "start", "bucket", "count", "many", "context")}
             texts = batch.column("text").cast(pa.binary()).to_pylist()
             lists = batch.column("asked")
             sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
             inner = lists.flatten()
-            fields = {c: inner.field(c).to_numpy(zero_copy_only=False) for c in ("start", "stop", "bucket", "count", "many")}
-            at = 0
-            for text, n in zip(texts, sizes.tolist(), strict=True):
-                columns["context"] += context(text, fields["start"][at : at + n].tolist(), fields["stop"][at : at + n].tolist())
-                at += n
-            for c in ("key", "mark"):
-                columns[c] = np.repeat(batch.column(c).to_numpy(), sizes)
-            bucket = fields["bucket"]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(common.mix(bucket.astype(np.uint64)) % np.uint64(blocks), pa.int32(), safe=False),
-                    pa.array(columns["key"], pa.int64()),
-                    pa.array(columns["mark"], pa.int64()),
-                    pa.array(fields["start"], pa.int32()),
-                    pa.array(bucket, pa.int64()),
-                    pa.array(fields["count"], pa.int32()),
-                    pa.array(fields["many"], pa.int32()),
-                    pa.array(columns["context"], pa.binary()),
-                ],
-                ["block", "key", "mark", "start", "bucket", "count", "many", "context"],
-            )
+            fields = {c: inner.field(c).to_numpy(zero_copy_only=False) for c in ("start", "stop", "bucket", "count", "many", "apart")}
+            row = np.repeat(np.arange(len(texts)), sizes)
+            place = {c: batch.column(c).to_numpy()[row] for c in ("key", "mark")}
+            for apart in (False, True):
+                take = np.flatnonzero(fields["apart"] == apart)
+                if not len(take):
+                    continue
+                start, stop, of = fields["start"][take].astype(np.int64), fields["stop"][take].astype(np.int64), row[take]
+                if apart:  # every window by itself
+                    count = fields["count"][take].astype(np.int64)
+                    start = common.ranges(start, count)
+                    take, of, stop = np.repeat(take, count), np.repeat(of, count), start + length
+                columns = {c: place[c][take] for c in ("key", "mark")} | {"start": start} | {c: fields[c][take] for c in ("bucket", "count", "many")}
+                contexts: list[bytes] = []
+                ends = np.searchsorted(of, np.arange(len(texts) + 1))
+                for text, x, y in zip(texts, ends.tolist(), ends[1:].tolist(), strict=False):
+                    if x < y:
+                        contexts += context(text, start[x:y].tolist(), stop[x:y].tolist())
+                if not apart:
+                    yield told(columns, contexts)
+                    continue
+                held.append((columns, contexts))
+                rows_held += len(contexts)
+                if rows_held >= HELD:
+                    yield from windows(held)
+                    held, rows_held = [], 0
+        if held:
+            yield from windows(held)
 
     def decide(rows: pa.Table) -> pa.Table:
         place = [rows.column(c).to_numpy() for c in ("start", "mark", "key", "bucket")]
@@ -261,8 +302,12 @@ def find(docs: DataFrame, units: Callable, context: Callable, resolve: Callable,
         order = order[new]  # rows that agree bring each place once
         bucket = place[-1]
         number = lambda c: rows.column(c).to_numpy()[order]
+        sure_, order = order[bucket[order] < 0], order[bucket[order] >= 0]
+        known = [rows.column(c).to_numpy()[sure_] for c in ("key", "mark", "start", "count")]
         contexts = rows.column("context").take(pa.array(order)).to_pylist()
-        return _span_rows(joined(*resolve(number("key"), number("mark"), number("start").astype(np.int64), number("count").astype(np.int64), number("many"), contexts, bucket[order])))
+        found = resolve(number("key"), number("mark"), number("start").astype(np.int64), number("count").astype(np.int64), number("many"), contexts, bucket[order])
+        spans = known[0], known[1], known[2].astype(np.int64), known[2].astype(np.int64) + known[3]
+        return _span_rows(joined(*(np.concatenate(x) for x in zip(spans, found, strict=True))))
 
     unique = docs.select("key", "mark", "text").join(asked, ["key", "mark"])
     fetched = unique.mapInArrow(fetch, "block int, key long, mark long, start int, bucket long, count int, many int, context binary")

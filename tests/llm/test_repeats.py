@@ -84,6 +84,19 @@ def test_words_equal_brute_force(spark, tmp_path, seed, monkeypatch):
     assert got == brute_words(rows, passages.LENGTH)
 
 
+@pytest.mark.parametrize("words", [False, True])
+def test_a_passage_before_many_texts(spark, tmp_path, words):
+    """One bucket with more contexts than HOT, and a window that most of them share."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    passage = " ".join(word() for _ in range(36))
+    rows = [(i, f"{word()} {passage} {' '.join(word() for _ in range(12))}") for i in range(2500)]
+    rows += [(5000 + i, rows[i][1] + " z" * i) for i in range(0, 40, 3)] + [(6000, passage), (6001, None)]
+    query, brute, length = (passages.op7_substring_dedup, brute_words, passages.LENGTH) if words else (substrings.op3_suffix_dedup, brute_bytes, substrings.LENGTH)
+    got = {r[0]: tuple(r)[1:] for r in query(spark, table(spark, rows, tmp_path)).collect()}
+    assert got == brute(rows, length)
+
+
 def test_odd_tables(spark, tmp_path):
     long = " ".join(str(i) for i in range(40))
     for query, removed in ((substrings.op3_suffix_dedup, len(long)), (passages.op7_substring_dedup, 40)):
