@@ -37,7 +37,7 @@ RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Bytes of text taken at once by one worker.
 CHUNK = 1 << 20
 #: Entries in each of a worker's two cache generations.
-CACHE = 400_000
+CACHE = 250_000
 #: Pieces longer than this many bytes take the queue.
 LONG = 64
 #: Token positions that one decoding query takes.
