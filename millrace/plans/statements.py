@@ -79,7 +79,7 @@ def values(spark: SparkSession, name: str, rows: Sequence[Sequence]) -> None:
 
 def tables(spark: SparkSession, database: str, like: str = "%", matching: str = ".*") -> DataFrame:
     """name, kind and is_external of a database's tables whose names are LIKE and RLIKE the patterns, in order."""
-    rows = [(t.name, t.tableType, t.tableType == "EXTERNAL") for t in spark.catalog.listTables(database)]
+    rows = [(t.name, t.tableType, t.tableType == "EXTERNAL") for t in spark.catalog.listTables(database) if not t.isTemporary]
     found = spark.createDataFrame(rows, "name string, kind string, is_external boolean")
     return found.where(F.col("name").like(like) & F.col("name").rlike(matching)).orderBy("name")
 

@@ -15,7 +15,7 @@ CONF = Path(__file__).resolve().parent.parent / "conf"
 @pytest.fixture(scope="module")
 def world(spark, tmp_path_factory):
     top = tmp_path_factory.mktemp("season")
-    made = season.Season("tiny", 7, season.Defects(scan_malformed=0.01, scan_without_ticket=0.03, pos_malformed=0.02, pos_batch_twice=0.1, account_minor=0.1, window_overlap=0.3, cdc_duplicate=0.05))
+    made = season.Season("tiny", 7, season.Defects(scan_malformed=0.01, scan_without_ticket=0.03, pos_malformed=0.02, pos_batch_twice=0.1, account_minor=0.1, window_overlap=0.3, cdc_duplicate=0.05, cdc_backdated=0.2))
     told = season.land(spark, str(top / "landing"), made)
     conf = settings.load("dev", CONF, {"landing": str(top / "landing"), "checkpoints": str(top / "checkpoints"), "catalog": "tiny_dev"}, {})
     job = medallion.Medallion(spark, conf, str(top / "warehouse"))
