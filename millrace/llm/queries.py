@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.llm import ann, bpe, fingerprints, lm, mixing, neardup, passages, pii, quality, substrings
+from millrace.llm import alignment, ann, bpe, decontamination, divergence, fingerprints, lm, mixing, neardup, passages, pii, quality, substrings
 
 QUERIES = {
     "op1_ann_collisions": ann.op1_ann_collisions,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_pii": pii.op8_pii,
     "op9_quality": quality.op9_quality,
     "op10_mix_sources": mixing.op10_mix_sources,
+    "op11_source_divergence": divergence.op11_source_divergence,
+    "op12_token_alignment": alignment.op12_token_alignment,
+    "op13_decontamination": decontamination.op13_decontamination,
 }
 
 ORACLE_SQL = {
@@ -22,4 +25,6 @@ ORACLE_SQL = {
     "op3_suffix_dedup": substrings.OP3_SQL,
     "op7_substring_dedup": passages.OP7_SQL,
     "op10_mix_sources": mixing.OP10_SQL,
+    "op11_source_divergence": divergence.OP11_SQL,
+    "op13_decontamination": decontamination.OP13_SQL,
 }
