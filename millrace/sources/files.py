@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -52,3 +56,13 @@ def size(spark: SparkSession, path: str) -> int:
     """Bytes of a file or of all below a folder."""
     fs, where = _at(spark, path)
     return int(fs.getContentSummary(where).getLength()) if fs.exists(where) else 0
+
+
+def shared(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share (spark.checkpoint.dir); a temporary one only in a local session without it."""
+    top = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not top:
+        if not re.match(r"local(\[[^-]|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        top = tempfile.mkdtemp(prefix="millrace-")
+    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
