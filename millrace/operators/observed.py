@@ -6,23 +6,20 @@ count what passes, and the sums are there when the action has ended.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.listener import StreamingQueryListener
 
-from millrace.operators import checks
-
 TOTAL = "rows"
 
 
-def counters(expectations: Mapping[str, str]) -> list[Column]:
+def counters(expectations: Mapping[str, str | Column]) -> list[Column]:
     """All rows, and those for which each predicate is not true."""
     if TOTAL in expectations:
         raise ValueError(f"{TOTAL} is the name of the count of all rows")
-    return [F.count(F.lit(1)).alias(TOTAL), *(F.count_if(~F.coalesce(F.expr(p), F.lit(False))).alias(n) for n, p in expectations.items())]
+    return [F.count(F.lit(1)).alias(TOTAL), *(F.count_if(~F.coalesce(F.expr(p) if isinstance(p, str) else p, F.lit(False))).alias(n) for n, p in expectations.items())]
 
 
 def watched(df: DataFrame, expectations: Mapping[str, str]) -> tuple[DataFrame, Callable[[], dict[str, int]]]:
@@ -31,7 +28,7 @@ def watched(df: DataFrame, expectations: Mapping[str, str]) -> tuple[DataFrame,
     Only the first action over the DataFrame counts; asked before it, the function waits.
     """
     seen = Observation()
-    return df.observe(seen, *counters(expectations)), lambda: {k: int(v or 0) for k, v in seen.get.items()}
+    return df.observe(seen, *counters(expectations)), lambda: {k: int(seen.get.get(k) or 0) for k in (TOTAL, *expectations)}
 
 
 def violations(df: DataFrame, expectations: Mapping[str, str], write: Callable[[DataFrame], None]) -> DataFrame:
@@ -79,12 +76,3 @@ class Alerts(StreamingQueryListener):
 
     def onQueryTerminated(self, event) -> None:
         pass
-
-
-def gate(counts: Mapping[str, int], quality) -> str:
-    """checks.gate over {accepted, refused, null_keys} and an environment's thresholds."""
-    return checks.gate(counts["accepted"], counts["refused"], counts.get("null_keys", 0), quality.warn_percent, quality.fail_percent, quality.least_rows, quality.null_key_percent)
-
-
-def line(counts: Mapping[str, int]) -> str:
-    return json.dumps(dict(counts), sort_keys=True)

@@ -1,28 +1,32 @@
 """Landing files to bronze, silver and gold: the job, its gates and its log.
 
 Bronze takes what is new since the last run, into folders that are added to;
-refused rows go to quarantine. Silver and gold are computed anew from bronze and
-shown as new versions at once (see versioned), so a run that is cut off leaves
-the tables of the run before, and a run that is repeated changes nothing.
+refused rows go to quarantine, and all are counted while they are written. The
+account dimension takes up the deliveries that are new since its last version;
+the rest of silver and gold is computed anew from bronze. Tables are shown as new
+versions at once (see versioned), so a run that is cut off leaves the tables of
+the run before, and a run that is repeated changes nothing.
 """
 
 from __future__ import annotations
 
-import json
+import logging
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.operators import changes, checks, star, versions
+from millrace.operators import changes, checks, observed, star, versions
 from millrace.plans import runlog, statements
 from millrace.plans.versioned import Versioned
-from millrace.sources import contracts, files, landing
-from millrace.sources.season import SEASON_START
+from millrace.sources import contracts, landing
 from millrace.sources.settings import Settings
 from millrace.streaming import jobs
 
+# Fixed value: the day on which seats' first versions begin.
+SEASON_START = "2027-01-01"
+
 
 @dataclass(frozen=True)
 class Step:
@@ -81,11 +85,9 @@ class Medallion:
         table.write(rows, "REFRESH")
         return table.entries()[-1]["rows"]
 
-    def _show(self, layer: str, name: str) -> int:
-        """Show a bronze folder to SQL; its rows."""
-        folder, view = self.folder(layer, name), self.settings.table(layer, name)
-        self.spark.sql(f"CREATE OR REPLACE VIEW {view} AS SELECT * FROM parquet.`{folder}`")
-        return self.spark.table(view).count()
+    def _show(self, layer: str, name: str) -> None:
+        """Show a bronze folder to SQL."""
+        self.spark.sql(f"CREATE OR REPLACE VIEW {self.settings.table(layer, name)} AS SELECT * FROM parquet.`{self.folder(layer, name)}`")
 
     def _gate(self, source: str, accepted: int, refused: int, null_keys: int = 0) -> str:
         q = self.settings.quality
@@ -100,11 +102,18 @@ class Medallion:
             rows = jobs.json_lines(self.spark, path, contract, environment, told.max_files)
         else:
             rows = jobs.parquet_files(self.spark, path, contract, environment)
-        jobs.ingest(rows, contract, self.folder("bronze", good), self.folder("quarantine", bad), self.settings.checkpoint_path(good))
-        out = {good: self._show("bronze", good), bad: self._show("quarantine", bad)}
-        nulls = self.read("bronze", good).where(" OR ".join(f"{k} IS NULL" for k in contract.key)).count()
-        self._gate(source, out[good], out[bad], nulls)
-        return out
+        jobs.ingest(rows, contract, self.folder("bronze", good), self.folder("quarantine", bad), self.settings.checkpoint_path(good), self.alerts(source))
+        self._show("bronze", good)
+        self._show("quarantine", bad)
+        counts = jobs.told(self.spark, self.folder("bronze", good))
+        self._gate(source, counts["accepted"], counts["refused"], counts["null_keys"])
+        return {good: counts["accepted"], bad: counts["refused"]}
+
+    def alerts(self, source: str) -> observed.Alerts:
+        """What logs each batch of a source with more refused rows than the thresholds allow."""
+        q = self.settings.quality
+        level = {"warn": logging.WARNING, "fail": logging.ERROR}
+        return observed.Alerts(source, q.warn_percent, q.fail_percent, lambda kind, text, figures: logging.getLogger("millrace").log(level[kind], text, extra={"stage": f"bronze {source}", **figures}))
 
     def bronze_copy(self, source: str) -> dict[str, int]:
         """Load a source's new CSV or JSON files once; rows that break the contract are refused."""
@@ -128,13 +137,9 @@ class Medallion:
         orders = checks.keep(changes.latest_state(events), {"an order has an id": "order_id IS NOT NULL"})
         manifest = star.latest_by_key(self.read("bronze", "br_seat_manifest"), ["seat_id"], "_ingest_ts").drop(*audit)
         seats = versions.split_moves(manifest, "section", "renumbered_to_section", "renumber_effective_date", SEASON_START)
-        delivered = self.read("bronze", "br_account")
-        dates = [r[0] for r in delivered.select("snapshot_date").where("snapshot_date IS NOT NULL").distinct().orderBy("snapshot_date").collect()]  # one for each delivery
-        snapshots = [star.latest_by_key(delivered.where(F.col("snapshot_date") == day), ["account_id"], "_ingest_ts").drop(*audit) for day in dates]
-        people = versions.fold(snapshots, ["account_id"], ["cohort", "origin_state", "is_active"], "snapshot_date")
         out = {"sv_ticket_order": self.publish("silver", "sv_ticket_order", orders)}
         out["dim_seat"] = self.publish("silver", "dim_seat", checks.keep(seats, {"a seat has an id": "seat_id IS NOT NULL"}))
-        out["dim_account"] = self.publish("silver", "dim_account", checks.keep(people, {"an account has an id": "account_id IS NOT NULL"}))
+        out["dim_account"] = self.accounts(audit)
         scans = self.read("bronze", "br_gate_scan").drop(*audit).dropDuplicates(["scan_id"])
         known = self.read("silver", "sv_ticket_order").select("order_id", F.lit(True).alias("_known"))
         told = scans.join(known, "order_id", "left")
@@ -145,6 +150,27 @@ class Medallion:
         out["sv_price_point"] = self.publish("silver", "sv_price_point", versions.resolve_windows(points, ["game_id", "seat_class"], "valid_from_ts", "valid_to_ts"))
         return out
 
+    def accounts(self, audit: Sequence[str]) -> int:
+        """Bring the account dimension up to what was delivered since its last version; its rows.
+
+        The mark, the latest arrival that the dimension has taken up, is written
+        after it: a run that was cut off between them applies deliveries again,
+        which changes nothing. Deliveries without a date are in no version.
+        """
+        name, seen = "dim_account", Versioned(self.spark, self.folder("ops", "dim_account_mark"))
+        delivered = self.read("bronze", "br_account").where("snapshot_date IS NOT NULL AND account_id IS NOT NULL")
+        if seen.exists():
+            delivered = delivered.where(F.col("_ingest_ts") > F.lit(seen.read().first()["taken"]))
+        stored = self.read("silver", name) if Versioned(self.spark, self.folder("silver", name)).exists() else None
+        mark = delivered.agg(F.max("_ingest_ts").alias("taken")).first()["taken"]
+        if stored is not None and mark is None:
+            return Versioned(self.spark, self.folder("silver", name)).entries()[-1]["rows"]
+        once = star.latest_by_key(delivered, ["account_id", "snapshot_date"], "_ingest_ts").drop(*audit)
+        rows = self.publish("silver", name, versions.advance(stored, once, ["account_id"], ["cohort", "origin_state", "is_active"], "snapshot_date"))
+        if mark is not None:
+            seen.write(self.spark.createDataFrame([(mark,)], "taken timestamp"), "MARK")
+        return rows
+
     def gold(self) -> dict[str, int]:
         """The order fact, marts, dimensions and the season's ratios."""
         now = lambda name: self.read("silver", name)
@@ -186,8 +212,3 @@ class Medallion:
     def run(self, logger=None) -> dict:
         """All tasks in order; see run_steps."""
         return run_steps(self.steps(), logger)
-
-
-def manifest(spark: SparkSession, folder: str) -> dict:
-    """What a made season says of itself."""
-    return json.loads(files.read(spark, f"{folder.rstrip('/')}/_manifest.json"))

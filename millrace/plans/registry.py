@@ -135,10 +135,12 @@ def mart_revenue_sql_form(spark, sf_dir):
 
 @_query(
     """SELECT d::DATE AS date, strftime(d, '%Y%m%d')::INTEGER AS date_key, year(d)::INTEGER AS year, month(d)::INTEGER AS month, day(d)::INTEGER AS day,
-    (dayofweek(d) + 1)::INTEGER AS day_of_week, dayname(d) AS day_name, dayofweek(d) IN (0, 6) AS is_weekend FROM range(DATE '1995-01-01', DATE '2002-01-01', INTERVAL 1 DAY) AS t(d)"""
+    (dayofweek(d) + 1)::INTEGER AS day_of_week, dayname(d) AS day_name, dayofweek(d) IN (0, 6) AS is_weekend
+    FROM (SELECT unnest(range(min(o_orderdate)::DATE, max(o_orderdate)::DATE + INTERVAL 1 DAY, INTERVAL 1 DAY)) AS d FROM orders)"""
 )
 def dim_date(spark, sf_dir):
-    return star.date_dimension(star.dates_between(spark, "1995-01-01", "2001-12-31"))
+    """The calendar of all days from the first order to the last."""
+    return star.date_dimension(star.dates_of(domain.table(spark, sf_dir, "orders"), "o_orderdate"))
 
 
 @_query(

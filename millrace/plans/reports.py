@@ -1,4 +1,4 @@
-"""Queries over the sale lines, dimensions, ratios, texts and the made season, each beside its SQL."""
+"""Queries over the sale lines, dimensions, ratios and texts, each beside its SQL."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from millrace.operators import changes, checks, star, texts, versions
 from millrace.plans import domain
 from millrace.plans.registry import _fact, _query, _seats
-from millrace.sources import contracts, landing, season
+from millrace.sources import contracts, landing
 
 # --- sale lines routed by their contract -------------------------------------------------
 
@@ -174,71 +174,28 @@ def freshness(spark, sf_dir):
     return checks.stale(domain.table(spark, sf_dir, "events"), "ts", "2030-01-01 00:00:00", 120)
 
 
-_SEASON = season.Season()
-_AGREEMENTS = _SEASON.select("sponsorships", duck=True)
-
-
-@_query(
-    f"""SELECT contract_id, regexp_extract(clause, '{texts.CLAUSE}', 1)::INTEGER AS amount, regexp_extract(clause, '{texts.CLAUSE}', 2) AS obligation
-    FROM (SELECT contract_id, unnest(regexp_extract_all(contract_text, '{texts.CLAUSE}')) AS clause FROM ({_AGREEMENTS}))"""
-)
-def sponsor_clauses(spark, sf_dir):
-    return texts.clauses(_SEASON.read(spark, "sponsorships"))
-
-
-#: Words that tell a complaint's category.
-WORDS = {"QUEUE": ("line", "missed the start"), "SEAT": ("seat", "renumbered"), "FOOD": ("cold", "noodles"), "STAFF": ("usher", "stairs"), "PARKING": ("parking", "page")}
-_SCORES = {name: " + ".join(f"contains(lower(issue_text), '{w}')::INTEGER" for w in listed) for name, listed in WORDS.items()}
-_BEST = "greatest(" + ", ".join(_SCORES.values()) + ")"
-
-
 @_query(
-    f"""SELECT guest_ticket_id, CASE WHEN {_BEST} = 0 THEN 'OTHER' {' '.join(f"WHEN {s} = {_BEST} THEN '{n}'" for n, s in _SCORES.items())} END AS category,
-    regexp_replace(regexp_replace(issue_text, '{texts.PERSONAL[0][0]}', '[EMAIL]', 'g'), '{texts.PERSONAL[1][0]}', '[PHONE]', 'g') AS issue_text FROM ({_SEASON.select('guests', duck=True)})"""
+    f"""SELECT doc_id, sha256(regexp_replace(regexp_replace(coalesce(text, ''), '{texts.PERSONAL[0][0]}', '[EMAIL]', 'g'), '{texts.PERSONAL[1][0]}', '[PHONE]', 'g')) AS redacted_sha256 FROM documents"""
 )
-def guest_texts(spark, sf_dir):
-    """Complaints with a category and without addresses and telephone numbers."""
-    rows = _SEASON.read(spark, "guests")
-    return rows.select("guest_ticket_id", texts.category(F.col("issue_text"), WORDS).alias("category"), texts.redacted(F.col("issue_text")).alias("issue_text"))
+def documents_redacted(spark, sf_dir):
+    """Every text without addresses and telephone numbers, as a digest."""
+    rows = domain.table(spark, sf_dir, "documents")
+    return rows.select("doc_id", F.sha2(texts.redacted(F.coalesce("text", F.lit(""))), 256).alias("redacted_sha256"))
 
 
-@_query(
-    f"""SELECT s.game_id, count(*) AS orders, count(DISTINCT s.seat_id) AS seats, round(sum(s.paid_price_usd), 2) AS paid_usd, count(*) FILTER (a.cohort = 'VISITOR') AS by_visitors
-    FROM ({_SEASON.select('orders', duck=True)}) AS s JOIN ({_SEASON.select('accounts', duck=True)}) AS a USING (account_id) GROUP BY s.game_id"""
-)
-def season_lookups(spark, sf_dir):
-    """The made season's orders beside their accounts: no seat sells twice for a game."""
-    rows = _SEASON.read(spark, "orders").join(_SEASON.read(spark, "accounts").select("account_id", "cohort"), "account_id")
-    return rows.groupBy("game_id").agg(F.count(F.lit(1)).alias("orders"), F.countDistinct("seat_id").alias("seats"), F.round(F.sum("paid_price_usd"), 2).alias("paid_usd"), F.count_if(F.col("cohort") == "VISITOR").alias("by_visitors"))
-
-
-@_query(
-    f"""SELECT order_id, event_type, is_copy FROM (SELECT order_id, __seq, event_type, planted_copy AS is_copy, __commit_ts FROM ({_SEASON.select('changes', duck=True)}))
-    ORDER BY __commit_ts, __seq, is_copy LIMIT 100"""
-)
-def season_first_commits(spark, sf_dir):
+@_query(f"SELECT order_id, event_type, __seq FROM ({domain.CHANGES_SQL}) ORDER BY __commit_ts, __seq LIMIT 100")
+def cdc_first_commits(spark, sf_dir):
     """The hundred changes committed first, as files are split by commit time."""
-    rows = _SEASON.read(spark, "changes").withColumnRenamed("planted_copy", "is_copy")
-    return rows.orderBy("__commit_ts", "__seq", "is_copy").limit(100).select("order_id", "event_type", "is_copy")
+    rows = changes.without_repeats(domain.changes(spark, sf_dir))
+    return rows.orderBy("__commit_ts", "__seq").limit(100).select("order_id", "event_type", "__seq")
 
 
 @_query(
-    f"""WITH c AS ({_SEASON.select('changes', duck=True)}) SELECT order_status, count(*) AS orders FROM (
-    SELECT CASE event_type WHEN 'REFUND' THEN 'REFUNDED' WHEN 'TRANSFER' THEN 'TRANSFERRED' WHEN 'RESALE' THEN 'RESOLD' ELSE 'ACTIVE' END AS order_status FROM c QUALIFY row_number() OVER (PARTITION BY order_id ORDER BY __seq DESC, planted_copy) = 1) GROUP BY order_status"""
+    """SELECT o_orderkey % 81 AS game_id, count(*) AS orders, count(DISTINCT o_custkey) AS accounts, count(*) FILTER (c_mktsegment = 'BUILDING') AS by_cohort
+    FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL"""
 )
-def season_states(spark, sf_dir):
-    """Orders of the made season by state, by sequence and in spite of backdated commits and copies."""
-    events = _SEASON.read(spark, "changes").drop("planted_copy", "planted_backdated")
-    return changes.latest_state(changes.without_repeats(events)).groupBy("order_status").agg(F.count(F.lit(1)).alias("orders"))
-
-
-def _of_season(name: str) -> None:
-    def made(spark, sf_dir):
-        return _SEASON.read(spark, name)
-
-    made.__name__, made.__doc__ = f"season_{name}", f"The made season's {name}; nothing is read from the tables."
-    _query(_SEASON.select(name, duck=True))(made)
-
-
-for _name in season.DATASETS:
-    _of_season(_name)
+def cohort_lookups(spark, sf_dir):
+    """Orders looked up in their accounts, whose side is broadcast where its size allows."""
+    orders = domain.table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 81).alias("game_id"), "o_custkey")
+    people = domain.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment")
+    return orders.join(people, "o_custkey").groupBy("game_id").agg(F.count(F.lit(1)).alias("orders"), F.countDistinct("o_custkey").alias("accounts"), F.count_if(F.col("c_mktsegment") == "BUILDING").alias("by_cohort"))

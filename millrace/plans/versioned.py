@@ -20,6 +20,7 @@ from datetime import datetime, timezone
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.operators import observed
 from millrace.sources import files
 
 
@@ -61,10 +62,10 @@ class Versioned:
         """Make rows the next version; its number. `rows` may read this table."""
         log = self.entries()
         version, path = (log[-1]["version"] + 1 if log else 0), f"{self.folder}/data/{uuid.uuid4().hex}"
-        rows.write.parquet(path)
+        watched, told = observed.watched(rows, {})
+        watched.write.parquet(path)
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-        written = self.spark.read.schema(schema).parquet(path)
-        entry = {"version": version, "time": datetime.now(timezone.utc).isoformat(), "operation": operation, "path": path, "rows": written.count(), "columns": rows.columns, "schema": schema}
+        entry = {"version": version, "time": datetime.now(timezone.utc).isoformat(), "operation": operation, "path": path, "rows": told()[observed.TOTAL], "columns": rows.columns, "schema": schema}
         if not files.write_new(self.spark, f"{self.folder}/log/{version:08d}.json", json.dumps(entry)):
             files.remove(self.spark, path)
             raise Conflict(f"{self.folder}: version {version} was made by another writer")

@@ -1 +1 @@
-"""Landing sources: contracts, file ingestion, synthetic data."""
+"""Landing sources: contracts, file ingestion."""

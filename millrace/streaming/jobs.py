@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from millrace.functions.columns import signed_revenue
-from millrace.sources import landing
+from millrace.operators import observed
+from millrace.sources import files, landing
 from millrace.sources.contracts import Contract
 
 
@@ -24,7 +27,7 @@ def parquet_files(spark: SparkSession, path: str, contract: Contract, environmen
     return landing.audited(spark.readStream.schema(contract.schema()).parquet(path), contract, environment)
 
 
-def ingest(rows: DataFrame, contract: Contract, table: str, quarantine: str, checkpoint: str) -> StreamingQuery:
+def ingest(rows: DataFrame, contract: Contract, table: str, quarantine: str, checkpoint: str, alerts: observed.Alerts | None = None) -> StreamingQuery:
     """Write a stream's valid rows to one Parquet folder and the others to another, once per file.
 
     Both come from one batch, so they cannot diverge, and a batch that is run
@@ -33,26 +36,52 @@ def ingest(rows: DataFrame, contract: Contract, table: str, quarantine: str, che
     ledger that writes to the same table, or a new one, overwrites nothing.
     Files with columns that a failing policy refuses stop the batch before
     anything is committed. The run ends when all files there are were read.
+
+    Rows are counted while they are written; `told` has the sums. alerts: hears
+    of every batch of the stream, as rows under the name it watches.
     """
+    keys = {"null_keys": " AND ".join(f"`{k}` IS NOT NULL" for k in contract.key)}
+    if alerts:
+        arrived = "_source_file_modified_ts" if "_source_file_modified_ts" in rows.columns else None
+        rows = rows.observe(alerts.name, *observed.counters({"keeps_contract": contract.valid(arrived, set(rows.columns))}))
 
     def write(batch: DataFrame, number: int) -> None:
         batch.persist()
         try:
             if contract.policy is landing.Policy.FAIL:
-                files = [r[0] for r in batch.select("_source_file").distinct().toLocalIterator()]
-                landing.forbid_new_columns(batch.sparkSession, files, contract)
+                new = [r[0] for r in batch.select("_source_file").distinct().toLocalIterator()]
+                landing.forbid_new_columns(batch.sparkSession, new, contract)
             good, bad = landing.split(batch, contract)
+            (good, accepted), (bad, refused) = observed.watched(good, keys), observed.watched(bad, {})
             folder = f"batch={landing.ledger_id(batch.sparkSession, checkpoint)}-{number}"
             good.write.mode("overwrite").parquet(f"{table}/{folder}")
             bad.write.mode("overwrite").parquet(f"{quarantine}/{folder}")
+            counts = {"accepted": accepted()[observed.TOTAL], "refused": refused()[observed.TOTAL], "null_keys": accepted()["null_keys"]}
+            files.remove(batch.sparkSession, f"{table}_told/{folder}.json")
+            files.write_new(batch.sparkSession, f"{table}_told/{folder}.json", json.dumps(counts))
         finally:
             batch.unpersist()
 
-    query = rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
+    if alerts:
+        rows.sparkSession.streams.addListener(alerts)
+    try:
+        query = rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        if alerts:
+            rows.sparkSession.streams.removeListener(alerts)
     return query
 
 
+def told(spark: SparkSession, table: str) -> dict[str, int]:
+    """{accepted, refused, null_keys} of all that ingest() has written to a table: one small file for each batch, no scan of the rows."""
+    names = ("accepted", "refused", "null_keys")
+    if not files.names(spark, f"{table}_told"):
+        return dict.fromkeys(names, 0)
+    rows = spark.read.schema(", ".join(f"{n} long" for n in names)).json(f"{table}_told")
+    return {n: int(v or 0) for n, v in rows.agg(*(F.sum(n).alias(n) for n in names)).first().asDict().items()}
+
+
 def hourly_revenue(events: DataFrame, delay: str = "48 hours") -> DataFrame:
     """Signed revenue by game, seat class and hour of commit, from a stream of changes.
 
