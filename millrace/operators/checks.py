@@ -85,11 +85,13 @@ def protected(df: DataFrame, contract, salt: str, born: str = "birth_date", on:
     """df as analysts may see it: personal columns of the contract masked, a year for the day of birth, and no minors.
 
     Minors, on the day given (today, if None), are left out, as are rows whose
-    day of birth is not known: access is refused rather than granted.
+    day of birth is not known, and a table without the column is refused:
+    access is denied rather than granted.
     """
-    if born in df.columns:
-        day = F.lit(on).cast("date") if on else F.current_date()
-        df = df.where(F.coalesce(F.add_months(F.col(born).cast("date"), 12 * adult) <= day, F.lit(False))).withColumn(born, F.year(F.col(born).cast("date")).cast("string"))
+    if born not in df.columns:
+        raise ValueError(f"{contract.name}: no column {born}, by which minors are left out")
+    day = F.lit(on).cast("date") if on else F.current_date()
+    df = df.where(F.coalesce(F.add_months(F.col(born).cast("date"), 12 * adult) <= day, F.lit(False))).withColumn(born, F.year(F.col(born).cast("date")).cast("string"))
     return masked(df, [c for c in contract.personal if c in df.columns and c != born], salt)
 
 

@@ -1,13 +1,17 @@
-"""Queries over streams, increments, sorted merges and observed writes, each beside its SQL."""
+"""Queries over streams, increments, sorted merges, observed writes, access and layouts, each beside its SQL."""
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.operators import observed, versions
-from millrace.plans import domain
+from millrace.operators import layout, observed, versions
+from millrace.plans import access, domain
 from millrace.plans.registry import _VERSIONS, _query
-from millrace.sources import files
+from millrace.sources import files, landed
 from millrace.streaming import tables
 
 _CHANGES = f"SELECT *, order_id % 10 AS game_id, 'C' || (order_id % 6) AS seat_class FROM ({domain.CHANGES_SQL})"
@@ -81,3 +85,66 @@ def line_expectations_observed(spark, sf_dir):
     """line_expectations, counted in the pass that writes the lines."""
     path = files.shared(spark, "lines")
     return observed.violations(domain.lines(spark, sf_dir), {"positive_quantity": "quantity > 0", "taxed": "tax_rate > 0"}, lambda rows: rows.write.parquet(path))
+
+
+_BORN = "SELECT c_custkey AS account_id, c_name AS first_name, c_mktsegment AS cohort, DATE '2027-01-01' - (c_custkey % 60 * 365)::INTEGER AS birth_date FROM customer"
+
+
+@_query(
+    f"""WITH c AS (SELECT account_id, first_name, cohort, birth_date, birth_date + INTERVAL 216 MONTHS <= DATE '2027-01-01' AS adult FROM ({_BORN}))
+    SELECT 'analyst' AS role, account_id, sha256('pepper' || first_name) AS first_name, cohort, '' || year(birth_date) AS birth_date FROM c WHERE adult
+    UNION ALL SELECT 'support', account_id, left(first_name, 1) || '.', cohort, '' || year(birth_date) FROM c
+    UNION ALL SELECT 'steward', account_id, first_name, cohort, birth_date::VARCHAR FROM c
+    UNION ALL SELECT 'visitor', account_id, NULL, cohort, NULL FROM c WHERE adult"""
+)
+def accounts_by_role(spark, sf_dir):
+    """One table as each role sees it: masks and row filters are SQL functions, bound by tags."""
+    rows = domain.table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    view = f"accounts_{uuid.uuid4().hex}"
+    rows.selectExpr("c_custkey AS account_id", "c_name AS first_name", "c_mktsegment AS cohort", "date_sub(date'2027-01-01', CAST(c_custkey % 60 * 365 AS INT)) AS birth_date").createOrReplaceTempView(view)
+    access.standard(spark, "pepper", "2027-01-01")
+    made = access.grant(spark, view, {"first_name": "person", "birth_date": "birth"}, temporary=True)
+    seen = [spark.table(v).withColumn("birth_date", F.col("birth_date").cast("string")).select(F.lit(r).alias("role"), "account_id", "first_name", "cohort", "birth_date") for r, v in made.items()]
+    return reduce(DataFrame.unionByName, seen)
+
+
+_FILTERS = {"l_partkey": (10, 60), "l_suppkey": (3, 5), "l_quantity": (7, 7)}
+
+
+@_query(" UNION ALL ".join(f"SELECT '{c}' AS filter, count(*) AS rows, round(sum(l_extendedprice), 2) AS price_usd FROM lineitem WHERE {c} BETWEEN {a} AND {b}" for c, (a, b) in _FILTERS.items()))
+def lines_on_a_curve(spark, sf_dir):
+    """Sale lines stored along a curve through three columns, then read by a filter on each."""
+    path = files.shared(spark, "curve")
+    layout.write_curved(domain.table(spark, sf_dir, "lineitem"), path, list(_FILTERS), 16)
+    stored = spark.read.parquet(path)
+    return reduce(DataFrame.unionByName, [stored.where(F.col(c).between(a, b)).agg(F.count(F.lit(1)).alias("rows"), F.round(F.sum("l_extendedprice"), 2).alias("price_usd")).select(F.lit(c).alias("filter"), "rows", "price_usd") for c, (a, b) in _FILTERS.items()])
+
+
+_EVENT = "event_id LONG, ts TIMESTAMP, user_id LONG, event_type STRING, value DOUBLE"
+_EVENTS_SQL = "SELECT event_type, count(*) AS events, sum(event_id)::BIGINT AS ids, round(sum(value), 2) AS value_usd, max(ts) AS latest FROM events GROUP BY event_type"
+
+
+def _landed(spark, sf_dir, kind, name):
+    """The events as files of a kind, as another system would land them."""
+    path = files.shared(spark, name)
+    rows = domain.table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp"), "user_id", "event_type", "value").repartition(4, "event_id")
+    (rows.write.option("header", True).option("timestampFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS")).format(kind).save(path)
+    landed.register(spark)
+    return path
+
+
+def _by_type(rows):
+    return rows.groupBy("event_type").agg(F.count(F.lit(1)).alias("events"), F.sum("event_id").alias("ids"), F.round(F.sum("value"), 2).alias("value_usd"), F.max("ts").cast("timestamp_ntz").alias("latest"))
+
+
+@_query(_EVENTS_SQL)
+def events_landed_json(spark, sf_dir):
+    """Events from JSON files by the data source, without a table."""
+    return _by_type(spark.read.format("landed").option("kind", "json").schema(_EVENT).load(_landed(spark, sf_dir, "json", "landed")))
+
+
+@_query(_EVENTS_SQL)
+def events_landed_stream(spark, sf_dir):
+    """The same as CSV files and as a stream: each is taken once."""
+    path = _landed(spark, sf_dir, "csv", "landed")
+    return _by_type(tables.drained(spark.readStream.format("landed").option("kind", "csv").schema(_EVENT).load(path), "landed"))

@@ -106,16 +106,19 @@ def copy_csv(spark: SparkSession, source: str, table_path: str, contract: Contra
     each file's header, read as text and cast, so that a bad value is refused and
     fails no load. Columns that the contract lacks are its policy's: they widen the
     table as text (read it with mergeSchema), refuse the load before anything is
-    written, go into _rescued_data, or are left out. One header line is read for
-    each new file; files of one header are read together.
+    written, go into _rescued_data, or are left out. Headers are gathered in one
+    pass over a batch; files of one header are read together.
     """
     loaded = []
 
     def write(batch: DataFrame, number: int) -> None:
         reader = lambda: batch.sparkSession.read.option("header", True)
+        # Each file's first line, in one pass over the batch; one small job for each different header.
+        first = batch.where("_begins = 0 AND trim(value) <> ''").withColumn("_n", F.monotonically_increasing_id())
+        lines = first.groupBy("_source_file").agg(F.min_by("value", "_n").alias("_header"))
         headers: dict[tuple[str, ...], list[str]] = {}
-        for row in batch.select("_source_file").distinct().toLocalIterator():
-            headers.setdefault(tuple(reader().csv(row[0]).columns), []).append(row[0])
+        for row in lines.groupBy("_header").agg(F.sort_array(F.collect_list("_source_file")).alias("names")).collect():
+            headers.setdefault(tuple(reader().csv(row["names"][0]).columns), []).extend(row["names"])
         rows = [_of_policy(reader().schema(StructType([StructField(c, StringType()) for c in h])).csv(names), contract) for h, names in sorted(headers.items())]
         if rows:
             every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows)
@@ -124,7 +127,7 @@ def copy_csv(spark: SparkSession, source: str, table_path: str, contract: Contra
             cast_to(told, contract).write.mode("overwrite").parquet(path)
             loaded.append(batch.sparkSession.read.parquet(path).count())
 
-    lines = spark.readStream.text(source).select(F.col("_metadata.file_path").alias("_source_file"))
+    lines = spark.readStream.text(source).select("value", F.col("_metadata.file_path").alias("_source_file"), F.col("_metadata.file_block_start").alias("_begins"))
     query = lines.writeStream.foreachBatch(write).option("checkpointLocation", ledger).trigger(availableNow=True).start()
     query.awaitTermination()
     return sum(loaded)
