@@ -5,11 +5,12 @@ from __future__ import annotations
 import uuid
 from functools import reduce
 
+from pyspark import pipelines as dp
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.operators import layout, observed, versions
-from millrace.plans import access, domain
+from millrace.operators import changes, layout, observed, versions
+from millrace.plans import access, declared, domain
 from millrace.plans.registry import _VERSIONS, _query
 from millrace.sources import files, landed
 from millrace.streaming import tables
@@ -148,3 +149,44 @@ def events_landed_stream(spark, sf_dir):
     """The same as CSV files and as a stream: each is taken once."""
     path = _landed(spark, sf_dir, "csv", "landed")
     return _by_type(tables.drained(spark.readStream.format("landed").option("kind", "csv").schema(_EVENT).load(path), "landed"))
+
+
+def medallion_graph(spark, sf_dir) -> declared.Graph:
+    """Changes landed as a stream, split by an expectation into two sibling streams, then states and counts as materialized views."""
+    graph = declared.Graph()
+    with graph:
+
+        @dp.materialized_view
+        def mart_status():
+            bad = spark.table("q_change").agg(F.lit("QUARANTINED").alias("order_status"), F.count(F.lit(1)).alias("orders"))
+            return spark.table("sv_order").groupBy("order_status").agg(F.count(F.lit(1)).alias("orders")).unionByName(bad)
+
+        @dp.materialized_view
+        def sv_order():
+            return changes.latest_state(changes.without_repeats(spark.table("br_change")))
+
+        @dp.table
+        def change_raw():
+            return tables.change_stream(spark, sf_dir)
+
+        @dp.table
+        def br_change():
+            return spark.readStream.table("change_raw").where("paid_price_usd >= 5")
+
+        @dp.table
+        def q_change():
+            return spark.readStream.table("change_raw").where("NOT coalesce(paid_price_usd >= 5, false)")
+
+    return graph
+
+
+@_query(
+    f"""WITH c AS ({domain.CHANGES_SQL}), l AS (SELECT * FROM c WHERE paid_price_usd >= 5 QUALIFY row_number() OVER (PARTITION BY order_id ORDER BY __seq DESC) = 1)
+    SELECT CASE event_type WHEN 'REFUND' THEN 'REFUNDED' WHEN 'TRANSFER' THEN 'TRANSFERRED' WHEN 'RESALE' THEN 'RESOLD' ELSE 'ACTIVE' END AS order_status, count(*) AS orders FROM l GROUP BY ALL
+    UNION ALL SELECT 'QUARANTINED', count(*) FILTER (NOT coalesce(paid_price_usd >= 5, false)) FROM c"""
+)
+def declared_marts(spark, sf_dir):
+    """A pipeline of streaming tables and materialized views by declaration, run over the given tables."""
+    database = f"declared_{uuid.uuid4().hex}"
+    medallion_graph(spark, sf_dir).run(spark, files.shared(spark, "declared"), database)
+    return spark.table(f"{database}.mart_status")
