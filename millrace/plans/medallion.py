@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from millrace.operators import changes, checks, observed, star, versions
 from millrace.plans import runlog, statements
 from millrace.plans.versioned import Versioned
-from millrace.sources import contracts, landing
+from millrace.sources import contracts, landing, schemas
 from millrace.sources.settings import Settings
 from millrace.streaming import jobs
 
@@ -98,6 +98,7 @@ class Medallion:
         told, contract = self.settings.source(source), contracts.get(source)
         good, bad = self.STREAMS[source]
         path, environment = self.settings.landing_path(source), self.settings.environment
+        schemas.remember(self.spark, self.settings.schema_path(good), contract)
         if told.format == "json":
             rows = jobs.json_lines(self.spark, path, contract, environment, told.max_files)
         else:
@@ -119,6 +120,7 @@ class Medallion:
         """Load a source's new CSV or JSON files once; rows that break the contract are refused."""
         name, contract = self.COPIES[source], contracts.get(source)
         raw, ledger = f"{self.folder('bronze', name)}_raw", self.settings.checkpoint_path(name)
+        schemas.remember(self.spark, self.settings.schema_path(name), contract)
         if self.settings.source(source).format == "json":
             landed = jobs.json_lines(self.spark, self.settings.landing_path(source), contract, self.settings.environment)
             jobs.ingest(landed, contract, raw, f"{raw}_refused", ledger)
@@ -186,7 +188,7 @@ class Medallion:
             "mart_revenue_by_seat_class": star.revenue_by_class(fact),
             "dim_date": star.date_dimension(star.dates_between(self.spark, "2026-01-01", "2027-12-31")),
             "dim_game": games,
-            "dim_product": star.latest_by_key(lines.select("sku", "item_name", "category", "unit_price_usd", "txn_ts"), ["sku"], "txn_ts").drop("txn_ts"),
+            "dim_product": versions.advance(None, lines.where("sku IS NOT NULL AND txn_ts IS NOT NULL").select("sku", "item_name", "category", "unit_price_usd", "txn_ts"), ["sku"], ["item_name", "category", "unit_price_usd"], "txn_ts"),
             "dim_promo": games.groupBy("promotion").agg(F.max("promotion_lift").alias("promotion_lift"), F.count(F.lit(1)).alias("games")),
             "fact_admission": admitted,
             "fact_pos_transaction": now("sv_pos_basket"),

@@ -130,7 +130,7 @@ class Settings(Ruled):
         return f"{self.checkpoints.rstrip('/')}/{self.environment}/{stream}"
 
     def schema_path(self, stream: str) -> str:
-        """Where a stream's widened schema is kept, apart from its checkpoint."""
+        """Where the schemas that a stream was read by are kept, apart from its checkpoint."""
         return f"{self.checkpoint_path(stream)}-schema"
 
 

@@ -74,3 +74,21 @@ def test_landed_files_in_batch_and_stream(spark, tmp_path):
     assert sorted(map(str, rows.collect())) == sorted(["Row(a='q', n=5, day=None)", "Row(a=None, n=None, day=None)"])
     with pytest.raises(Exception, match="none of"):
         spark.read.format("landed").option("kind", "xml").schema(shape).load(str(folder)).collect()
+
+
+def test_schemas_are_kept_apart_and_change_only_with_their_version(spark, tmp_path):
+    from millrace.sources import schemas
+    from millrace.sources.contracts import Contract, ContractError, Policy
+
+    path = str(tmp_path / "s")
+    of = lambda version, columns: Contract("t", version, ("a",), Policy.RESCUE, columns, refusals=(("a", "NULL_PRIMARY_KEY"),))
+    first, second = of("1.9.0", "a! STRING\nn INT"), of("1.10.0", "a! STRING\nn INT\nmore DATE")
+    assert schemas.remember(spark, path, first) and not schemas.remember(spark, path, first)
+    with pytest.raises(ContractError, match="n changed without"):
+        schemas.remember(spark, path, of("1.9.0", "a! STRING\nn BIGINT"))
+    with pytest.raises(ContractError, match="cannot be read"):
+        schemas.remember(spark, path, of("2.0.0", "a! STRING"))
+    assert schemas.remember(spark, path, second)
+    with pytest.raises(ContractError, match="used already"):
+        schemas.remember(spark, path, of("1.9.5", "a! STRING\nn INT"))
+    assert [e["version"] for e in schemas.kept(spark, path)] == ["1.9.0", "1.10.0"]
