@@ -14,7 +14,11 @@ components only, so no bucket emits all its pairs: first every member is
 compared with a few of them; then, in buckets that still hold several
 components, members outside the commonest one with those of other components,
 by finer sketches first and by a bitmap of whole sets, whose exclusive or never
-has more bits than elements that differ. No link between components is left.
+has more bits than elements that differ. Where more than CROWD members are
+outside, as in a family of texts made from one template, members meet over
+shingles instead of the bucket: in the order of their frequency, rarest first,
+two sets that are linked share a shingle among the first few of both. That rules
+out no link, whatever the sizes. No link between components is left.
 
 Scale: texts are read twice and never shuffled whole. Sets are sent only for
 classes in some candidate pair, told by a bitmap of fixed size (a false hit
@@ -50,6 +54,8 @@ WHOLE = 4096
 #: in all its buckets (bands times CENTRES at most) a class is compared with at
 #: first: the LEAST least and DEALT by a hash. The rest is for the second step.
 CENTRES, LEAST, DEALT = 3, 2, 4
+#: Members outside a bucket's commonest component that meet all its members there.
+CROWD = 64
 #: Standard deviations allowed for when a sketch rules a pair out.
 DEVIATIONS = 5
 #: Bits of the broadcast bitmap (1 MB).
@@ -259,6 +265,46 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, known: DataFrame, words: int,
     return common.written(both.where(shared * 100 >= (F.size("set_a") + F.size("set_b") - shared) * percent).select("a", "b"), "links")
 
 
+def prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """The rarest shingles of sets (b, label, n, set), a row each: shingle, b, label, n, pos, short.
+
+    pos counts from 1 in the order of how many sets have a shingle, those of one
+    set alone (left out of the rows) first. A partner that is no larger shares at
+    least percent / 100 of n, one that is no smaller 2 * percent / (100 + percent)
+    of it, so the first shingle in common lies in a prefix of the rest and one
+    more; short says that it is in the second, shorter one.
+    """
+    each = sets.select("b", F.explode("set").alias("shingle"))
+    shared = each.groupBy("shingle").agg(F.count("*").alias("sets")).where("sets > 1")
+    ranked = each.join(shared, "shingle").groupBy("b").agg(F.array_sort(F.collect_list(F.struct("sets", "shingle"))).alias("ranked"))
+    at = ranked.join(sets.select("b", "label", "n"), "b").withColumn("own", F.col("n") - F.size("ranked"))
+    reach = f"n - (n * {percent} + 99) div 100 + 1"
+    rows = at.select("b", "label", "n", "own", F.posexplode(F.expr(f"slice(ranked, 1, cast(greatest(0, {reach} - own) AS int))")))
+    pos = rows.select("col.shingle", "b", "label", "n", F.expr("own + pos + 1").alias("pos"))
+    return pos.withColumn("short", F.expr(f"pos <= n - (2 * n * {percent} + {99 + percent}) div {100 + percent} + 1"))
+
+
+def _usual(rows: DataFrame, key: str) -> DataFrame:
+    """key, usual (its commonest label) and outside (how many rows have another), of keys with several labels."""
+    held = rows.groupBy(key, "label").agg(F.count("*").alias("rows"))
+    most = held.groupBy(key).agg(F.max(F.struct("rows", "label")).alias("most"), F.sum("rows").alias("all"), F.count("*").alias("labels"))
+    return most.where("labels > 1").select(key, F.col("most.label").alias("usual"), (F.col("all") - F.col("most.rows")).alias("outside"))
+
+
+def _rare_pairs(sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different labels among sets that share a rare shingle where a link's first one may lie."""
+    found = common.written(prefixes(sets, percent), "prefixes")
+    rows = common.written(found.join(_usual(found, "shingle").drop("outside"), "shingle"), "prefixes")
+    side = lambda c: rows.select("shingle", *(F.col(x).alias(f"{x}_{c}") for x in ("b", "label", "n", "pos", "short", "usual")))
+    large, small = side("x"), side("y").where("short_y")
+    sized = (F.col("n_x") >= F.col("n_y")) & (F.col("n_y") * 100 >= F.col("n_x") * percent)
+    left = F.least(F.col("n_x") - F.col("pos_x"), F.col("n_y") - F.col("pos_y")) + 1
+    fit = sized & (F.col("label_x") != F.col("label_y")) & (left * (100 + percent) >= (F.col("n_x") + F.col("n_y")) * percent)
+    both = [(large.where("label_x <> usual_x"), small), (large.where("label_x = usual_x"), small.where("label_y <> usual_y"))]
+    one, two = (x.join(y, "shingle").where(fit).select(F.least("b_x", "b_y").alias("a"), F.greatest("b_x", "b_y").alias("b")) for x, y in both)
+    return one.unionByName(two).distinct()
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of docs.
 
@@ -335,12 +381,16 @@ def _labelled(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, Dat
     # Buckets whose members are not one component: those outside the commonest
     # one against all of other components, each pair in the first bucket that it shares.
     told = members.join(labels.withColumnRenamed("node", "b"), "b", "left").select("bucket", "band", "b", F.coalesce("label", "b").alias("label"))
-    mixed = told.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.mode("label").alias("usual")).where("low <> high").select("bucket", "usual")
+    mixed = _usual(told, "bucket").withColumn("crowded", F.col("outside") > CROWD).drop("outside")
     rest = common.written(told.join(mixed, "bucket"), "mixed")
     wanted = rest.select(F.col("b").alias("class")).distinct().join(known.select("class", "id", "n", "bands"), "class")
     finer = _wanted(docs, wanted.select("class", "id"), words, "fine", _finer, _FINER).dropDuplicates(["class"])
     facts = finer.join(wanted.select("class", "n", "bands"), "class").withColumnRenamed("class", "b")
-    full = common.written(rest.join(facts, "b"), "mixed")
+    crowd = rest.where("crowded").select("b", "label").distinct()
+    crowded = not crowd.isEmpty()
+    if crowded:
+        facts = common.written(facts, "facts")
+    full = common.written(rest.where("not crowded").join(facts, "b"), "mixed")
     mine = lambda c, *more: [F.col(x).alias(f"{x}_{c}") for x in ("b", "label", "n", "fine", "bands", *more)]
     one = full.where("label <> usual").select("bucket", "band", *mine("x"))
     two = full.select("bucket", *mine("y", "usual"))
@@ -349,7 +399,16 @@ def _labelled(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, Dat
     near = _alike(F.col("fine_x")["odd"], F.col("fine_y")["odd"], F.col("n_x"), F.col("n_y"), percent, most_odd(percent, FINE, FINE_SKETCH))
     near &= _may_link(F.col("fine_x")["whole"], F.col("fine_y")["whole"], F.col("n_x"), F.col("n_y"), percent)
     cross = one.join(two, (one["bucket"] == two["bucket"]) & (F.col("label_x") != F.col("label_y")) & once & first_shared & near)
-    cross = common.written(cross.select(F.col("b_x").alias("a"), F.col("b_y").alias("b")), "pairs")
+    cross = cross.select(F.col("b_x").alias("a"), F.col("b_y").alias("b"))
+
+    # Crowded buckets: their members meet over rare shingles, all at once.
+    if crowded:
+        sets = _wanted(docs, crowd.withColumnRenamed("b", "class").join(known.select("class", "id"), "class"), words, "set", _sets).dropDuplicates(["class"])
+        sets = common.written(sets.withColumnRenamed("class", "b").join(crowd, "b").withColumn("n", F.size("set").cast("long")), "sets")
+        fact = lambda c, end: facts.select(F.col("b").alias(end), F.col("n").alias(f"n_{c}"), F.col("fine").alias(f"fine_{c}"))
+        rare = common.written(_rare_pairs(sets, percent), "rare")
+        cross = cross.unionByName(rare.join(fact("x", "a"), "a").join(fact("y", "b"), "b").where(near).select("a", "b"))
+    cross = common.written(cross, "pairs")
     if not cross.isEmpty():
         more = _confirmed(cross, docs, known, words, percent)
         labels = graph.components(links.unionByName(more))

@@ -58,8 +58,9 @@ def corpus(seed):
     return list(enumerate(out))
 
 
-@pytest.mark.parametrize(("seed", "words"), [(1, 2), (2, 5)])
-def test_equals_brute_force(spark, seed, words):
+@pytest.mark.parametrize(("seed", "words", "crowd"), [(1, 2, neardup.CROWD), (2, 5, neardup.CROWD), (1, 2, 0), (2, 5, 3)])
+def test_equals_brute_force(spark, monkeypatch, seed, words, crowd):
+    monkeypatch.setattr(neardup, "CROWD", crowd)
     rows = corpus(seed)
     docs = spark.createDataFrame([(i, t, "x", 0) for i, t in rows], "doc_id long, text string, class string, n int").repartition(5)
     got = sorted(tuple(r) for r in neardup.near_duplicates(docs, words=words).collect())
@@ -173,3 +174,78 @@ def test_a_large_group_makes_pairs_in_proportion(spark, monkeypatch):
         assert got == brute(rows, 2)
         totals.append(sum(made))
     assert totals[1] < 2.6 * totals[0], totals
+
+
+def family(rng, n, words, own, pairs):
+    """n texts of one template, each with words of its own in the same places; some with a near copy, which differs in one word."""
+    base = [f"b{rng.randrange(10**6)}" for _ in range(words)]
+    slots = rng.sample(range(words), own)
+    texts = []
+    for i in range(n):
+        if i % pairs == 1:
+            t = list(texts[-1])
+            t[rng.choice(slots)] = f"y{rng.randrange(10**6)}"
+        else:
+            t = list(base)
+            for k in slots:
+                t[k] = f"x{rng.randrange(10**6)}"
+        texts.append(t)
+    return [(i, " ".join(t)) for i, t in enumerate(texts)]
+
+
+def met(found):
+    """Rows that prefixes (shingle, b, short) make when joined, before any filter but the labels' sides."""
+    rows = found.toPandas()
+    return sum(int((g.label != g.usual).sum() * g.short.sum() + (g.label == g.usual).sum() * ((g.label != g.usual) & g.short).sum()) for _, g in rows.groupby("shingle"))
+
+
+def test_a_family_below_the_threshold_makes_rows_in_proportion(spark, monkeypatch):
+    """Texts of one template, alike at about 0.65, twice as many: the rows that meet grow in proportion, components are those of brute force."""
+    made, written = [], neardup.common.written
+
+    def counted(df, name):
+        out = written(df, name)
+        if name == "prefixes" and "usual" in df.columns:
+            made.append(met(out))
+        elif name == "mixed" and "fine" in df.columns:
+            made.append(out.count())
+        elif name in ("rare", "pairs"):
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(neardup.common, "written", counted)
+    totals = []
+    for n in (400, 800):
+        rows = family(random.Random(n), n, 150, 17, 10)
+        sets = [brute_set(t, 2) for _, t in rows[2:6]]
+        alike = [len(a & b) / len(a | b) for a in sets for b in sets if a is not b]
+        assert 0.55 < min(alike) and max(alike) < 0.75
+        made.clear()
+        got = sorted(tuple(r) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), words=2).collect())
+        assert got == brute(rows, 2)
+        assert len({c for _, _, c, _ in got}) < n
+        totals.append(sum(made))
+    assert 0 < totals[0] and totals[1] < 2.3 * totals[0] and totals[1] < 100 * 800, totals
+
+
+def test_prefixes_of_linked_sets_meet(spark):
+    """Every pair at the threshold shares a prefix shingle, the smaller's a short one, for sets of any sizes."""
+    rng = random.Random(8)
+    base = [rng.randrange(1 << 40) for _ in range(60)]
+    sets = [sorted(rng.sample(base, rng.randint(1, 60)) + [rng.randrange(1 << 40) for _ in range(rng.randint(0, 6))]) for _ in range(80)]
+    sets += [sorted(rng.sample(s, max(1, len(s) - rng.randint(0, 8)))) for s in sets]
+    table = spark.createDataFrame([(i, i, len(s), s) for i, s in enumerate(sets)], "b long, label long, n long, set array<long>")
+    got = {}
+    for r in neardup.prefixes(table, 80).collect():
+        got.setdefault(r["b"], set()).add((r["shingle"], r["short"]))
+    linked = 0
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets):
+            both = len(set(x) & set(y))
+            if i != j and len(x) >= len(y) and 100 * both >= 80 * (len(x) + len(y) - both):
+                linked += 1
+                assert {s for s, _ in got.get(i, ())} & {s for s, short in got.get(j, ()) if short}, (i, j)
+    assert linked > 50
+    pairs = {(r["a"], r["b"]) for r in neardup._rare_pairs(table, 80).collect()}
+    want = {(j, i) for i, x in enumerate(sets) for j, y in enumerate(sets[:i]) if 100 * len(set(x) & set(y)) >= 80 * len(set(x) | set(y))}
+    assert want <= pairs
