@@ -291,15 +291,16 @@ def _usual(rows: DataFrame, key: str) -> DataFrame:
     return most.where("labels > 1").select(key, F.col("most.label").alias("usual"), (F.col("all") - F.col("most.rows")).alias("outside"))
 
 
-def _rare_pairs(sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different labels among sets that share a rare shingle where a link's first one may lie."""
+def _rare_pairs(sets: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different labels among sets that share a rare shingle where a link's first one may lie, as sketches (b, sketch) allow."""
     found = common.written(prefixes(sets, percent), "prefixes")
-    rows = common.written(found.join(_usual(found, "shingle").drop("outside"), "shingle"), "prefixes")
-    side = lambda c: rows.select("shingle", *(F.col(x).alias(f"{x}_{c}") for x in ("b", "label", "n", "pos", "short", "usual")))
+    rows = common.written(found.join(_usual(found, "shingle").drop("outside"), "shingle").join(sketches, "b"), "prefixes")
+    side = lambda c: rows.select("shingle", *(F.col(x).alias(f"{x}_{c}") for x in ("b", "label", "n", "pos", "short", "usual", "sketch")))
     large, small = side("x"), side("y").where("short_y")
     sized = (F.col("n_x") >= F.col("n_y")) & (F.col("n_y") * 100 >= F.col("n_x") * percent)
     left = F.least(F.col("n_x") - F.col("pos_x"), F.col("n_y") - F.col("pos_y")) + 1
     fit = sized & (F.col("label_x") != F.col("label_y")) & (left * (100 + percent) >= (F.col("n_x") + F.col("n_y")) * percent)
+    fit &= _alike(F.col("sketch_x"), F.col("sketch_y"), F.col("n_x"), F.col("n_y"), percent, most_odd(percent))
     both = [(large.where("label_x <> usual_x"), small), (large.where("label_x = usual_x"), small.where("label_y <> usual_y"))]
     one, two = (x.join(y, "shingle").where(fit).select(F.least("b_x", "b_y").alias("a"), F.greatest("b_x", "b_y").alias("b")) for x, y in both)
     return one.unionByName(two).distinct()
@@ -406,7 +407,7 @@ def _labelled(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, Dat
         sets = _wanted(docs, crowd.withColumnRenamed("b", "class").join(known.select("class", "id"), "class"), words, "set", _sets).dropDuplicates(["class"])
         sets = common.written(sets.withColumnRenamed("class", "b").join(crowd, "b").withColumn("n", F.size("set").cast("long")), "sets")
         fact = lambda c, end: facts.select(F.col("b").alias(end), F.col("n").alias(f"n_{c}"), F.col("fine").alias(f"fine_{c}"))
-        rare = common.written(_rare_pairs(sets, percent), "rare")
+        rare = common.written(_rare_pairs(sets, known.select(F.col("class").alias("b"), "sketch"), percent), "rare")
         cross = cross.unionByName(rare.join(fact("x", "a"), "a").join(fact("y", "b"), "b").where(near).select("a", "b"))
     cross = common.written(cross, "pairs")
     if not cross.isEmpty():
