@@ -15,10 +15,13 @@ compared with a few of them; then, in buckets that still hold several
 components, members outside the commonest one with those of other components,
 by finer sketches first and by a bitmap of whole sets, whose exclusive or never
 has more bits than elements that differ. Where more than CROWD members are
-outside, as in a family of texts made from one template, members meet over
-shingles instead of the bucket: in the order of their frequency, rarest first,
-two sets that are linked share a shingle among the first few of both. That rules
-out no link, whatever the sizes. No link between components is left.
+outside, they first meet a few hubs of their buckets, the members that are in
+the largest buckets: of copies edited each in its own place, most are near to
+those. Who stays outside, as in a family of texts made from one template, meets
+others over shingles instead of the bucket: in the order of their frequency,
+rarest first, two sets that are linked share a shingle among the first few of
+both. That rules out no link, whatever the sizes. No link between components
+is left.
 
 Scale: texts are read twice and never shuffled whole. Sets are sent only for
 classes in some candidate pair, told by a bitmap of fixed size (a false hit
@@ -56,6 +59,9 @@ WHOLE = 4096
 CENTRES, LEAST, DEALT = 3, 2, 4
 #: Members outside a bucket's commonest component that meet all its members there.
 CROWD = 64
+#: Hubs of a bucket, in its commonest component and outside, and those that a member
+#: outside meets at most. The rest is for the steps that follow.
+HUBS, MET = 4, 8
 #: Standard deviations allowed for when a sketch rules a pair out.
 DEVIATIONS = 5
 #: Bits of the broadcast bitmap (1 MB).
@@ -291,6 +297,21 @@ def _usual(rows: DataFrame, key: str) -> DataFrame:
     return most.where("labels > 1").select(key, F.col("most.label").alias("usual"), (F.col("all") - F.col("most.rows")).alias("outside"))
 
 
+def _hub_pairs(crowd: DataFrame) -> DataFrame:
+    """Pairs (a, b) of members outside their buckets' commonest component and hubs of those buckets.
+
+    crowd has bucket, size, b, label and usual. A hub is the member in the
+    largest buckets among those that a hash deals to it.
+    """
+    weight = crowd.groupBy("b").agg(F.sum("size").alias("weight"))
+    at, own = F.pmod(F.xxhash64("b"), F.lit(HUBS)), F.col("label") == F.col("usual")
+    first = [F.max(F.when((at == k) & side, F.struct("weight", "b", "label"))) for k in range(HUBS) for side in (own, ~own)]
+    hubs = crowd.join(weight, "b").groupBy("bucket").agg(F.array_compact(F.array(*first)).alias("hubs"))
+    met = crowd.where(~own).join(hubs, "bucket").groupBy("b", "label").agg(F.array_distinct(F.flatten(F.collect_list("hubs"))).alias("hubs"))
+    few = F.slice(F.sort_array(F.filter("hubs", lambda hub: hub["label"] != F.col("label")), asc=False), 1, MET)
+    return met.select("b", F.explode(few).alias("hub")).select(F.least("b", "hub.b").alias("a"), F.greatest("b", "hub.b").alias("b")).distinct()
+
+
 def _rare_pairs(sets: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of different labels among sets that share a rare shingle where a link's first one may lie, as sketches (b, sketch) allow."""
     found = common.written(prefixes(sets, percent), "prefixes")
@@ -375,15 +396,25 @@ def _labelled(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, Dat
     dealt = F.transform(F.array_sort(F.transform("met", lambda c: F.struct(F.xxhash64("b", c).alias("at"), c.alias("c")))), lambda x: x["c"])
     few = F.array_union(F.slice(F.array_sort("met"), 1, LEAST), F.slice(dealt, 1, DEALT))
     stars = met.select("b", F.explode(few).alias("c")).select(F.least("b", "c").alias("a"), F.greatest("b", "c").alias("b")).distinct()
-    stars = common.written(stars.join(side("b"), "b").join(side("a"), "a").where(fit).select("a", "b"), "pairs")
-    links = _confirmed(stars, docs, known, words, percent)
+    fitting = lambda pairs: common.written(pairs.join(side("b"), "b").join(side("a"), "a").where(fit).select("a", "b"), "pairs")
+    links = _confirmed(fitting(stars), docs, known, words, percent)
     labels = graph.components(links)
 
-    # Buckets whose members are not one component: those outside the commonest
-    # one against all of other components, each pair in the first bucket that it shares.
-    told = members.join(labels.withColumnRenamed("node", "b"), "b", "left").select("bucket", "band", "b", F.coalesce("label", "b").alias("label"))
-    mixed = _usual(told, "bucket").withColumn("crowded", F.col("outside") > CROWD).drop("outside")
-    rest = common.written(told.join(mixed, "bucket"), "mixed")
+    # Buckets whose members are not one component. Where many are outside the
+    # commonest one, they meet its hubs and some of their own first.
+    def mixed_buckets(labels: DataFrame) -> DataFrame:
+        told = members.join(labels.withColumnRenamed("node", "b"), "b", "left").select("bucket", "band", "size", "b", F.coalesce("label", "b").alias("label"))
+        mixed = _usual(told, "bucket").withColumn("crowded", F.col("outside") > CROWD).drop("outside")
+        return common.written(told.join(mixed, "bucket"), "mixed")
+
+    rest = mixed_buckets(labels)
+    found = fitting(_hub_pairs(rest.where("crowded")))
+    if not found.isEmpty():
+        links = links.unionByName(_confirmed(found, docs, known, words, percent))
+        labels = graph.components(links)
+        rest = mixed_buckets(labels)
+
+    # Those still outside against all of other components, each pair in the first bucket that it shares.
     wanted = rest.select(F.col("b").alias("class")).distinct().join(known.select("class", "id", "n", "bands"), "class")
     finer = _wanted(docs, wanted.select("class", "id"), words, "fine", _finer, _FINER).dropDuplicates(["class"])
     facts = finer.join(wanted.select("class", "n", "bands"), "class").withColumnRenamed("class", "b")

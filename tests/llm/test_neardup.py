@@ -249,3 +249,39 @@ def test_prefixes_of_linked_sets_meet(spark):
     pairs = {(r["a"], r["b"]) for r in neardup._rare_pairs(table, table.selectExpr("b", "array_repeat(0L, 16) AS sketch"), 80).collect()}
     want = {(j, i) for i, x in enumerate(sets) for j, y in enumerate(sets[:i]) if 100 * len(set(x) & set(y)) >= 80 * len(set(x) | set(y))}
     assert want <= pairs
+
+
+def test_members_outside_meet_hubs_of_their_buckets(spark):
+    """Each member outside meets at most MET hubs, the heaviest first, never of its own component; without a crowd there are none."""
+    rows = [(k, 10 + (b < 40) * k, b, 0 if b < 100 else b // 2, 0) for k in range(5) for b in range(160) if b < 40 or (b + k) % 2]
+    names = "bucket long, size long, b long, label long, usual long"
+    pairs = [tuple(r) for r in neardup._hub_pairs(spark.createDataFrame(rows, names)).collect()]
+    label = {b: at for _, _, b, at, _ in rows}
+    assert len(set(pairs)) == len(pairs) and all(a < b and label[a] != label[b] for a, b in pairs)
+    outside = {b for b in label if label[b]}
+    assert {b for _, b in pairs} >= outside and len(pairs) <= neardup.MET * len(outside)
+    hubs = {a for a, _ in pairs if label[a] == 0}
+    assert 0 < len(hubs) <= neardup.HUBS and max(hubs) < 40
+    assert neardup._hub_pairs(spark.createDataFrame([], names)).count() == 0
+
+
+def test_copies_at_the_threshold_are_linked_as_by_brute_force(spark, monkeypatch):
+    """Copies each edited in its own places until about half are linked with few others, in crowded buckets."""
+    rng, seen, written = random.Random(31), [], neardup.common.written
+
+    def counted(df, name):
+        seen.append(name)
+        return written(df, name)
+
+    monkeypatch.setattr(neardup.common, "written", counted)
+    monkeypatch.setattr(neardup, "CROWD", 8)
+    base = [f"b{rng.randrange(10**6)}" for _ in range(120)]
+    rows = []
+    for i in range(300):
+        t = list(base)
+        for k in rng.sample(range(len(t)), rng.randint(4, 16)):
+            t[k] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(t)))
+    got = sorted(tuple(r) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), words=2).collect())
+    assert got == brute(rows, 2)
+    assert 1 < len({c for _, _, c, _ in got}) < 300 and seen.count("mixed") >= 2
