@@ -9,7 +9,9 @@ always meet in one bucket. Consecutive windows with one anchor form a run; its
 units, from the first window's beginning to the last one's end, are its context.
 
 1. Map: every document's runs, as (anchor, hash of the context, place). Runs
-   with equal contexts in one flush are folded into the first of them.
+   with equal contexts in one flush are folded into the first of them. Anchors
+   are told apart by 63 bits: least hashes crowd at the low end, so that with
+   32 bits many runs of 6 GB of text shared a bucket by chance.
 2. Reduce by anchor: contexts that occur once in a bucket of one are done, as
    are repeats of a whole context. Of each other bucket the first run of every
    different context is asked for; these representatives stand for the rest.
@@ -46,7 +48,7 @@ HOT = 2048
 HELD = 100_000
 _PLACE = np.uint64((1 << 28) - 1)
 
-_RUN = [("anchor", np.uint32), ("context", np.uint64), ("key", np.int64), ("mark", np.int64), ("start", np.int32), ("count", np.uint16), ("offset", np.uint16), ("many", np.uint8)]
+_RUN = [("anchor", np.uint64), ("context", np.uint64), ("key", np.int64), ("mark", np.int64), ("start", np.int32), ("count", np.uint16), ("offset", np.uint16), ("many", np.uint8)]
 SPAN = "key long, mark long, start int, stop int"
 _FOUND = f"{SPAN}, bucket long, count int, many int, apart boolean"
 
@@ -85,7 +87,7 @@ def runs(codes: np.ndarray, first: np.ndarray, length: int, gram: int) -> tuple[
     offset = anchor - begin
     context = roll.slices(begin, begin + count + length - 1)
     context = common.mix(context + offset.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    return doc, {"anchor": (grams[anchor] >> np.uint64(32)).astype(np.uint32), "context": context, "start": (begin - first[doc]).astype(np.int32), "count": count.astype(np.uint16), "offset": offset.astype(np.uint16)}
+    return doc, {"anchor": grams[anchor] >> np.uint64(1), "context": context, "start": (begin - first[doc]).astype(np.int32), "count": count.astype(np.uint16), "offset": offset.astype(np.uint16)}
 
 
 def _folded(r: Runs, keep_first: bool, length: int) -> tuple[Runs, tuple[np.ndarray, ...]]:
@@ -167,7 +169,7 @@ def find(docs: DataFrame, units: Callable, context: Callable, resolve: Callable,
             r = {name: np.concatenate([h[name] for h in held]) for name, _ in _RUN}
             r, spans = _folded(r, keep_first, length)
             out_part, out_blob = [], []
-            part = r["anchor"] % np.uint32(parts)
+            part = r["anchor"] % np.uint64(parts)
             order = np.argsort(part, kind="stable")
             ends = np.searchsorted(part[order], np.arange(parts + 1))
             for p in range(parts):
@@ -195,7 +197,7 @@ def find(docs: DataFrame, units: Callable, context: Callable, resolve: Callable,
             yield from flush()
 
     def compare(rows: pa.Table) -> pa.Table:
-        part, kind, blobs = rows.column("part")[0].as_py(), rows.column("kind").to_numpy(), rows.column("blob").to_pylist()
+        kind, blobs = rows.column("kind").to_numpy(), rows.column("blob").to_pylist()
         sure = [np.frombuffer(b, np.int64).reshape(4, -1) for b, k in zip(blobs, kind, strict=True) if k]
         r, spans = _folded(_unpack([b for b, k in zip(blobs, kind, strict=True) if not k]), keep_first, length)
         key, mark, start, stop = (np.concatenate([s, *(x[i] for x in sure)]) for i, s in enumerate(spans))
@@ -219,7 +221,7 @@ def find(docs: DataFrame, units: Callable, context: Callable, resolve: Callable,
                 "mark": pa.array(np.concatenate((mark, ask["mark"])), pa.int64()),
                 "start": pa.array(start_all, pa.int32()),
                 "stop": pa.array(np.concatenate((stop, ask["start"].astype(np.int64) + ask["count"] + (length - 1))), pa.int32()),
-                "bucket": pa.array(np.concatenate((np.full(n, -1), ask["anchor"].astype(np.int64) * parts + part)), pa.int64()),
+                "bucket": pa.array(np.concatenate((np.full(n, -1), ask["anchor"].astype(np.int64))), pa.int64()),
                 "count": pa.array(np.concatenate((np.zeros(n, np.int32), ask["count"])), pa.int32()),
                 "many": pa.array(np.concatenate((np.zeros(n, np.int32), ask["many"])), pa.int32()),
                 "apart": pa.array(np.concatenate((np.zeros(n, bool), apart))),
@@ -309,8 +311,8 @@ def find(docs: DataFrame, units: Callable, context: Callable, resolve: Callable,
         spans = known[0], known[1], known[2].astype(np.int64), known[2].astype(np.int64) + known[3]
         return _span_rows(joined(*(np.concatenate(x) for x in zip(spans, found, strict=True))))
 
-    unique = docs.select("key", "mark", "text").join(asked, ["key", "mark"])
-    fetched = unique.mapInArrow(fetch, "block int, key long, mark long, start int, bucket long, count int, many int, context binary")
+    # All columns of docs, so that with_spans joins the same exchange of the texts.
+    fetched = docs.join(asked, ["key", "mark"]).mapInArrow(fetch, "block int, key long, mark long, start int, bucket long, count int, many int, context binary")
     return sure.unionByName(fetched.groupBy("block").applyInArrow(decide, SPAN))
 
 

@@ -4,7 +4,7 @@ import random
 import numpy as np
 import pytest
 
-from millrace.llm import common, passages, substrings
+from millrace.llm import common, passages, repeats, substrings
 
 
 def corpus(seed):
@@ -181,3 +181,30 @@ def test_texts_of_megabytes(spark, tmp_path):
 def test_span_union():
     doc, a, b = common.merged(np.array([1, 0, 0, 1, 0]), np.array([5, 0, 3, 0, 9]), np.array([9, 4, 6, 5, 12]))
     assert list(zip(doc, a, b, strict=True)) == [(0, 0, 6), (0, 9, 12), (1, 0, 9)]
+
+
+def test_different_grams_have_different_anchors():
+    """Text without repeats asks for no context: no two of its runs are in one bucket, however many they are."""
+    data = np.random.default_rng(4).integers(0, 256, 8 << 20, dtype=np.uint8)
+    doc, made = repeats.runs(common.byte_values(data), np.array([0, len(data)]), substrings.LENGTH, substrings.GRAM)
+    assert len(doc) > 200_000 and len(np.unique(made["anchor"])) == len(doc)
+    assert made["anchor"].astype(np.int64).min() >= 0  # a bucket below 0 is none
+
+
+def test_texts_are_shuffled_once(spark, tmp_path):
+    """The join that fetches contexts and the one that gathers spans read one exchange of the texts, with equal results."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    lines = [" ".join(word() for _ in range(40)) for _ in range(30)]
+    rows = [(i, " ".join([word(), rng.choice(lines), word(), rng.choice(lines)])) for i in range(60)]
+    table(spark, rows, tmp_path)
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for query, brute, length in ((substrings.op3_suffix_dedup, brute_bytes, substrings.LENGTH), (passages.op7_substring_dedup, brute_words, passages.LENGTH)):
+            out = query(spark, str(tmp_path))
+            assert {r[0]: tuple(r)[1:] for r in out.collect()} == brute(rows, length)
+            ran = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+            assert ran.count("SortMergeJoin") == 2 and ran.count("ReusedExchange") == 1, ran
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
