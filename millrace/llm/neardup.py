@@ -62,6 +62,8 @@ CROWD = 64
 #: Hubs of a bucket, in its commonest component and outside, and those that a member
 #: outside meets at most. The rest is for the steps that follow.
 HUBS, MET = 4, 8
+#: Shingles whose counts order the others (4 MB of broadcast), and those counted at once in a task.
+RANKED, COUNTED = 1 << 18, 1 << 21
 #: Standard deviations allowed for when a sketch rules a pair out.
 DEVIATIONS = 5
 #: Bits of the broadcast bitmap (1 MB).
@@ -271,23 +273,78 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, known: DataFrame, words: int,
     return common.written(both.where(shared * 100 >= (F.size("set_a") + F.size("set_b") - shared) * percent).select("a", "b"), "links")
 
 
+def _held_often(sets: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
+    """(least, shingles in order, how many sets each is in): all shingles in at least `least` sets, at most RANKED of them.
+
+    Sets are counted within tasks, so what most sets of a task share is one row there.
+    """
+
+    def run(batches):
+        held, size = [], 0
+
+        def counted():
+            code, rows = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(code, pa.int64()), pa.array(rows, pa.int64())], ["shingle", "sets"])
+
+        for batch in batches:
+            held.append(batch.column("set").flatten().to_numpy())
+            size += len(held[-1])
+            if size >= COUNTED:
+                yield counted()
+                held, size = [], 0
+        if size:
+            yield counted()
+
+    each = sets.select("set").mapInArrow(run, "shingle long, sets long").groupBy("shingle").agg(F.sum("sets").alias("sets"))
+    each = common.written(each.where("sets > 1"), "held").withColumn("power", F.floor(F.log2("sets")))
+    least, total = 1 << 62, 0
+    for power, shingles_ in sorted(each.groupBy("power").agg(F.count("*")).collect(), reverse=True):
+        total += shingles_
+        if total > RANKED:
+            break
+        least = 1 << power
+    often = each.where(F.col("sets") >= least).select("shingle", "sets").toArrow()
+    code, rows = often.column("shingle").to_numpy(), often.column("sets").to_numpy()
+    order = np.argsort(code)
+    return (2 if total <= RANKED else least), code[order], rows[order]
+
+
 def prefixes(sets: DataFrame, percent: int) -> DataFrame:
     """The rarest shingles of sets (b, label, n, set), a row each: shingle, b, label, n, pos, short.
 
-    pos counts from 1 in the order of how many sets have a shingle, those of one
-    set alone (left out of the rows) first. A partner that is no larger shares at
+    pos counts from 1 in the order of how many sets have a shingle, as far as
+    that is among the RANKED largest counts, the others before them by value; any
+    order that all sets keep is exact. Those of one set alone are left out of the
+    rows where all counts are known. A partner that is no larger shares at
     least percent / 100 of n, one that is no smaller 2 * percent / (100 + percent)
     of it, so the first shingle in common lies in a prefix of the rest and one
     more; short says that it is in the second, shorter one.
     """
-    each = sets.select("b", F.explode("set").alias("shingle"))
-    shared = each.groupBy("shingle").agg(F.count("*").alias("sets")).where("sets > 1")
-    ranked = each.join(shared, "shingle").groupBy("b").agg(F.array_sort(F.collect_list(F.struct("sets", "shingle"))).alias("ranked"))
-    at = ranked.join(sets.select("b", "label", "n"), "b").withColumn("own", F.col("n") - F.size("ranked"))
-    reach = f"n - (n * {percent} + 99) div 100 + 1"
-    rows = at.select("b", "label", "n", "own", F.posexplode(F.expr(f"slice(ranked, 1, cast(greatest(0, {reach} - own) AS int))")))
-    pos = rows.select("col.shingle", "b", "label", "n", F.expr("own + pos + 1").alias("pos"))
-    return pos.withColumn("short", F.expr(f"pos <= n - (2 * n * {percent} + {99 + percent}) div {100 + percent} + 1"))
+    least, code, rows = _held_often(sets)
+    often = sets.sparkSession.sparkContext.broadcast((code, rows))
+
+    def run(batches):
+        code, rows = often.value
+        for batch in batches:
+            listed = batch.column("set")
+            n = listed.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            shingle, row = listed.flatten().to_numpy(), np.repeat(np.arange(len(n)), n)
+            held = np.zeros(len(shingle), np.int64)
+            if len(code):
+                at = np.minimum(np.searchsorted(code, shingle), len(code) - 1)
+                held = np.where(code[at] == shingle, rows[at], 0)
+            order = np.lexsort((shingle, held, row))
+            pos = common.ranges(np.ones(len(n), np.int64), n)
+            reach = n - (n * percent + 99) // 100 + 1
+            keep = pos <= reach[row]
+            if least == 2:
+                keep &= held[order] > 0
+            row, pos, shingle = row[keep], pos[keep], shingle[order][keep]
+            short = pos <= (n - (2 * n * percent + 99 + percent) // (100 + percent) + 1)[row]
+            whose = [batch.column(c).take(pa.array(row)) for c in ("b", "label", "n")]
+            yield pa.RecordBatch.from_arrays([pa.array(shingle, pa.int64()), *whose, pa.array(pos, pa.int64()), pa.array(short)], ["shingle", "b", "label", "n", "pos", "short"])
+
+    return sets.select("b", "label", "n", "set").mapInArrow(run, "shingle long, b long, label long, n long, pos long, short boolean")
 
 
 def _usual(rows: DataFrame, key: str) -> DataFrame:
@@ -397,8 +454,8 @@ def _labelled(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, Dat
     few = F.array_union(F.slice(F.array_sort("met"), 1, LEAST), F.slice(dealt, 1, DEALT))
     stars = met.select("b", F.explode(few).alias("c")).select(F.least("b", "c").alias("a"), F.greatest("b", "c").alias("b")).distinct()
     fitting = lambda pairs: common.written(pairs.join(side("b"), "b").join(side("a"), "a").where(fit).select("a", "b"), "pairs")
-    links = _confirmed(fitting(stars), docs, known, words, percent)
-    labels = graph.components(links)
+    labels = graph.components(_confirmed(fitting(stars), docs, known, words, percent))
+    starred = lambda labels: labels.select(F.col("node").alias("a"), F.col("label").alias("b"))  # noqa: E731  components known so far, as links
 
     # Buckets whose members are not one component. Where many are outside the
     # commonest one, they meet its hubs and some of their own first.
@@ -410,8 +467,7 @@ def _labelled(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, Dat
     rest = mixed_buckets(labels)
     found = fitting(_hub_pairs(rest.where("crowded")))
     if not found.isEmpty():
-        links = links.unionByName(_confirmed(found, docs, known, words, percent))
-        labels = graph.components(links)
+        labels = graph.components(starred(labels).unionByName(_confirmed(found, docs, known, words, percent)))
         rest = mixed_buckets(labels)
 
     # Those still outside against all of other components, each pair in the first bucket that it shares.
@@ -443,7 +499,7 @@ def _labelled(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, Dat
     cross = common.written(cross, "pairs")
     if not cross.isEmpty():
         more = _confirmed(cross, docs, known, words, percent)
-        labels = graph.components(links.unionByName(more))
+        labels = graph.components(starred(labels).unionByName(more))
 
     named = known.select("class", "id").join(labels.withColumnRenamed("node", "class"), "class", "left").select("class", "id", F.coalesce("label", "class").alias("label"))
     return every, named

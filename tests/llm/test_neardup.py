@@ -285,3 +285,38 @@ def test_copies_at_the_threshold_are_linked_as_by_brute_force(spark, monkeypatch
     got = sorted(tuple(r) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), words=2).collect())
     assert got == brute(rows, 2)
     assert 1 < len({c for _, _, c, _ in got}) < 300 and seen.count("mixed") >= 2
+
+
+@pytest.mark.parametrize("ranked", [neardup.RANKED, 30, 0])
+def test_sets_are_counted_before_their_shingles_are_rows(spark, monkeypatch, ranked):
+    """Prefixes take no set apart into a row for each shingle, and meet for all linked pairs however few counts order them."""
+    monkeypatch.setattr(neardup, "RANKED", ranked)
+    rng = random.Random(17)
+    base = rng.sample(range(1 << 40), 200)
+    sets = []
+    for i in range(300):
+        new = rng.randint(0, 30)
+        sets.append(sorted(base[new:] + [rng.randrange(1 << 40) for _ in range(new)]))
+    table = spark.createDataFrame([(i, i, len(x), x) for i, x in enumerate(sets)], "b long, label long, n long, set array<long>").repartition(2)
+    made, written = [], neardup.common.written
+
+    def counted(df, name):
+        made.append(df._jdf.queryExecution().executedPlan().toString())
+        return written(df, name)
+
+    monkeypatch.setattr(neardup.common, "written", counted)
+    found = neardup.prefixes(table, 80)
+    made.append(found._jdf.queryExecution().executedPlan().toString())
+    assert len(made) == 2 and not any("Generate" in plan or "Join" in plan for plan in made), made
+    got = {}
+    for r in found.collect():
+        got.setdefault(r["b"], set()).add((r["shingle"], r["short"]))
+    assert sum(map(len, got.values())) <= sum(len(x) - (len(x) * 80 + 99) // 100 + 1 for x in sets)
+    linked = 0
+    for i, x in enumerate(map(set, sets)):
+        for j, y in enumerate(sets):
+            both = len(x.intersection(y))
+            if i != j and len(x) >= len(y) and 100 * both >= 80 * (len(x) + len(y) - both):
+                linked += 1
+                assert {s for s, _ in got.get(i, ())} & {s for s, short in got.get(j, ()) if short}, (i, j)
+    assert linked > 1000
