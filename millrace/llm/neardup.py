@@ -64,10 +64,12 @@ CROWD = 64
 HUBS, MET = 4, 8
 #: Shingles whose counts order the others (4 MB of broadcast), and those counted at once in a task.
 RANKED, COUNTED = 1 << 18, 1 << 21
+#: Rarer shingles that a row of a prefix names at most, so that a pair which shares one of them meets there only.
+RARER = 32
 #: Standard deviations allowed for when a sketch rules a pair out.
 DEVIATIONS = 5
-#: Bits of the broadcast bitmap (1 MB).
-BITMAP = 1 << 23
+#: Bits of the broadcast bitmap (4 MB).
+BITMAP = 1 << 25
 
 _random = np.random.default_rng(20)
 _XOR = _random.integers(0, 1 << 32, FINE, dtype=np.uint32)
@@ -201,12 +203,14 @@ def _first_rows(keys: Iterable) -> np.ndarray:
     return np.fromiter(seen.values(), np.int64, len(seen))
 
 
-def _wanted(docs: DataFrame, wanted: DataFrame, words: int, name: str, make, kind: str = "array<long>") -> DataFrame:
-    """(class, name), a row each, of the classes in wanted (class, id): make(codes, first), from a document of that id.
+def _wanted(docs: DataFrame, ids: DataFrame, words: int, name: str, make, kind: str = "array<long>") -> DataFrame:
+    """(class, name), a row each, of the classes that have documents of these ids, and of a few more: make(codes, first).
 
-    A null id is found as any other; the class stands for it in the join.
+    A false hit of the bitmap gives a class that no one asked for; joins by
+    class leave it out. Copies are told by size too, so that those joins deal
+    the rows anew and adaptive execution can split them.
     """
-    bits = docs.sparkSession.sparkContext.broadcast(_bitmap(wanted.select("id")))
+    bits = docs.sparkSession.sparkContext.broadcast(_bitmap(ids.select("id")))
     rows = common.doc_rows(docs).withColumn("_place", F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP)))
 
     def run(batches):
@@ -217,14 +221,12 @@ def _wanted(docs: DataFrame, wanted: DataFrame, words: int, name: str, make, kin
             codes, first = shingles(batch.column("text"), words) if batch.num_rows else (np.zeros(0, np.uint64), np.zeros(1, np.int64))
             some = np.diff(first) > 0
             if some.any():
-                batch, first = batch.filter(pa.array(some)), np.concatenate((first[:-1][some], first[-1:]))
-                named = pa.array(classes(codes, first), pa.int64())
-                one = pa.array(_first_rows(zip(batch.column("doc_id").to_pylist(), named.to_pylist(), strict=True)))
-                made = pa.RecordBatch.from_arrays([pc.coalesce(batch.column("doc_id"), named), named, make(codes, first)], ["id", "class", name])
-                yield made.take(one)
+                first = np.concatenate((first[:-1][some], first[-1:]))
+                named = classes(codes, first)
+                made = pa.RecordBatch.from_arrays([pa.array(named), pa.array(np.diff(first)), make(codes, first)], ["class", "size", name])
+                yield made.take(pa.array(_first_rows(named.tolist())))
 
-    wanted = wanted.select("class", F.coalesce("id", "class").alias("id"))
-    return rows.mapInArrow(run, f"id long, class long, {name} {kind}").join(wanted, ["class", "id"]).dropDuplicates(["class", "id"]).select("class", name)
+    return rows.mapInArrow(run, f"class long, size long, {name} {kind}").dropDuplicates(["class", "size"]).select("class", name)
 
 
 def _sets(codes: np.ndarray, first: np.ndarray) -> pa.Array:
@@ -262,11 +264,10 @@ def _alike(sketch: Column, other: Column, n: Column, m: Column, percent: int, mo
     return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (_differing(sketch, other) <= most)
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, known: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes that are linked by their full sets."""
-    ends = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
-    wanted = ends.join(known.select("class", "id"), "class")
-    sets = _wanted(docs, wanted, words, "set", _sets)
+def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes, with documents id_a and id_b, that are linked by their full sets."""
+    ids = pairs.select(F.col("id_a").alias("id")).unionByName(pairs.select(F.col("id_b").alias("id")))
+    sets = _wanted(docs, ids, words, "set", _sets)
     left = pairs.join(sets.select(F.col("class").alias("b"), F.col("set").alias("set_b")), "b")
     both = left.join(sets.select(F.col("class").alias("a"), F.col("set").alias("set_a")), "a")
     shared = F.size(F.array_intersect("set_a", "set_b"))
@@ -310,7 +311,7 @@ def _held_often(sets: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
 
 
 def prefixes(sets: DataFrame, percent: int) -> DataFrame:
-    """The rarest shingles of sets (b, label, n, set), a row each: shingle, b, label, n, pos, short.
+    """The rarest shingles of sets (b, label, n, set and more), a row each: shingle, pos, short, rarer and the sets' other columns.
 
     pos counts from 1 in the order of how many sets have a shingle, as far as
     that is among the RANKED largest counts, the others before them by value; any
@@ -318,8 +319,12 @@ def prefixes(sets: DataFrame, percent: int) -> DataFrame:
     rows where all counts are known. A partner that is no larger shares at
     least percent / 100 of n, one that is no smaller 2 * percent / (100 + percent)
     of it, so the first shingle in common lies in a prefix of the rest and one
-    more; short says that it is in the second, shorter one.
+    more; short says that it is in the second, shorter one. rarer has the first
+    RARER shingles before this one.
     """
+    own = [field for field in sets.schema.fields if field.name != "set"]
+    schema = T.StructType([*own, *(T.StructField(x, T.LongType()) for x in ("shingle", "pos")), T.StructField("short", T.BooleanType()), T.StructField("rarer", T.ArrayType(T.LongType()))])
+    most, names = RARER, [field.name for field in own]
     least, code, rows = _held_often(sets)
     often = sets.sparkSession.sparkContext.broadcast((code, rows))
 
@@ -341,10 +346,14 @@ def prefixes(sets: DataFrame, percent: int) -> DataFrame:
                 keep &= held[order] > 0
             row, pos, shingle = row[keep], pos[keep], shingle[order][keep]
             short = pos <= (n - (2 * n * percent + 99 + percent) // (100 + percent) + 1)[row]
-            whose = [batch.column(c).take(pa.array(row)) for c in ("b", "label", "n")]
-            yield pa.RecordBatch.from_arrays([pa.array(shingle, pa.int64()), *whose, pa.array(pos, pa.int64()), pa.array(short)], ["shingle", "b", "label", "n", "pos", "short"])
+            begin = np.searchsorted(row, row)
+            before = np.minimum(np.arange(len(row)) - begin, most)
+            ends = np.concatenate(([0], np.cumsum(before)))
+            rarer = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(shingle[common.ranges(begin, before)], pa.int64()))
+            whose = [batch.column(c).take(pa.array(row)) for c in names]
+            yield pa.RecordBatch.from_arrays([*whose, pa.array(shingle, pa.int64()), pa.array(pos, pa.int64()), pa.array(short), rarer], schema.names)
 
-    return sets.select("b", "label", "n", "set").mapInArrow(run, "shingle long, b long, label long, n long, pos long, short boolean")
+    return sets.select(*names, "set").mapInArrow(run, schema)
 
 
 def _usual(rows: DataFrame, key: str) -> DataFrame:
@@ -369,15 +378,21 @@ def _hub_pairs(crowd: DataFrame) -> DataFrame:
     return met.select("b", F.explode(few).alias("hub")).select(F.least("b", "hub.b").alias("a"), F.greatest("b", "hub.b").alias("b")).distinct()
 
 
-def _rare_pairs(sets: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different labels among sets that share a rare shingle where a link's first one may lie, as sketches (b, sketch) allow."""
+def _rare_pairs(sets: DataFrame, sketches: DataFrame | None, percent: int) -> DataFrame:
+    """Pairs (a, b) of different labels among sets that share a rare shingle where a link's first one may lie, as sketches allow.
+
+    sketches has b and sketch, unless sets have them. A pair meets at the first
+    shingle that it shares, as far as the rows name those before.
+    """
     found = common.written(prefixes(sets, percent), "prefixes")
-    rows = common.written(found.join(_usual(found, "shingle").drop("outside"), "shingle").join(sketches, "b"), "prefixes")
-    side = lambda c: rows.select("shingle", *(F.col(x).alias(f"{x}_{c}") for x in ("b", "label", "n", "pos", "short", "usual", "sketch")))
+    rows = found.join(_usual(found, "shingle").drop("outside"), "shingle")
+    rows = common.written(rows if sketches is None else rows.join(sketches, "b"), "prefixes")
+    side = lambda c: rows.select("shingle", *(F.col(x).alias(f"{x}_{c}") for x in ("b", "label", "n", "pos", "short", "rarer", "usual", "sketch")))
     large, small = side("x"), side("y").where("short_y")
-    sized = (F.col("n_x") >= F.col("n_y")) & (F.col("n_y") * 100 >= F.col("n_x") * percent)
+    sized = ((F.col("n_x") > F.col("n_y")) | (F.col("n_x") == F.col("n_y")) & (F.col("b_x") < F.col("b_y"))) & (F.col("n_y") * 100 >= F.col("n_x") * percent)
     left = F.least(F.col("n_x") - F.col("pos_x"), F.col("n_y") - F.col("pos_y")) + 1
     fit = sized & (F.col("label_x") != F.col("label_y")) & (left * (100 + percent) >= (F.col("n_x") + F.col("n_y")) * percent)
+    fit &= ~F.arrays_overlap("rarer_x", "rarer_y")
     fit &= _alike(F.col("sketch_x"), F.col("sketch_y"), F.col("n_x"), F.col("n_y"), percent, most_odd(percent))
     both = [(large.where("label_x <> usual_x"), small), (large.where("label_x = usual_x"), small.where("label_y <> usual_y"))]
     one, two = (x.join(y, "shingle").where(fit).select(F.least("b_x", "b_y").alias("a"), F.greatest("b_x", "b_y").alias("b")) for x, y in both)
@@ -438,7 +453,7 @@ def one_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Dat
 def _labelled(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """(signatures of all rows; class, id and label of each class with shingles, one label for a component)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    every = common.written(signatures(docs, words).hint("rebalance"), "signatures")  # few files of even size
+    every = common.written(signatures(docs, words), "signatures")
     some = every.where("n_shingles > 0")
     known = common.written(some.groupBy("class").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")), "classes")
 
@@ -447,39 +462,42 @@ def _labelled(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, Dat
     centres = F.array_distinct(F.array(F.min("b"), *(F.min_by("b", F.xxhash64("b", F.lit(k))) for k in range(1, CENTRES))))
     heads = member.groupBy("bucket").agg(centres.alias("centres"), F.count("*").alias("size")).where("size > 1")
     members = common.written(member.join(heads, "bucket"), "members")
-    side = lambda c: known.select(F.col("class").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}"))
+    side = lambda c: known.select(F.col("class").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in ("id", "n", "sketch")))
     fit = _alike(F.col("sketch_a"), F.col("sketch_b"), F.col("n_a"), F.col("n_b"), percent, most_odd(percent))
     met = members.select("b", F.explode("centres").alias("c")).where("c <> b").groupBy("b").agg(F.collect_set("c").alias("met"))
     dealt = F.transform(F.array_sort(F.transform("met", lambda c: F.struct(F.xxhash64("b", c).alias("at"), c.alias("c")))), lambda x: x["c"])
     few = F.array_union(F.slice(F.array_sort("met"), 1, LEAST), F.slice(dealt, 1, DEALT))
-    stars = met.select("b", F.explode(few).alias("c")).select(F.least("b", "c").alias("a"), F.greatest("b", "c").alias("b")).distinct()
-    fitting = lambda pairs: common.written(pairs.join(side("b"), "b").join(side("a"), "a").where(fit).select("a", "b"), "pairs")
-    labels = graph.components(_confirmed(fitting(stars), docs, known, words, percent))
+    stars = met.select(F.col("b").alias("a"), F.explode(few).alias("b"))
+    ends = lambda x, y: F.when(F.col("a") < F.col("b"), F.col(x)).otherwise(F.col(y))
+    ordered = [ends("a", "b").alias("a"), ends("b", "a").alias("b"), ends("id_a", "id_b").alias("id_a"), ends("id_b", "id_a").alias("id_b")]
+    fitting = lambda pairs: pairs.join(side("a"), "a").join(side("b"), "b").where(fit).select(*ordered)
+    labels = graph.components(_confirmed(common.written(fitting(stars).distinct(), "pairs"), docs, words, percent))
     starred = lambda labels: labels.select(F.col("node").alias("a"), F.col("label").alias("b"))  # noqa: E731  components known so far, as links
 
     # Buckets whose members are not one component. Where many are outside the
     # commonest one, they meet its hubs and some of their own first.
-    def mixed_buckets(labels: DataFrame) -> DataFrame:
-        told = members.join(labels.withColumnRenamed("node", "b"), "b", "left").select("bucket", "band", "size", "b", F.coalesce("label", "b").alias("label"))
+    def mixed_buckets(rows: DataFrame, labels: DataFrame) -> DataFrame:
+        told = rows.select("bucket", "band", "size", "b").join(labels.withColumnRenamed("node", "b"), "b", "left").withColumn("label", F.coalesce("label", "b"))
         mixed = _usual(told, "bucket").withColumn("crowded", F.col("outside") > CROWD).drop("outside")
         return common.written(told.join(mixed, "bucket"), "mixed")
 
-    rest = mixed_buckets(labels)
-    found = fitting(_hub_pairs(rest.where("crowded")))
+    rest = mixed_buckets(members, labels)
+    found = common.written(fitting(_hub_pairs(rest.where("crowded"))), "pairs")
     if not found.isEmpty():
-        labels = graph.components(starred(labels).unionByName(_confirmed(found, docs, known, words, percent)))
-        rest = mixed_buckets(labels)
+        labels = graph.components(starred(labels).unionByName(_confirmed(found, docs, words, percent)))
+        rest = mixed_buckets(rest, labels)
 
     # Those still outside against all of other components, each pair in the first bucket that it shares.
-    wanted = rest.select(F.col("b").alias("class")).distinct().join(known.select("class", "id", "n", "bands"), "class")
-    finer = _wanted(docs, wanted.select("class", "id"), words, "fine", _finer, _FINER).dropDuplicates(["class"])
-    facts = finer.join(wanted.select("class", "n", "bands"), "class").withColumnRenamed("class", "b")
-    crowd = rest.where("crowded").select("b", "label").distinct()
+    wanted = rest.groupBy(F.col("b").alias("class")).agg(F.min("label").alias("label"), F.max("crowded").alias("crowded"))
+    wanted = common.written(wanted.join(known, "class"), "wanted")
+    finer = _wanted(docs, wanted, words, "fine", _finer, _FINER)
+    facts = finer.join(wanted.select("class", "id", "n", "bands"), "class").withColumnRenamed("class", "b")
+    crowd = wanted.where("crowded")
     crowded = not crowd.isEmpty()
     if crowded:
         facts = common.written(facts, "facts")
     full = common.written(rest.where("not crowded").join(facts, "b"), "mixed")
-    mine = lambda c, *more: [F.col(x).alias(f"{x}_{c}") for x in ("b", "label", "n", "fine", "bands", *more)]
+    mine = lambda c, *more: [F.col(x).alias(f"{x}_{c}") for x in ("b", "id", "label", "n", "fine", "bands", *more)]
     one = full.where("label <> usual").select("bucket", "band", *mine("x"))
     two = full.select("bucket", *mine("y", "usual"))
     first_shared = F.array_position(F.zip_with("bands_x", "bands_y", lambda x, y: x == y), True) == F.col("band") + 1
@@ -487,18 +505,18 @@ def _labelled(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, Dat
     near = _alike(F.col("fine_x")["odd"], F.col("fine_y")["odd"], F.col("n_x"), F.col("n_y"), percent, most_odd(percent, FINE, FINE_SKETCH))
     near &= _may_link(F.col("fine_x")["whole"], F.col("fine_y")["whole"], F.col("n_x"), F.col("n_y"), percent)
     cross = one.join(two, (one["bucket"] == two["bucket"]) & (F.col("label_x") != F.col("label_y")) & once & first_shared & near)
-    cross = cross.select(F.col("b_x").alias("a"), F.col("b_y").alias("b"))
+    cross = cross.select(F.col("b_x").alias("a"), F.col("b_y").alias("b"), F.col("id_x").alias("id_a"), F.col("id_y").alias("id_b"))
 
     # Crowded buckets: their members meet over rare shingles, all at once.
     if crowded:
-        sets = _wanted(docs, crowd.withColumnRenamed("b", "class").join(known.select("class", "id"), "class"), words, "set", _sets).dropDuplicates(["class"])
-        sets = common.written(sets.withColumnRenamed("class", "b").join(crowd, "b").withColumn("n", F.size("set").cast("long")), "sets")
-        fact = lambda c, end: facts.select(F.col("b").alias(end), F.col("n").alias(f"n_{c}"), F.col("fine").alias(f"fine_{c}"))
-        rare = common.written(_rare_pairs(sets, known.select(F.col("class").alias("b"), "sketch"), percent), "rare")
-        cross = cross.unionByName(rare.join(fact("x", "a"), "a").join(fact("y", "b"), "b").where(near).select("a", "b"))
+        sets = _wanted(docs, crowd, words, "set", _sets).join(crowd.select("class", "label", "n", "sketch"), "class")
+        sets = common.written(sets.withColumnRenamed("class", "b"), "sets")
+        fact = lambda c, end: facts.select(F.col("b").alias(end), F.col("id").alias(f"id_{end}"), F.col("n").alias(f"n_{c}"), F.col("fine").alias(f"fine_{c}"))
+        rare = common.written(_rare_pairs(sets, None, percent), "rare")
+        cross = cross.unionByName(rare.join(fact("x", "a"), "a").join(fact("y", "b"), "b").where(near).select("a", "b", "id_a", "id_b"))
     cross = common.written(cross, "pairs")
     if not cross.isEmpty():
-        more = _confirmed(cross, docs, known, words, percent)
+        more = _confirmed(cross, docs, words, percent)
         labels = graph.components(starred(labels).unionByName(more))
 
     named = known.select("class", "id").join(labels.withColumnRenamed("node", "class"), "class", "left").select("class", "id", F.coalesce("label", "class").alias("label"))

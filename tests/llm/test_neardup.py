@@ -320,3 +320,72 @@ def test_sets_are_counted_before_their_shingles_are_rows(spark, monkeypatch, ran
                 linked += 1
                 assert {s for s, _ in got.get(i, ())} & {s for s, short in got.get(j, ()) if short}, (i, j)
     assert linked > 1000
+
+
+def shuffles(monkeypatch):
+    """Names of what is written from now on, each with the shuffles that its plan asks for."""
+    made, written = [], neardup.common.written
+
+    def counted(df, name):
+        made.append((name, df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")))
+        return written(df, name)
+
+    monkeypatch.setattr(neardup.common, "written", counted)
+    return made
+
+
+def test_components_of_large_groups_take_few_shuffles(spark, monkeypatch):
+    """Groups around a few nodes, in several tasks: a shuffle for each step, not rounds of joins over all links."""
+    rng = random.Random(5)
+    links = [(g * 1000 + rng.randrange(8), g * 1000 + k) for g in range(6) for k in range(8, 400) for _ in range(2)]
+    want = {x: x // 1000 for pair in links for x in pair}
+    made = shuffles(monkeypatch)
+    got = {r["node"]: r["label"] for r in graph.components(spark.createDataFrame(links, "a long, b long").repartition(6)).collect()}
+    assert got == {x: min(y for y in want if want[y] == g) for x, g in want.items()}
+    assert sum(n for _, n in made) <= 12, made
+
+
+def test_long_paths_settle(spark):
+    """Paths whose links lie apart: labels go on from step to step, and rounds alone give the same."""
+    links = [(p * 1000 + i, p * 1000 + i + 1) for p in range(3) for i in range(150)]
+    random.Random(9).shuffle(links)
+    table = spark.createDataFrame(links, "a long, b long").repartition(60)
+    for found in (graph.components(table), graph._rounds(table)):
+        assert {r["node"]: r["label"] for r in found.collect()} == {x: x // 1000 * 1000 for pair in links for x in pair}
+
+
+def test_a_pair_meets_at_its_first_shared_shingle(spark):
+    """Of many shingles that two sets share, one makes a row: none of those before it is shared."""
+    rng = random.Random(21)
+    base = [rng.randrange(1 << 40) for _ in range(120)]
+    sets = [sorted(rng.sample(base, 112)) for _ in range(40)]
+    table = spark.createDataFrame([(i, i, len(x), x) for i, x in enumerate(sets)], "b long, label long, n long, set array<long>").repartition(3)
+    rows = {}
+    for r in neardup.prefixes(table, 80).collect():
+        rows.setdefault(r["b"], {})[r["shingle"]] = (r["pos"], set(r["rarer"]))
+    shared = 0
+    for i in range(40):
+        assert max(len(before) for _, before in rows[i].values()) <= neardup.RARER
+        for j in range(i):
+            both = rows[i].keys() & rows[j].keys()
+            shared += len(both)
+            first = [s for s in both if not rows[i][s][1] & rows[j][s][1]]
+            assert first == sorted(both, key=lambda s: rows[i][s][0])[:1]
+    assert shared > 3 * 780
+
+
+def test_hot_corpora_take_few_shuffles(spark, monkeypatch):
+    """Large groups of near copies, in crowded buckets: plans ask for few shuffles, and the result is that of brute force."""
+    monkeypatch.setattr(neardup, "CROWD", 8)
+    rng = random.Random(31)
+    base = [f"b{rng.randrange(10**6)}" for _ in range(120)]
+    rows = []
+    for i in range(200):
+        t = list(base)
+        for k in rng.sample(range(len(t)), rng.randint(4, 16)):
+            t[k] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(t)))
+    made = shuffles(monkeypatch)
+    got = sorted(tuple(r) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), words=2).collect())
+    assert got == brute(rows, 2)
+    assert sum(n for _, n in made) <= 40, made
